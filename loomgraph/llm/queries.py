@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, language_id, line_dedup, mixing
+from loomgraph.llm import decontamination, language_id, line_dedup, mixing, near_dedup
 from loomgraph.llm.common import read
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_mixing": lambda s, d: mixing.mix_digest(read(s, d, "documents")),
     "op8_language_id": lambda s, d: language_id.identify(read(s, d, "documents")),
     "op9_decontamination": lambda s, d: decontamination.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
+    "op10_near_dedup": lambda s, d: near_dedup.near_classes(read(s, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
