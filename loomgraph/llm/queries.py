@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, warc
+from loomgraph.llm import decontamination, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, warc
 from loomgraph.llm.common import read
 
 QUERIES = {
     "op1_line_dedup": lambda s, d: line_dedup.dedup_report(read(s, d, "documents")),
     "op2_mixing": lambda s, d: mixing.mix_digest(read(s, d, "documents")),
+    "op3_lm_score": lambda s, d: lm_score.score(read(s, d, "documents")),
     "op5_warc_revisits": lambda s, d: warc.archive_report(read(s, d, "pages")),
     "op7_fingerprints": lambda s, d: fingerprints.edited_report(read(s, d, "documents")),
     "op8_language_id": lambda s, d: language_id.identify(read(s, d, "documents")),
