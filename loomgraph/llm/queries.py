@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, warc
+from loomgraph.llm import chunk_dedup, decontamination, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, warc
 from loomgraph.llm.common import read
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_mixing": lambda s, d: mixing.mix_digest(read(s, d, "documents")),
     "op3_lm_score": lambda s, d: lm_score.score(read(s, d, "documents")),
     "op5_warc_revisits": lambda s, d: warc.archive_report(read(s, d, "pages")),
+    "op6_substring_dedup": lambda s, d: chunk_dedup.dedup_report(read(s, d, "documents")),
     "op7_fingerprints": lambda s, d: fingerprints.edited_report(read(s, d, "documents")),
     "op8_language_id": lambda s, d: language_id.identify(read(s, d, "documents")),
     "op9_decontamination": lambda s, d: decontamination.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
