@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chunk_dedup, decontamination, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, warc
+from loomgraph.llm import chunk_dedup, decontamination, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, token_rollup, warc
 from loomgraph.llm.common import read
 
 QUERIES = {
     "op1_line_dedup": lambda s, d: line_dedup.dedup_report(read(s, d, "documents")),
     "op2_mixing": lambda s, d: mixing.mix_digest(read(s, d, "documents")),
     "op3_lm_score": lambda s, d: lm_score.score(read(s, d, "documents")),
+    "op4_token_rollup": lambda s, d: token_rollup.token_report(read(s, d, "documents")),
     "op5_warc_revisits": lambda s, d: warc.archive_report(read(s, d, "pages")),
     "op6_substring_dedup": lambda s, d: chunk_dedup.dedup_report(read(s, d, "documents")),
     "op7_fingerprints": lambda s, d: fingerprints.edited_report(read(s, d, "documents")),
