@@ -1,4 +1,11 @@
 """Registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from loomgraph.plans import tables
+from loomgraph.plans.oracle import ORACLE_SQL
+
+#: Each query is the function of its name; code_tree_analyze has no SQL and is tested against the golden project.
+QUERIES = {name: getattr(tables, name) for name in ORACLE_SQL} | {"code_tree_analyze": tables.golden_tree}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
