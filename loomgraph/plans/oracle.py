@@ -137,7 +137,7 @@ ORACLE_SQL = {
     "intents": """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'error' WHEN 1 THEN 'risk' WHEN 2 THEN 'dependency' WHEN 3 THEN 'entry' WHEN 4 THEN 'complexity' ELSE 'general' END AS intents
       FROM conversations""",
     "last_n_history": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6",
-    "confidence_parse": r"""SELECT conv_id, turn, least(try_cast(nullif(regexp_extract(a, '[Cc]onfidence:\s*(\d{1,3})\s*%', 1), '') AS INT), 100) AS confidence,
+    "confidence_parse": r"""SELECT conv_id, turn, CASE WHEN regexp_matches(a, '[Cc]onfidence:\s*(\d{1,3})\s*%') THEN least(regexp_extract(a, '[Cc]onfidence:\s*(\d{1,3})\s*%', 1)::INT, 100) END AS confidence,
       length(regexp_replace(regexp_replace(a, '\n?[Cc]onfidence:\s*\d{1,3}\s*%\s*$', ''), '\s+$', ''))::INT AS stripped
       FROM (SELECT conv_id, turn, text || chr(10) || 'Confidence: ' || (turn * 40) || CASE WHEN turn % 3 = 2 THEN '' ELSE '%' END AS a FROM conversations)""",
     "token_estimate": "SELECT conv_id, (sum(length(text)) + 500)::BIGINT // 4 AS tokens FROM conversations GROUP BY 1",

@@ -15,7 +15,7 @@ from loomgraph.operators import context, graph, issues, risk
 from loomgraph.operators.storage import settled
 
 TRIMMED_NODES = 10
-LINKS = F.lit(r'href="([^"]+)"')
+LINKS = r'href="([^"]+)"'
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -192,7 +192,7 @@ def path_parts(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", LINKS, F.lit(1)).alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(LINKS), F.lit(1)).alias("links"))
 
 
 def link_extract(spark, sf_dir):
