@@ -63,6 +63,13 @@ def _counts(*words: str) -> str:
 FOREST = """forest AS (
   SELECT 'r' || r_regionkey AS node, 0 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 2 FROM customer)"""
 
+SCORES = f"""SELECT doc_id, (CASE lang WHEN 'en' THEN {_counts('the ', 'and ')} WHEN 'fr' THEN {_counts('le ', 'de ')} WHEN 'de' THEN {_counts('der ', 'die ')} ELSE {_counts('el', 'la')} END)::INT AS score
+      FROM documents"""
+TREE = f"""paths AS (SELECT DISTINCT {PATH} AS id, string_split({PATH}, '/') AS p FROM pages),
+folders AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS id FROM (SELECT p, unnest(range(1, len(p))) AS k FROM paths)),
+tree AS (SELECT '__root__' AS id, 'root' AS type UNION ALL SELECT id, 'folder' FROM folders UNION ALL SELECT id, 'file' FROM paths),
+hung AS (SELECT id, CASE WHEN contains(id, '/') THEN regexp_replace(id, '/[^/]*$', '') ELSE '__root__' END AS parent FROM tree WHERE type <> 'root')"""
+
 ORACLE_SQL = {
     "resolve_edges": f"WITH {TRADE} SELECT source, target FROM edges",
     "degrees": f"WITH {TRADE}, {DEGREES} SELECT node, in_degree, out_degree FROM degrees",
@@ -144,4 +151,15 @@ ORACLE_SQL = {
     "snippet_truncate": "SELECT doc_id, CASE WHEN length(text) > 800 THEN left(text, 800) || chr(10) || '… (truncated)' ELSE text END AS snippet FROM documents",
     "bytes_humanised": """SELECT doc_id, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE)
       WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576 * 10 + 0.5) / 10) END AS size FROM documents""",
+    "structure_edges": f"""WITH {TREE} SELECT parent AS source, id AS target, 'structure' AS type FROM hung""",
+    "capped_nodes": f"""WITH {TREE}, counted AS (SELECT id, type, (SELECT count(*) FROM hung h WHERE h.id = n.id) AS n_in FROM tree n)
+      SELECT * FROM counted WHERE type <> 'file' UNION ALL SELECT * FROM (SELECT * FROM counted WHERE type = 'file' ORDER BY n_in DESC, id LIMIT 20)""",
+    "collapsed_hidden": f"""SELECT page_id FROM (SELECT page_id, string_split(regexp_replace({PATH}, '^[^/]+/', ''), '/') AS p FROM pages) WHERE NOT (len(p) > 1 AND p[1] IN ('en', 'de'))""",
+    "path_search": "SELECT page_id FROM pages WHERE contains(lower(url), 'example.org/en')",
+    "execution_console": """SELECT CASE WHEN event_type = 'error' THEN 'ERROR' WHEN user_id % 7 = 0 THEN 'WARNING' WHEN user_id % 3 <> 0 AND value < 1.0 THEN 'ERROR' ELSE 'INFO' END AS level,
+      event_id::VARCHAR AS file, CASE WHEN event_type = 'error' THEN 'Compile failed — error' WHEN user_id % 7 = 0 THEN 'Execution timed out after 3s'
+      WHEN user_id % 3 <> 0 AND value < 1.0 THEN 'Runtime error — ' || event_type ELSE 'Compile check passed' END AS message, CASE WHEN event_type = 'error' THEN 1 END AS line FROM events""",
+    "node_sizes": f"""WITH RECURSIVE {TRADE}, {CENTRALITY} SELECT node, round(350 + centrality / coalesce(nullif(max(centrality) OVER (), 0), 1) * 1800, 3) AS size FROM central""",
+    "confidence_bands": "SELECT conv_id, turn, CASE WHEN turn * 15 >= 80 THEN 'green' WHEN turn * 15 >= 50 THEN 'yellow' ELSE 'red' END AS band FROM conversations",
+    "complexity_shares": f"""SELECT doc_id, round(score * 100 / greatest(max(score) OVER (), 1), 1) AS share FROM ({SCORES})""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import context, graph, issues, risk
+from loomgraph.operators import context, graph, issues, risk, views
 from loomgraph.operators.storage import settled
 
 TRIMMED_NODES = 10
@@ -374,6 +374,54 @@ def bytes_humanised(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.humanised_bytes(F.col("n_chars")).alias("size"))
 
 
+def _pages_as_files(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(_url_path(F.col("url")).alias("rel_path")).distinct()
+
+
+def structure_edges(spark, sf_dir):
+    return views.structure_edges(views.tree_nodes(_pages_as_files(spark, sf_dir)))
+
+
+def capped_nodes(spark, sf_dir):
+    """At most 120 nodes over the folders: the root, all folders, and files by their incoming edges, then by id."""
+    nodes = views.tree_nodes(_pages_as_files(spark, sf_dir))
+    folders = nodes.where("type <> 'file'").count()
+    return views.capped(nodes, views.structure_edges(nodes), folders + 20)[0].select("id", "type", "n_in")
+
+
+def collapsed_hidden(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(_url_path(F.col("url")), "^[^/]+/", "").alias("rel_path"))
+    return views.not_collapsed(found, ["en", "de"]).select("page_id")
+
+
+def path_search(spark, sf_dir):
+    return views.search(table(spark, sf_dir, "pages"), "EXAMPLE.ORG/EN", "url").select("page_id")
+
+
+def execution_console(spark, sf_dir):
+    """Events as executions: errors do not compile, every third user is not run."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("rel_path"), (F.col("event_type") != "error").alias("compile_ok"), F.col("event_type").alias("compile_error"), F.lit(1).alias("compile_line"),
+        (F.col("user_id") % 7 == 0).alias("timed_out"), F.when(F.col("user_id") % 3 != 0, F.col("value") >= 1.0).alias("runtime_ok"), F.col("event_type").alias("runtime_error"),
+    )
+    return views.execution_entries(rows)
+
+
+def node_sizes(spark, sf_dir):
+    metrics = graph.betweenness(nations(spark, sf_dir), settled_trade(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
+    return views.node_size(metrics).select("node", F.round("size", 3).alias("size"))
+
+
+def confidence_bands(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", views.confidence_band((F.col("turn") * 15).cast("int")).alias("band"))
+
+
+def complexity_shares(spark, sf_dir):
+    rows = keyword_complexity(spark, sf_dir).withColumnRenamed("score", "complexity")
+    return views.complexity_shares(rows).select("doc_id", "share")
+
+
 def golden_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis of this library's own source tree: file, level and score."""
     import os

@@ -196,3 +196,25 @@ def test_forced_files_come_first_in_reverse(spark):
 def test_last_turns(spark):
     df = spark.createDataFrame([(1, t) for t in range(9)] + [(2, 0)], "conv_id long, turn long")
     assert sorted(tuple(r) for r in context.last_turns(df, 3).collect()) == [(1, 6), (1, 7), (1, 8), (2, 0)]
+
+
+def test_views(spark):
+    from loomgraph.operators import views
+
+    files = spark.createDataFrame([("a/b/c.py",), ("a/d.py",), ("e.py",)], "rel_path string")
+    nodes = views.tree_nodes(files, collapsed=["a/b"])
+    assert {(r.id, r.type) for r in nodes.collect()} == {("__root__", "root"), ("a", "folder"), ("a/b", "folder"), ("a/d.py", "file"), ("e.py", "file")}
+    edges = views.structure_edges(nodes)
+    assert {(r.source, r.target) for r in edges.collect()} == {("__root__", "a"), ("a", "a/b"), ("a", "a/d.py"), ("__root__", "e.py")}
+    kept, left = views.capped(nodes, edges, 4)
+    assert {r.id for r in kept.collect()} == {"__root__", "a", "a/b", "a/d.py"} and left.count() == 3
+    rows = spark.createDataFrame([("a.py", True, None, None, False, True), ("b.py", False, "bad", 3, False, None), ("c.py", True, None, None, True, None)], "rel_path string, compile_ok boolean, compile_error string, compile_line int, timed_out boolean, runtime_ok boolean")
+    assert [(r.level, r.line) for r in views.execution_entries(rows).collect()] == [("INFO", None), ("ERROR", 3), ("WARNING", None)]
+    assert views.search(files, "D.P").count() == 1 and views.search(files, "").count() == 3
+    assert tuple(views.visible_of(files, F.col("rel_path") == "e.py").first()) == (1, 3)
+    said = spark.createDataFrame([(i, "user", str(i)) for i in range(10)], "turn int, role string, content string")
+    asked = spark.createDataFrame([("q", "p")], "question string, prompt string")
+    assert [m.content for m in views.messages(asked, said, "s").first().messages] == ["s", *map(str, range(2, 10)), "p"]
+    metrics = spark.createDataFrame([("m.py", "Python", True, False, False)], "rel_path string, language string, is_entry boolean, is_circular boolean, is_dead boolean")
+    out = spark.createDataFrame([("m.py", f"x/{i}.py") for i in range(6)], "source string, target string")
+    assert views.graph_lines(metrics, out).first().line == "  ▶ m.py (Python)  → 0.py, 1.py, 2.py, 3.py +2"
