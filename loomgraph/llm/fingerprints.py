@@ -5,7 +5,7 @@ Each term votes with its weight for or against each of 128 bits, by the bits of
 that won. Likeness is the cosine that the Hamming distance stands for, cos(pi * distance / 128), at least 0.
 
 Search cuts fingerprints into radius + 2 blocks. Two within the radius agree in at least two whole blocks, so a table
-for each pair of blocks, keyed by both, finds them all; candidates are compared in full. Equal fingerprints are one
+for each pair of blocks, keyed by both, finds them all; candidates are compared in full. Tables hold a hash of both blocks. Equal fingerprints are one
 entry of a table, and a key with many entries is cut into cells that are compared cell by cell.
 
 Defined cases: a null text is an empty one; a text without words has the fingerprint of zeros; rows that repeat doc_id
@@ -19,12 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from loomgraph.llm.common import doc_key, same_row, written
+from loomgraph.llm.common import doc_key, key_id, same_row, written
 
 BITS = 128
 WORDS = 5
@@ -88,27 +89,46 @@ def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
     blocks = radius + 2
     edges = [round(i * BITS / 4 / blocks) for i in range(blocks + 1)]
     cut = [F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
-    tables = F.array(*[F.concat(F.lit(f"{i}.{j}:"), cut[i], cut[j]) for i, j in combinations(range(blocks), 2)])
-    entries = prints.select("fingerprint").distinct().select("fingerprint", F.explode(tables).alias("key"))
+    tables = F.array(*[F.xxhash64(F.lit(i), F.lit(j), cut[i], cut[j]) for i, j in combinations(range(blocks), 2)])
+    entries = prints.select("fingerprint").distinct().select(F.unhex("fingerprint").alias("bits"), F.explode(tables).alias("key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("cells", F.ceil(F.col("n") / CELL))
-    placed = entries.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("fingerprint"), F.col("cells")))
+    placed = entries.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("bits"), F.col("cells")))
     # every entry meets the entries of its own and of later cells
-    left = placed.select("key", F.explode(F.sequence("cell", F.col("cells") - 1)).alias("other"), F.col("fingerprint").alias("a"))
-    right = placed.select("key", F.col("cell").alias("other"), F.col("fingerprint").alias("b"))
-    pairs = left.join(right, ["key", "other"]).where(F.col("a") != F.col("b")).withColumn("distance", distance(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
+    left = placed.select("key", F.explode(F.sequence("cell", F.col("cells") - 1)).alias("other"), F.hex("bits").alias("a"))
+    right = placed.select("key", F.col("cell").alias("other"), F.hex("bits").alias("b"))
+    far = distance(F.col("a"), F.col("b"))
+    pairs = left.join(right, ["key", "other"]).where((F.col("a") != F.col("b")) & (far <= radius)).select(F.lower("a").alias("a"), F.lower("b").alias("b"), far.alias("distance"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
 
 
 RESULT = T.StructType().add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string")
 
 
+@F.pandas_udf(T.BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    """Texts as they are shuffled, compressed one by one."""
+    pack = zstandard.ZstdCompressor(level=3)
+    return pd.Series([pack.compress((t or "").encode("utf-8", "replace")) for t in texts])
+
+
+def _unpacked(packed: bytes | None) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8") if packed is not None else ""
+
+
+@F.pandas_udf(T.BinaryType())
+def _start(packed: pd.Series, take: pd.Series) -> pd.Series:
+    """The first code points of packed texts, packed."""
+    pack = zstandard.ZstdCompressor(level=3)
+    return pd.Series([pack.compress(_unpacked(p)[: int(n)].encode("utf-8", "replace")) for p, n in zip(packed, take, strict=True)])
+
+
 @F.pandas_udf(RESULT)
-def _edited(texts: pd.Series, following: pd.Series) -> pd.DataFrame:
+def _edited(packed: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    """Of packed texts and the packed starts of the next ones."""
     make, out = SimHash(), []
-    for text, after in zip(texts, following, strict=True):
-        text = text or ""
+    for text, after in zip(map(_unpacked, packed), map(_unpacked, starts), strict=True):
         cut = len(text) // 4
-        edited = text[: len(text) - cut] + (after or "")[:cut]
+        edited = text[: len(text) - cut] + after[:cut]
         words, changed = text.lower().split(), edited.lower().split()
         own = make.words(words)
         same = 0  # the words before the cut are hashed once
@@ -147,24 +167,30 @@ def following(keys: DataFrame) -> DataFrame:
 def edited_report(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Of every document: its fingerprint, that of its text with the last quarter replaced by the start of the next
     document's, the likeness of its fingerprint to both the edited text's and the next document's, and n_near, the
-    number of other fingerprints of the table within the radius."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("d"), text.alias("text"))
-    lengths = rows.groupBy("d").agg(F.min(F.length("text")).alias("n"))
+    number of other fingerprints of the table within the radius.
+
+    Texts are shuffled once, by document: the join that tells a text whom its start goes to and the join that brings it
+    the next one's start read the same shuffle.
+    """
+    key = doc_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(key["i"].alias("i"), key["h"].alias("h"), key["n"].alias("n"), _packed("text").alias("packed"))
+    lengths = docs.select(key.alias("d"), F.coalesce(F.length("text"), F.lit(0)).alias("length")).groupBy("d").agg(F.min("length").alias("length"))
     chain = written(lengths.join(following(lengths), "d"), "chain")
-    wanted = chain.select(F.col("next").alias("k"), F.col("d").alias("to"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    starts = rows.join(wanted, same_row(F.col("d"), F.col("k"))).select(
-        F.col("to.i").alias("ti"), F.col("to.h").alias("th"), F.col("to.n").alias("tn"), F.left("text", "take").alias("start")
+    wanted = chain.select(
+        F.col("next.i").alias("wi"), F.col("next.h").alias("wh"), F.col("next.n").alias("wn"), F.col("d").alias("to"), F.floor(F.col("length") / 4).cast("int").alias("take")
+    )
+    starts = rows.join(wanted, (F.col("i") == F.col("wi")) & (F.col("h") == F.col("wh")) & (F.col("n") == F.col("wn"))).select(
+        F.col("to.i").alias("ti"), F.col("to.h").alias("th"), F.col("to.n").alias("tn"), _start("packed", "take").alias("start")
     ).dropDuplicates(["ti", "th", "tn"])
-    joined = rows.join(starts, (F.col("d.i") == F.col("ti")) & (F.col("d.h") == F.col("th")) & (F.col("d.n") == F.col("tn")))
-    made = written(joined.select("doc_id", "d", _edited("text", "start").alias("x")).select("doc_id", "d", "x.*"), "fingerprints")
+    joined = rows.join(starts, (F.col("i") == F.col("ti")) & (F.col("h") == F.col("th")) & (F.col("n") == F.col("tn")))
+    made = written(joined.select(F.struct("n", "i", "h").alias("d"), _edited("packed", "start").alias("x")).select("d", "x.*"), "fingerprints")
     links = within_radius(made, radius)
     near = links.select("a").unionAll(links.select(F.col("b"))).groupBy("a").agg(F.count("*").alias("n_near"))
     prints = made.groupBy("d").agg(F.min("fingerprint").alias("next_print")).withColumnRenamed("d", "k")
     nexts = chain.join(prints, F.col("next") == F.col("k")).select(F.col("d").alias("c"), "next_print")
     out = made.join(nexts, same_row(F.col("d"), F.col("c"))).join(near, F.col("fingerprint") == F.col("a"), "left")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        key_id(F.col("d")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"),
