@@ -6,9 +6,9 @@ Every other word is in one of eight classes by its shape, where it has its share
 no training document has gets the class's share of words seen once (Good-Turing). So a text's score is the log10
 probability of all its tokens over the same events as the base score.
 
-Training is truncated backpropagation through time in numpy: each partition trains on its part of a hash-chosen
-`share` of the training documents (at least `least_docs` of the corpus), from the same weights, and the weights are
-averaged by tokens; this is done `rounds` times. What is counted, trained on and gathered thus grows with the corpus.
+Training is truncated backpropagation through time in numpy, one pass over all training documents: these are dealt by
+hash to `rounds` disjoint slices; in a round each partition trains on all its documents of one slice, from the same
+weights, and the weights are averaged by tokens. Texts become places in the vocabulary once, for training and scoring.
 Scoring carries the state across windows, so a document is scored whole.
 
 Defined cases: a null text is empty and has one token, its end; a null doc_id is in no fold and so neither held out nor
@@ -32,6 +32,10 @@ END = b"\n"
 SHAPES = 8
 #: Bins of counts per e-fold, to find the frequent words without sorting all.
 COUNT_BINS = 32
+#: Tokens that are trained on at a time; what a task holds does not grow with its partition.
+PIECE = 1 << 20
+#: How places are stored; the head has to fit.
+PLACE = np.dtype("<u2")
 
 
 @dataclass(frozen=True)
@@ -44,8 +48,6 @@ class Settings:
     window: int = 32
     streams: int = 48
     rate: float = 0.2
-    share: float = 0.02
-    least_docs: int = 2000
     rounds: int = 2
     seed: int = 7
 
@@ -171,14 +173,12 @@ class Network:
         e, h = settings.embedding, settings.hidden
         self.n_classes = -(-self.n // settings.in_class)
         c = self.n_classes + SHAPES
-        shapes = {"E": (self.n + SHAPES, e), "Wx": (e, 3 * h), "Wh": (h, 3 * h), "b": (3 * h,), "Wc": (h, c), "bc": (c,), "Wo": (self.n, h), "bo": (self.n,)}
-        size = sum(int(np.prod(x)) for x in shapes.values())
+        self.shapes = {"E": (self.n + SHAPES, e), "Wx": (e, 3 * h), "Wh": (h, 3 * h), "b": (3 * h,), "Wc": (h, c), "bc": (c,), "Wo": (self.n, h), "bo": (self.n,)}
+        size = sum(int(np.prod(x)) for x in self.shapes.values())
         self.flat = np.zeros(size, np.float32) if flat is None else flat.astype(np.float32)
-        at = 0
-        for name, form in shapes.items():
-            n = int(np.prod(form))
-            setattr(self, name, self.flat[at : at + n].reshape(form))
-            at += n
+        self.past = None  # sums of squared gradients
+        for name, part in self._parts(self.flat).items():
+            setattr(self, name, part)
         if flat is None:
             draw = np.random.default_rng(settings.seed)
             self.E[:] = draw.normal(0, 0.3, self.E.shape)
@@ -194,6 +194,15 @@ class Network:
             rest = np.maximum(1, 10 ** -vocab.log_known * (1 - 10**vocab.log_unseen))
             self.bc[:] = np.log(np.concatenate([mass, rest]) / (sum(mass) + rest.sum()))
 
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of one flat array, by weight."""
+        out, at = {}, 0
+        for name, form in self.shapes.items():
+            n = int(np.prod(form))
+            out[name] = flat[at : at + n].reshape(form)
+            at += n
+        return out
+
     def words_of(self, c: int) -> slice:
         return slice(c * self.s.in_class, min(self.n, (c + 1) * self.s.in_class))
 
@@ -268,143 +277,148 @@ class Network:
         return total
 
     def train(self, stream: np.ndarray) -> None:
-        """One pass over a stream of places, cut into parallel streams; Adagrad on sums over a window."""
-        s = self.s
-        n = len(stream) // s.streams
-        if n < 2:
-            n, lanes = len(stream), 1
-        else:
-            lanes = s.streams
-        if n < 2:
+        """One pass over a stream of places, cut into parallel streams; Adagrad on sums over a window.
+
+        Each place but the first is learned once, from the one before. Further calls go on with Adagrad's sums.
+        """
+        s, k = self.s, self.s.hidden
+        lanes = s.streams if len(stream) > 2 * s.streams else 1
+        n = (len(stream) - 1) // lanes
+        if n < 1:
             return
-        rows = stream[: n * lanes].reshape(lanes, n)
-        past = np.ones_like(self.flat)
-        state = np.zeros((lanes, s.hidden), np.float32)
-        for at in range(0, n - 1, s.window):
-            width = min(s.window, n - 1 - at)
-            inputs, wanted = rows[:, at : at + width], rows[:, at + 1 : at + 1 + width]
-            embedded = self.E[inputs]
-            x = embedded @ self.Wx + self.b
-            states, kept, h = np.empty((lanes, width, s.hidden), np.float32), [], state
-            for k in range(width):
-                h = np.where((inputs[:, k] == 0)[:, None], np.float32(0), h)  # a document begins
-                h, mid = self.step(x[:, k], h)
+        if self.past is None:
+            self.past = np.ones_like(self.flat)
+        rows = stream[(np.arange(lanes) * n)[None, :] + np.arange(n + 1)[:, None]].astype(np.int64)
+        grad, work = np.empty_like(self.flat), np.empty_like(self.flat)
+        of = self._parts(grad)
+        h = np.zeros((lanes, k), np.float32)
+        for at in range(0, n, s.window):
+            width = min(s.window, n - at)
+            inputs, place = rows[at : at + width], rows[at + 1 : at + 1 + width].reshape(-1)
+            goes_on = (inputs != 0)[:, :, None].astype(np.float32)  # else a document begins
+            embedded = self.E[inputs.reshape(-1)]
+            x = (embedded @ self.Wx + self.b).reshape(width, lanes, 3 * k)
+            states, kept = np.empty((width, lanes, k), np.float32), []
+            for t in range(width):
+                h, mid = self.step(x[t], h * goes_on[t])
                 kept.append(mid)
-                states[:, k] = h
-            state = h
-            grad = {name: np.zeros_like(getattr(self, name)) for name in ("Wx", "Wh", "b", "Wc", "bc")}
-            flat_states, place = states.reshape(-1, s.hidden), wanted.reshape(-1)
+                states[t] = h
+            grad.fill(0)
+            flat_states = states.reshape(-1, k)
             cls = np.where(place < self.n, place // s.in_class, place - self.n + self.n_classes)
-            logits = flat_states @ self.Wc + self.bc
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), cls] -= 1
-            grad["Wc"], grad["bc"] = flat_states.T @ p, p.sum(axis=0)
+            p = self._off(flat_states @ self.Wc + self.bc, cls)
+            of["Wc"][:], of["bc"][:] = flat_states.T @ p, p.sum(axis=0)
             back = p @ self.Wc.T
-            order = np.argsort(cls, kind="stable")
+            # the words of a class, class by class; the softmax of all at once
+            order = np.argsort(cls.astype(np.uint16), kind="stable")
             edges = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-            touched = []
-            for c in range(self.n_classes):
-                own = order[edges[c] : edges[c + 1]]
-                if len(own):
-                    words = self.words_of(c)
-                    z = flat_states[own] @ self.Wo[words].T + self.bo[words]
-                    q = np.exp(z - z.max(axis=1, keepdims=True))
-                    q /= q.sum(axis=1, keepdims=True)
-                    q[np.arange(len(own)), place[own] - words.start] -= 1
-                    back[own] += q @ self.Wo[words]
-                    touched.append((words, q.T @ flat_states[own], q.sum(axis=0)))
+            order = order[: edges[-1]]
+            own, place = flat_states[order], place[order]
+            z = np.full((len(order), s.in_class), -1e30, np.float32)
+            found = [(self.words_of(c), slice(edges[c], edges[c + 1])) for c in range(self.n_classes) if edges[c] < edges[c + 1]]
+            for words, here in found:
+                z[here, : words.stop - words.start] = own[here] @ self.Wo[words].T + self.bo[words]
+            q = self._off(z, place % s.in_class) if len(z) else z
+            back_own = np.empty_like(own)
+            for words, here in found:
+                part = q[here, : words.stop - words.start]
+                back_own[here] = part @ self.Wo[words]
+                of["Wo"][words], of["bo"][words] = part.T @ own[here], part.sum(axis=0)
+            back[order] += back_own
             back = back.reshape(states.shape)
-            k, dx, dh = s.hidden, np.empty_like(x), np.zeros_like(h)
+            before, r, z, new, gn = (np.stack(m) for m in zip(*kept, strict=True))
+            to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), gn * r * (1 - r)
+            dx, dh, wh = np.empty_like(x), np.zeros_like(h), self.Wh.T.copy()
+            dg = np.empty_like(x)
             for t in range(width - 1, -1, -1):
-                dh = dh + back[:, t]
-                before, r, z, new, gn = kept[t]
-                d_new = dh * (1 - z) * (1 - new * new)
-                d_z = dh * (before - new) * z * (1 - z)
-                d_r = d_new * gn * r * (1 - r)
-                dx[:, t] = np.concatenate([d_r, d_z, d_new], axis=1)
-                dg = np.concatenate([d_r, d_z, d_new * r], axis=1)
-                grad["Wh"] += before.T @ dg
-                dh = (dh * z + dg @ self.Wh.T) * (inputs[:, t] != 0)[:, None]
+                dh += back[t]
+                d_new = dh * to_new[t]
+                dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = d_new * to_r[t], dh * to_z[t], d_new
+                dg[t, :, : 2 * k], dg[t, :, 2 * k :] = dx[t, :, : 2 * k], d_new * r[t]
+                dh = (dh * z[t] + dg[t] @ wh) * goes_on[t]
             flat_dx = dx.reshape(-1, 3 * k)
-            grad["Wx"], grad["b"] = embedded.reshape(-1, s.embedding).T @ flat_dx, flat_dx.sum(axis=0)
-            used, where = np.unique(inputs.reshape(-1), return_inverse=True)
-            d_e = np.zeros((len(used), s.embedding), np.float32)
-            np.add.at(d_e, where.reshape(-1), flat_dx @ self.Wx.T)
-            self._move(past, "E", used, d_e)
-            for name, g in grad.items():
-                self._move(past, name, slice(None), g)
-            for words, g, gb in touched:
-                self._move(past, "Wo", words, g)
-                self._move(past, "bo", words, gb)
-
-    def _move(self, past: np.ndarray, name: str, where, g: np.ndarray) -> None:
-        weight = getattr(self, name)
-        start = (weight.__array_interface__["data"][0] - self.flat.__array_interface__["data"][0]) // 4
-        seen = past[start : start + weight.size].reshape(weight.shape)
-        g = np.clip(g, -5, 5)
-        seen[where] += g * g
-        weight[where] -= self.s.rate * g / np.sqrt(seen[where])
-
-
-def train(train_docs: DataFrame, vocab: Vocabulary, settings: Settings) -> np.ndarray:
-    """train_docs: key, text. The averaged weights."""
-    n = train_docs.count()
-    share = min(1.0, max(settings.share, settings.least_docs / n)) if n else 0.0
-    flat = Network(vocab, settings).flat
-    for turn in range(settings.rounds if n else 0):
-        start = flat
+            of["Wh"][:] = before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+            of["Wx"][:], of["b"][:] = embedded.T @ flat_dx, flat_dx.sum(axis=0)
+            by_input = np.argsort(inputs.reshape(-1), kind="stable")
+            used, start = np.unique(inputs.reshape(-1)[by_input], return_index=True)
+            of["E"][used] = np.add.reduceat((flat_dx @ self.Wx.T)[by_input], start, axis=0)
+            np.clip(grad, -5, 5, out=grad)
+            self.past += np.multiply(grad, grad, out=work)
+            grad /= np.sqrt(self.past, out=work)
+            grad *= np.float32(s.rate)
+            self.flat -= grad
+        self.train(stream[lanes * n :])  # fewer than there are parallel streams
+
+    @staticmethod
+    def _off(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Softmax less one at one column of each row; logits are overwritten."""
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        logits[np.arange(len(logits)), column] -= 1
+        return logits
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, settings: Settings) -> tuple[np.ndarray, int]:
+    """encoded: key, places. The averaged weights and the number of tokens learned."""
+    flat, learned = Network(vocab, settings).flat, 0
+    sent = encoded.sparkSession.sparkContext.broadcast(vocab)
+    for turn in range(settings.rounds):
+        start = encoded.sparkSession.sparkContext.broadcast(flat)
 
         def shard(batches, start=start):
-            stream, net = [], Network(vocab, settings, start)
+            net, n = Network(sent.value, settings, start.value), 0
+            # the end stands before the first word
+            parts, size = [np.zeros(1, PLACE)], 1
             for batch in batches:
-                for text in batch["text"]:
-                    found, which = vocab.places(tokens(text))
-                    stream.append(np.array([x[0] for x in found] or [0], np.int64)[which] if len(which) else which)
-                    stream.append(np.zeros(1, np.int64))
-            if stream:
-                places = np.concatenate(stream)
-                net.train(places)
-                yield pd.DataFrame({"weights": [net.flat], "n": [float(len(places))]})
-
-        chosen = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 20)) < int(share * (1 << 20))
-        shards = train_docs.where(chosen).select("text").mapInPandas(shard, "weights array<float>, n double")
-        mean = shards.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
+                for places in batch["places"]:
+                    parts.append(np.frombuffer(places, PLACE))
+                    size, n = size + len(parts[-1]), n + len(parts[-1])
+                    if size > PIECE:
+                        stream = np.concatenate(parts)
+                        net.train(stream)
+                        parts, size = [stream[-1:]], 1
+            net.train(np.concatenate(parts))
+            if n:
+                yield pd.DataFrame({"weights": [net.flat], "n": [float(n)]})
+
+        chosen = F.pmod(F.xxhash64("key"), F.lit(settings.rounds)) == turn
+        shards = encoded.where(chosen).select("places").mapInPandas(shard, "weights array<float>, n double")
+        mean = shards.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), F.sum("n").alias("n"))
         rows = mean.toPandas()
         if len(rows):
-            flat = np.zeros(len(start), np.float32)
+            flat = np.zeros(len(flat), np.float32)
             flat[rows["i"].to_numpy()] = rows["w"].to_numpy()
-    return flat
+            learned += int(rows["n"].iloc[0])
+    return flat, learned
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), fold(F.col(id_col), folds).alias("fold"))
-    learn = slim.where(F.col("fold") != held)
-    counts = written(count_words(learn), "counts")
-    vocab = vocabulary(counts, settings)
-    vocab_sent = spark.sparkContext.broadcast(vocab)
-    weights = spark.sparkContext.broadcast(train(learn.select(F.col("doc_id").alias("key"), "text"), vocab, settings))
+def encode(slim: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """slim: doc_id, text, fold. Of each document its tokens' places and what its score needs besides the network.
+
+    base and flat are sums over the words known here; tail has the hashes of the others, times their number and shape.
+    """
+    if len(vocab.head) + SHAPES > 1 << 16:
+        raise ValueError("the network's vocabulary has more words than places can tell")
+    sent = slim.sparkSession.sparkContext.broadcast(vocab)
 
-    def scored(batches):
-        vocab = vocab_sent.value
-        net = Network(vocab, settings, weights.value)
+    def encoded(batches):
+        vocab = sent.value
+        end = vocab.counts.get(word_hash(END), 0)
         for batch in batches:
             n = len(batch)
             docs, known, base, flat, tails, times = [], np.zeros(n, np.int64), np.zeros(n), np.zeros(n), [], []
-            end = vocab.counts.get(word_hash(END), 0)
             for i, text in enumerate(batch["text"]):
                 found, which = vocab.places(tokens(text))
                 if not found:
-                    docs.append(np.zeros(1, np.int64))
+                    docs.append(np.zeros(1, PLACE))
                     known[i], base[i] = end > 0, np.log10(end + 1)
                     tails.append([])
                     times.append([])
                     continue
                 place, count, hashed = (np.array(x, np.int64) for x in zip(*found, strict=True))
                 many = np.bincount(which, minlength=len(found))
-                docs.append(np.concatenate([place[which], [0]]))
+                docs.append(np.concatenate([place[which], [0]]).astype(PLACE))
                 here = count >= 0
                 known[i] = many[here & (count > 0)].sum() + (end > 0)
                 base[i] = (many * np.log10(np.maximum(count, 0) + 1.0)).sum() + np.log10(end + 1)
@@ -413,12 +427,30 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, settings: Settings = S
                 flat[i] = (many[outside] * (vocab.log_known[of] + np.log10(np.maximum(count[outside], 1)))).sum()
                 tails.append(hashed[~here])
                 times.append((many * SHAPES + place - len(vocab.head))[~here])
-            flat += net.score(docs) / np.log(10)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [len(x) for x in docs], "known": known, "base": base, "flat": flat, "tail": tails, "times": times})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [len(x) for x in docs], "known": known, "base": base, "flat": flat, "tail": tails, "times": times, "places": [x.tobytes() for x in docs]})
+
+    made = slim.mapInPandas(encoded, "doc_id long, fold long, n_tokens long, known long, base double, flat double, tail array<long>, times array<long>, places binary")
+    return made.withColumn("row", F.monotonically_increasing_id())
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), fold(F.col(id_col), folds).alias("fold"))
+    learn = slim.where(F.col("fold") != held)
+    counts = written(count_words(learn), "counts")
+    vocab = vocabulary(counts, settings)
+    encoded = written(encode(slim, vocab), "encoded")
+    flat, _ = train(encoded.where(F.col("fold") != held).select(F.col("doc_id").alias("key"), "places"), vocab, settings)
+    vocab_sent, weights = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(flat)
+
+    @F.pandas_udf("double")
+    def likely(places: pd.Series) -> pd.Series:
+        net = Network(vocab_sent.value, settings, weights.value)
+        return pd.Series(net.score([np.frombuffer(x, PLACE).astype(np.int64) for x in places]) / np.log(10))
 
-    made = slim.mapInPandas(scored, "doc_id long, fold long, n_tokens long, known long, base double, flat double, tail array<long>, times array<long>")
-    made = written(made.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = made.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("hash"), F.floor(F.col("x.times") / SHAPES).alias("many"), (F.col("x.times") % SHAPES).alias("shape"))
+    made = written(encoded.withColumn("flat", F.col("flat") + likely("places")).drop("tail", "times", "places"), "scored")
+    rest = encoded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("hash"), F.floor(F.col("x.times") / SHAPES).alias("many"), (F.col("x.times") % SHAPES).alias("shape"))
     pick = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), F.col("shape").cast("int") + 1)
     c = F.col("count")
     looked = rest.join(counts.select("hash", "count"), "hash", "left").groupBy("row").agg(
@@ -426,7 +458,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, settings: Settings = S
         F.sum(F.col("many") * F.log10(F.coalesce(c, F.lit(0)) + 1)).alias("more_base"),
         F.sum(F.col("many") * F.when(c > 0, pick(vocab.log_known) + F.log10(c)).otherwise(pick(vocab.log_unseen))).alias("more"),
     )
-    out = made.drop("tail", "times").join(looked, "row", "left")
+    out = made.join(looked, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
     return out.select(
         "doc_id", F.coalesce(F.col("fold") == held, F.lit(False)).alias("held_out"), "n_tokens",

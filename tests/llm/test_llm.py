@@ -218,6 +218,32 @@ def test_gradient_learns():
     assert net.score([text[:190]])[0] > before / 3
 
 
+def test_all_training_documents_are_learned(spark):
+    import numpy as np
+
+    rows = [(i, " ".join(words(i % 4, i, 30))) for i in range(9000)]
+    small = lm_score.Settings(head=16, known=32, in_class=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fold", F.lit(0))
+    vocab = lm_score.vocabulary(spark.createDataFrame(lm_score.count_words(df).collect()), small)
+    encoded = lm_score.encode(df, vocab).select(F.col("doc_id").alias("key"), "places")
+    flat, learned = lm_score.train(encoded, vocab, small)
+    assert learned == sum(len(t.split()) + 1 for _, t in rows) and np.isfinite(flat).all()
+
+
+def test_each_place_is_learned_once(monkeypatch):
+    import numpy as np
+
+    settings = lm_score.Settings(head=20, known=20, in_class=5, streams=4)
+    end = lm_score.word_hash(lm_score.END)
+    vocab = lm_score.Vocabulary({end: 0} | {k: k for k in range(1, 20)}, {end: 1} | {k: 10 for k in range(1, 20)}, np.zeros(8), np.full(8, -1.0), 200, 20)
+    for n in (1, 2, 7, 9, 60, 301):
+        net, seen = lm_score.Network(vocab, settings), []
+        step = net.step
+        monkeypatch.setattr(net, "step", lambda x, h, step=step, seen=seen: seen.append(len(x)) or step(x, h))
+        net.train(np.arange(n) % 20)
+        assert sum(seen) == n - 1
+
+
 def test_scoring_odd(spark):
     small = lm_score.Settings(head=16, known=32, in_class=8)
     out = lm_score.score(odd(spark), settings=small).collect()
