@@ -1,9 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the bag of its lower-cased shingles of five words (all words of a shorter text). A shingle weighs its count
-times idf = 1 + ln((1 + N) / (1 + max(df, RARE * N))): document frequencies are counted exactly over all documents,
-and every shingle in at most RARE of them is equally rare. So only the shingles above that share have to be known to
-the tasks; their number is at most the mean number of shingles of a text divided by RARE, whatever the corpus.
+times idf = 1 + ln((1 + N) / (1 + df)), with the exact document frequencies of all shingles. Texts are dealt by
+hash to chunks; of each chunk the distinct shingles and their counts go, packed, to buckets by hash, where they are
+summed, and those in more than one document go back to the chunks that have them. So a common shingle is one entry a
+chunk, no table of frequencies is held whole anywhere, and a text keeps the frequencies of its own shared shingles.
 
 Each sample of a text is a shingle and a level (Ioffe's scheme); two texts agree in a sample with the probability of
 their weighted Jaccard similarity. Bands of samples make buckets. In a bucket, each text is first compared with one
@@ -20,6 +21,8 @@ in no bucket; rows that repeat id and text are one document. Equal texts are tol
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,10 @@ from loomgraph.llm.graph import components
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 3
-RARE = 0.05
+#: Share of the documents under which shingles weigh alike: none do.
+RARE = 0.0
+#: Texts of a chunk and shingles of a bucket, about.
+CHUNK, BUCKET = 1000, 2_000_000
 SLOTS = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: The random draws of the sampling scheme: Gamma(2, 1) twice and a uniform one, by slot of a shingle's hash.
@@ -68,14 +74,25 @@ class Shingler:
 
 
 class Weights:
-    """Document frequencies of the shingles that are not rare, as idf weights."""
+    """Document frequencies of shingles as idf weights; one that is not listed is in one document."""
 
-    def __init__(self, total: int, rows: list[tuple[int, int]], rare: float):
+    def __init__(self, total: int, rows: list[tuple[int, int]], rare: float = RARE):
+        self.total, self.floor = total, rare * total
+        self.rare = float(self._idf(1.0))
         rows = sorted(rows)
-        self.hash = np.array([h for h, _ in rows], np.uint64)
-        idf = lambda df: 1 + np.log((1 + total) / (1 + np.maximum(df, rare * total)))
-        self.idf = idf(np.array([n for _, n in rows], np.float64)) if rows else np.zeros(0)
-        self.rare = float(idf(0.0))
+        self._list(np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.float64))
+
+    def _idf(self, df):
+        return 1 + np.log((1 + self.total) / (1 + np.maximum(df, self.floor)))
+
+    def _list(self, shingles: np.ndarray, df: np.ndarray) -> Weights:
+        self.hash, self.idf = shingles, self._idf(df)
+        return self
+
+    def of(self, shared: bytes) -> Weights:
+        """With the packed frequencies of a text's own shingles."""
+        own = np.frombuffer(shared, np.uint64).reshape(2, -1)
+        return copy(self)._list(own[0], own[1].astype(np.float64))
 
     def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = counts * self.rare
@@ -86,65 +103,79 @@ class Weights:
         return out
 
 
-def frequencies(texts: DataFrame, rare: float = RARE) -> Weights:
-    """texts: text. Exact document frequencies of all shingles in more than that share of the documents.
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and the sums of their counts."""
+    found, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return found, np.bincount(place.reshape(-1), weights=np.concatenate([n for _, n in parts]), minlength=len(found)).astype(np.uint64)
 
-    A shingle in a share of all documents is in at least that share of some partition, so the partitions' own frequent
-    shingles are all the candidates; these are then counted everywhere.
-    """
-    texts = texts.where("text is not null")
-    total = texts.count()
-    if not total:
-        return Weights(0, [], rare)
-
-    # enough documents in a partition that its share means two documents
-    texts = texts.coalesce(max(1, int(total * rare / 2)))
-
-    def frequent(batches):
-        shingler, rows, docs, parts = Shingler(), 0, 0, []
-        kept, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def merge(dropped: int):
-            both = np.concatenate([kept, *parts])
-            n = np.concatenate([count, np.ones(sum(map(len, parts)), np.int64)])
-            found, place = np.unique(both, return_inverse=True)
-            total_of = np.bincount(place, weights=n, minlength=len(found)).astype(np.int64)
-            stay = total_of > dropped
-            return found[stay], total_of[stay]
-
-        cut = 0
-        for batch in batches:
-            for text in batch["text"]:
-                own, _ = shingler(text)
-                parts.append(own)
-                rows, docs = rows + len(own), docs + 1
-                if rows > 2_000_000:  # lossy counting: what is under a tenth of the share so far is forgotten
-                    cut = int(docs * rare / 10)
-                    kept, count = merge(cut)
-                    parts, rows = [], len(kept)
-        if docs:
-            kept, count = merge(0)
-            stay = count + cut >= max(2, docs * rare)
-            yield pd.DataFrame({"hash": kept[stay].view(np.int64)})
-
-    candidates = texts.mapInPandas(frequent, "hash long").distinct()
-    wanted = np.sort(np.array([r["hash"] for r in candidates.toLocalIterator()], np.int64).view(np.uint64))
-    if not len(wanted):
-        return Weights(total, [], rare)
-
-    def counted(batches):
-        shingler, n = Shingler(), np.zeros(len(wanted), np.int64)
+
+def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
+    """dealt: chunk, text. chunk and shared: packed shingles of a chunk in more than one document of all, and in how many."""
+    width = np.uint64(-(-(1 << 64) // buckets))
+
+    def by_bucket(batches):
+        shingler = Shingler()
         for batch in batches:
-            for text in batch["text"]:
-                own, _ = shingler(text)
-                if len(own):
-                    at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                    n[at[wanted[at] == own]] += 1
-        yield pd.DataFrame({"hash": wanted[n > 0].view(np.int64), "n": n[n > 0]})
+            for chunk, texts in batch.groupby("chunk")["text"]:
+                own = [shingler(t)[0] for t in texts]
+                shingles, n = _summed([(x, np.ones(len(x))) for x in own])
+                if not len(shingles):
+                    continue
+                bucket = shingles // width
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                ends = np.r_[starts[1:], len(shingles)]
+                yield pd.DataFrame({"chunk": chunk, "bucket": bucket[starts].astype(np.int64), "held": [np.concatenate([shingles[a:b], n[a:b]]).tobytes() for a, b in zip(starts, ends, strict=True)]})
+
+    def known(pdf):
+        parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in pdf["held"]]
+        shingles, n = _summed([(x[0], x[1]) for x in parts])
+        shingles, n = shingles[n > 1], n[n > 1]
+        out = []
+        for own, _ in parts:
+            at = np.minimum(np.searchsorted(shingles, own), max(len(shingles) - 1, 0))
+            hit = shingles[at] == own if len(shingles) else np.zeros(len(own), bool)
+            out.append(np.concatenate([own[hit], n[at[hit]]]).tobytes())
+        made = pd.DataFrame({"chunk": pdf["chunk"], "shared": out})
+        return made[made["shared"].str.len() > 0]
+
+    held = dealt.mapInPandas(by_bucket, "chunk long, bucket long, held binary")
+    return held.groupBy("bucket").applyInPandas(known, "chunk long, shared binary")
+
+
+def weighed(rows: DataFrame) -> tuple[DataFrame, Weights]:
+    """rows: d, node, text, not null. d, node, shared (packed frequencies of the text's shared shingles) and bands.
+
+    A text without words has no bands.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    weights = Weights(size["n"], [])
+    chunks = -(-max(1, size["n"]) // CHUNK)
+    buckets = max(64, (size["chars"] or 0) // 6 // BUCKET)
+    # one shuffle of the texts, for the counts and for what comes back
+    dealt = rows.withColumn("chunk", F.pmod("node", F.lit(chunks))).repartition("chunk")
+
+    def look(texts, back):
+        shingler, sampler = Shingler(), Sampler(weights)
+        parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in back["shared"]]
+        shingles, n = _summed([(x[0], x[1]) for x in parts]) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        # a shingle comes back once for each part of its chunk that was counted apart
+        times = _summed([(x[0], np.ones(len(x[0]))) for x in parts])[1] if parts else n
+        n = n // np.maximum(times, 1).astype(np.uint64)
+        made, shared, bands = {}, [], []
+        for node, text in zip(texts["node"], texts["text"], strict=True):
+            if node not in made:
+                own, counts = shingler(text)
+                at = np.minimum(np.searchsorted(shingles, own), max(len(shingles) - 1, 0))
+                hit = shingles[at] == own if len(shingles) else np.zeros(len(own), bool)
+                packed = np.concatenate([own[hit], n[at[hit]]]).astype(np.uint64).tobytes()
+                made[node] = packed, sampler(own, counts, weights.of(packed)) if len(own) else None
+            shared.append(made[node][0])
+            bands.append(made[node][1])
+        return pd.DataFrame({"n": texts["n"], "i": texts["i"], "h": texts["h"], "node": texts["node"], "shared": shared, "bands": bands})
 
-    sums = texts.mapInPandas(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    rows = [(int(np.int64(r["hash"]).view(np.uint64)), r["n"]) for r in sums.where(F.col("n") > rare * total).toLocalIterator()]
-    return Weights(total, rows, rare)
+    flat = dealt.select("chunk", "d.n", "d.i", "d.h", "node", "text")
+    found = flat.groupBy("chunk").cogroup(_counted(flat, buckets).groupBy("chunk")).applyInPandas(look, "n int, i long, h long, node long, shared binary, bands array<long>")
+    return found.select(F.struct("n", "i", "h").alias("d"), "node", "shared", "bands"), weights
 
 
 class Sampler:
@@ -160,8 +191,8 @@ class Sampler:
         level = np.floor(log_weight / r + shift)
         return (np.log(c) - r * (level - shift + 1)).astype(np.float32), level.astype(np.int32)
 
-    def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = self.weights(shingles, counts)
+    def __call__(self, shingles: np.ndarray, counts: np.ndarray, weights: Weights | None = None) -> np.ndarray:
+        weight = (weights or self.weights)(shingles, counts)
         odd_ones = np.flatnonzero(weight != self.weights.rare)
         value, level = self.usual
         chosen, levels = np.empty(len(ODD), np.uint64), np.empty(len(ODD), np.int64)
@@ -193,45 +224,31 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / (total - least)) if total > 0 else 0.0
 
 
-def _banded(texts: DataFrame, weights: Weights) -> DataFrame:
-    """texts: node, text. node, bands (a key for each band); texts without words have none."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def bands(texts: pd.Series) -> pd.Series:
-        shingler, sampler, out = Shingler(), Sampler(weights), []
-        for text in texts:
-            own = shingler(text)
-            out.append(sampler(*own) if len(own[0]) else None)
-        return pd.Series(out)
-
-    return texts.withColumn("bands", bands("text"))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similar: float) -> DataFrame:
-    """pairs: u, v. Those whose texts (texts: node, text) are similar."""
+    """pairs: u, v. Those whose texts (texts: node, text, shared) are similar."""
 
     @F.pandas_udf(T.DoubleType())
-    def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
+    def likeness(left: pd.Series, left_shared: pd.Series, right: pd.Series, right_shared: pd.Series) -> pd.Series:
         shingler, kept = Shingler(), {}
 
-        def bag(text):
+        def bag(text, shared):
             if text not in kept:
                 if len(kept) > 500:
                     kept.clear()
                 own, counts = shingler(text)
-                kept[text] = own, weights(own, counts)
+                kept[text] = own, weights.of(shared)(own, counts)
             return kept[text]
 
-        return pd.Series([weighted_jaccard(bag(a), bag(b)) for a, b in zip(left, right, strict=True)])
+        return pd.Series([weighted_jaccard(bag(a, x), bag(b, y)) for a, x, b, y in zip(left, left_shared, right, right_shared, strict=True)])
 
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("right"))
+    left = texts.select(F.col("node").alias("u"), F.col("text").alias("left"), F.col("shared").alias("left_shared"))
+    right = texts.select(F.col("node").alias("v"), F.col("text").alias("right"), F.col("shared").alias("right_shared"))
     both = pairs.join(left, "u").join(right, "v")
-    return both.where(likeness("left", "right") >= similar).select("u", "v").distinct()
+    return both.where(likeness("left", "left_shared", "right", "right_shared") >= similar).select("u", "v").distinct()
 
 
 def _first_parts(texts: DataFrame, weights: Weights, similar: float) -> DataFrame:
-    """texts: node, text. node, total, and shingle and rest (the weight from it on) of each node's first part.
+    """texts: node, text, shared. node, total, and shingle and rest (the weight from it on) of each node's first part.
 
     Shingles are in order of the number of these texts that have them, the rarest first. A shingle is in the first part
     if what comes from it on weighs similar * total at least.
@@ -241,11 +258,11 @@ def _first_parts(texts: DataFrame, weights: Weights, similar: float) -> DataFram
         shingler, rows = Shingler(), 0
         node, shingle, weight = [], [], []
         for batch in batches:
-            for key, text in zip(batch["node"], batch["text"], strict=True):
+            for key, text, shared in zip(batch["node"], batch["text"], batch["shared"], strict=True):
                 own, counts = shingler(text)
                 node.append(np.full(len(own), key, np.int64))
                 shingle.append(own.view(np.int64))
-                weight.append(weights(own, counts))
+                weight.append(weights.of(shared)(own, counts))
                 rows += len(own)
                 if rows > 200_000:
                     yield pd.DataFrame({"node": np.concatenate(node), "shingle": np.concatenate(shingle), "weight": np.concatenate(weight)})
@@ -264,7 +281,7 @@ def _first_parts(texts: DataFrame, weights: Weights, similar: float) -> DataFram
                     out.append(pd.DataFrame({"node": key, "shingle": shingle[keep], "rest": rest[keep], "total": rest[0]}))
                 yield pd.concat(out)
 
-    each = texts.select("node", "text").mapInPandas(bags, "node long, shingle long, weight double")
+    each = texts.select("node", "text", "shared").mapInPandas(bags, "node long, shingle long, weight double")
     held = each.groupBy("shingle").agg(F.count("*").alias("n")).withColumnRenamed("shingle", "s")
     shared = each.join(held, F.col("shingle") == F.col("s"))
     ordered = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "weight"))).alias("bag")).select("node", "bag.n", "bag.shingle", "bag.weight")
@@ -306,10 +323,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     """node (hash of a text), first (doc_key of the class's first document), class_size (documents), of each text."""
     rows = docs.select(doc_key(F.col(id_col), F.col(text_col)).alias("d"), F.col(text_col).alias("text")).where("text is not null")
     rows = rows.withColumn("node", F.xxhash64("text"))
-    weights = frequencies(rows.select("text"))
-    nodes = written(
-        _banded(rows, weights).groupBy("node").agg(F.min("d").alias("d"), F.first("bands").alias("bands"), F.count("*").alias("n")), "texts"
-    )
+    found, weights = weighed(rows)
+    found = written(found, "weighed")
+    nodes = written(found.groupBy("node").agg(F.min("d").alias("d"), F.first("bands").alias("bands"), F.count("*").alias("n")), "texts")
     members = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
     # the one to compare with: the least in an order of the band's own
     pivots = (
@@ -319,7 +335,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     )
     buckets = written(members.join(pivots, ["band", "key"]), "buckets")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "d"), "node").select("node", F.col("d").alias("k"))
-    texts = written(rows.select("d", "text").join(wanted, same_row(F.col("d"), F.col("k"))).select("node", "text"), "compared")
+    # rows that repeat id and text are one
+    shared = found.select("d", "shared").join(wanted, same_row(F.col("d"), F.col("k"))).select("node", "shared").dropDuplicates(["node"])
+    own = rows.select("d", "text").join(wanted, same_row(F.col("d"), F.col("k"))).select(F.col("node").alias("t"), "text")
+    texts = written(own.join(shared, F.col("t") == F.col("node")).select("node", "text", "shared"), "compared")
     pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     stars = buckets.where("node <> pivot").select(*pair("node", "pivot")).distinct()
     linked = written(_verified(stars, texts, weights, similar), "links")

@@ -495,6 +495,22 @@ def test_near_classes(docs, corpus):
     assert {i: r.class_id for i, r in got.items()} == {i: root(i) for i, *_ in corpus}
 
 
+def test_common_passages_alone_do_not_join(spark):
+    passage = words(34, "passage")
+    rows = [(i, " ".join(words(60, f"far{i}"))) for i in range(400)]
+    rows += [(1000 + i, " ".join([*passage, *words(3, f"own{i}", 100000)])) for i in range(15)]
+    bags = [bag(t) for _, t in rows]
+    df = Counter(s for b in bags for s in b)
+
+    def likeness(least):
+        weight = lambda s: 1 + math.log((1 + len(rows)) / (1 + max(df[s], least)))
+        return sum(weight(s) for s in bags[-1].keys() & bags[-2].keys()) / sum(weight(s) for s in bags[-1].keys() | bags[-2].keys())
+
+    assert likeness(0.05 * len(rows)) > 0.8 > likeness(0)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_size == 1 for r in got)
+
+
 def test_sampling_agrees_with_similarity():
     import numpy as np
 
