@@ -4,7 +4,9 @@ Documents overlap where they share a rare line: one of at least `seed_words` wor
 line only the first (by doc_id, null last) is aligned with each of the others, so pairs grow with the number of shared
 lines and not with the square of a group. A pair is aligned by patience diff: lines that are unique on both sides are
 anchors, the longest increasing run of anchors is kept, gaps between anchors are aligned in the same way, and anchors
-grow over equal neighbours. What is aligned in the later document, with any partner, and makes a block of at least
+grow over equal neighbours. In a gap without such a line, the first occurrence on one side is paired with the first on
+the other, the second with the second and so on, so that no gap is left that has a line on both sides. Further
+occurrences in the later document of what is aligned go with the same lines of the first. What is aligned in the later document, with any partner, and makes a block of at least
 `block_words` words in consecutive lines is deleted. A line stays in the first document that has it, so no content is
 lost from the corpus.
 
@@ -59,6 +61,8 @@ def patience(later: dict[int, int], earlier: dict[int, int]) -> list[tuple[int,
             theirs_at.setdefault(earlier[p], []).append(p)
         unique = [(p[0], theirs_at[h][0]) for h, p in mine_at.items() if len(p) == 1 and len(theirs_at.get(h, ())) == 1]
         anchors = _increasing(sorted(unique))
+        if not anchors:
+            anchors = _increasing(sorted(x for h, p in mine_at.items() for x in zip(p, theirs_at.get(h, ()), strict=False)))
         if not anchors:
             continue
         grown: list[tuple[int, int]] = []
@@ -85,6 +89,12 @@ def patience(later: dict[int, int], earlier: dict[int, int]) -> list[tuple[int,
     return sorted(done)
 
 
+def aligned_places(later: dict[int, int], earlier: dict[int, int]) -> list[int]:
+    """The later's places that are aligned, with further occurrences of aligned lines."""
+    found = {later[a] for a, _ in patience(later, earlier)}
+    return sorted(p for p, line in later.items() if line in found)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _aligned(lines: pd.Series) -> pd.Series:
     """Of a pair's shared lines, the later document's places that are aligned."""
@@ -95,7 +105,7 @@ def _aligned(lines: pd.Series) -> pd.Series:
             later[x["place"]] = x["line"]
             for p in x["first_places"]:
                 earlier[int(p)] = x["line"]
-        out.append([a for a, _ in patience(later, earlier)])
+        out.append(aligned_places(later, earlier))
     return pd.Series(out)
 
 

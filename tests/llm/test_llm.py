@@ -116,6 +116,27 @@ def test_line_dedup(docs, corpus):
     assert out[30].partners == [0]
 
 
+def test_repeated_passages_align():
+    once, twice = {0: 1, 1: 2}, {0: 1, 1: 2, 5: 1, 6: 2}
+    assert line_dedup.aligned_places(twice, once) == [0, 1, 5, 6]
+    assert line_dedup.aligned_places(once, twice) == [0, 1]
+    assert line_dedup.aligned_places({**twice, 3: 9}, {7: 9, **twice}) == [0, 1, 3, 5, 6]
+    draw = random.Random(4)
+    for _ in range(200):
+        a, b = ({i: draw.randrange(6) for i in range(draw.randrange(1, 15))} for _ in range(2))
+        pairs = [(-1, -1), *line_dedup.patience(a, b), (99, 99)]
+        for (x, y), (u, v) in zip(pairs, pairs[1:], strict=False):
+            assert not {a[k] for k in a if x < k < u} & {b[k] for k in b if y < k < v}
+
+
+def test_line_dedup_of_repeated_passages(spark):
+    p = [" ".join(words(7, f"p{i}")) for i in range(2)]
+    own = [" ".join(words(7, f"own{i}")) for i in range(4)]
+    rows = [(1, "\n".join([*p, own[0], *p])), (2, "\n".join([*p, own[1]])), (3, "\n".join([*p, own[2], *p, own[3]]))]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: own[1], 3: "\n".join(own[2:])}
+
+
 def test_line_dedup_odd(spark):
     out = line_dedup.deduplicated(clashing(odd(spark)))
     assert out.count() == 7 and out.columns == clashing(odd(spark)).columns
