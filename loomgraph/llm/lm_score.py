@@ -2,13 +2,15 @@
 
 Counts of all words are taken over all training documents. The `head` most frequent words are the network's own
 vocabulary, in classes of neighbouring frequency; its output is factored, P(class) * P(word in class), both softmax.
-Every other word is in one of eight classes by its shape, where it has its share of the class's counts, and a word that
-no training document has gets the class's share of words seen once (Good-Turing). So a text's score is the log10
-probability of all its tokens over the same events as the base score.
+Every other word is in one of eight classes by its shape, where it has its share of the class's counts; a word that no
+training document has counts as one token there, one event a class. So the events are those of the base score (known
+words, and a word that is not known), their probabilities add up to 1, and an unseen word costs about what it costs in
+the base score. A text's score is the log10 probability of all its tokens.
 
 Training is truncated backpropagation through time in numpy, one pass over all training documents: these are dealt by
 hash to `rounds` disjoint slices; in a round each partition trains on all its documents of one slice, from the same
-weights, and the weights are averaged by tokens. Texts become places in the vocabulary once, for training and scoring.
+weights, and the weights are averaged by tokens, block by block in two steps; so the weights depend on how the table is
+partitioned. Texts become places in the vocabulary once, for training and scoring.
 Scoring carries the state across windows, so a document is scored whole.
 
 Defined cases: a null text is empty and has one token, its end; a null doc_id is in no fold and so neither held out nor
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -32,6 +35,8 @@ END = b"\n"
 SHAPES = 8
 #: Bins of counts per e-fold, to find the frequent words without sorting all.
 COUNT_BINS = 32
+#: Weights of a block, partitions that train at most, and those that are summed in a step.
+BLOCK, MOST_SHARDS, SUMMED = 8192, 1024, 32
 #: Tokens that are trained on at a time; what a task holds does not grow with its partition.
 PIECE = 1 << 20
 #: How places are stored; the head has to fit.
@@ -115,8 +120,7 @@ class Vocabulary:
 
     head: dict[int, int]
     counts: dict[int, int]
-    log_known: np.ndarray  # by shape: log10((1 - unseen) / total)
-    log_unseen: np.ndarray
+    log_share: np.ndarray  # by shape: log10 of the share that one token has of its class's words outside the head
     total: int
     distinct: int
     cache: dict[bytes, tuple[int, int, int]] = field(default_factory=dict)
@@ -153,16 +157,14 @@ def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
     if end not in known:
         known[end] = sum(r["count"] for r in counts.where(F.col("hash") == end).select("count").collect())
     # counts of the words outside the head, by shape
-    by_shape = {r["shape"]: r for r in counts.groupBy("shape").agg(F.sum("count").alias("n"), F.sum((F.col("count") == 1).cast("int")).alias("ones")).collect()}
-    total, ones = np.zeros(SHAPES), np.zeros(SHAPES)
-    for s, r in by_shape.items():
-        total[s], ones[s] = r["n"], r["ones"]
+    total = np.zeros(SHAPES)
+    for r in counts.groupBy("shape").agg(F.sum("count").alias("n")).collect():
+        total[r["shape"]] = r["n"]
     places = counts.sparkSession.createDataFrame([(h,) for h in head], "h long")
-    for r in counts.join(F.broadcast(places), F.col("hash") == F.col("h")).groupBy("shape").agg(F.sum("count").alias("n"), F.sum((F.col("count") == 1).cast("int")).alias("ones")).collect():
+    for r in counts.join(F.broadcast(places), F.col("hash") == F.col("h")).groupBy("shape").agg(F.sum("count").alias("n")).collect():
         total[r["shape"]] -= r["n"]
-        ones[r["shape"]] -= r["ones"]
-    unseen = np.clip((ones + 0.5) / (total + 1), 1e-6, 0.9)
-    return Vocabulary(head, known, np.log10((1 - unseen) / np.maximum(total, 1)), np.log10(unseen), sums["n"], sums["v"])
+    share = -np.log10(total + 1)
+    return Vocabulary(head, known, share, sums["n"], sums["v"])
 
 
 class Network:
@@ -191,7 +193,7 @@ class Network:
                 count[i] = max(1, vocab.counts.get(w, 1))
             self.bo[:] = np.log(count)
             mass = [count[i : i + settings.in_class].sum() for i in range(0, self.n, settings.in_class)]
-            rest = np.maximum(1, 10 ** -vocab.log_known * (1 - 10**vocab.log_unseen))
+            rest = np.maximum(1, 10**-vocab.log_share)
             self.bc[:] = np.log(np.concatenate([mass, rest]) / (sum(mass) + rest.sum()))
 
     def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -359,6 +361,14 @@ class Network:
         return logits
 
 
+SHARD = "part int, block int, weights array<double>, n long"
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of weights of one block; of a bounded number of rows."""
+    return pd.DataFrame({"part": [0], "block": rows["block"].iloc[:1], "weights": [np.sum(list(rows["weights"]), axis=0)], "n": [rows["n"].sum()]})
+
+
 def train(encoded: DataFrame, vocab: Vocabulary, settings: Settings) -> tuple[np.ndarray, int]:
     """encoded: key, places. The averaged weights and the number of tokens learned."""
     flat, learned = Network(vocab, settings).flat, 0
@@ -380,16 +390,15 @@ def train(encoded: DataFrame, vocab: Vocabulary, settings: Settings) -> tuple[np
                         parts, size = [stream[-1:]], 1
             net.train(np.concatenate(parts))
             if n:
-                yield pd.DataFrame({"weights": [net.flat], "n": [float(n)]})
+                blocks = range(0, len(net.flat), BLOCK)
+                yield pd.DataFrame({"part": TaskContext.get().partitionId() // SUMMED, "block": list(blocks), "weights": [net.flat[k : k + BLOCK] * np.float64(n) for k in blocks], "n": n})
 
         chosen = F.pmod(F.xxhash64("key"), F.lit(settings.rounds)) == turn
-        shards = encoded.where(chosen).select("places").mapInPandas(shard, "weights array<float>, n double")
-        mean = shards.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), F.sum("n").alias("n"))
-        rows = mean.toPandas()
-        if len(rows):
-            flat = np.zeros(len(flat), np.float32)
-            flat[rows["i"].to_numpy()] = rows["w"].to_numpy()
-            learned += int(rows["n"].iloc[0])
+        shards = encoded.where(chosen).select("places").coalesce(MOST_SHARDS).mapInPandas(shard, SHARD)
+        mean = shards.groupBy("block", "part").applyInPandas(_added, SHARD).groupBy("block").applyInPandas(_added, SHARD).collect()
+        if mean:
+            flat = np.concatenate([np.array(r["weights"]) / r["n"] for r in sorted(mean, key=lambda r: r["block"])]).astype(np.float32)
+            learned += mean[0]["n"]
     return flat, learned
 
 
@@ -424,7 +433,7 @@ def encode(slim: DataFrame, vocab: Vocabulary) -> DataFrame:
                 base[i] = (many * np.log10(np.maximum(count, 0) + 1.0)).sum() + np.log10(end + 1)
                 outside = here & (place >= len(vocab.head))
                 of = place[outside] - len(vocab.head)
-                flat[i] = (many[outside] * (vocab.log_known[of] + np.log10(np.maximum(count[outside], 1)))).sum()
+                flat[i] = (many[outside] * (vocab.log_share[of] + np.log10(np.maximum(count[outside], 1)))).sum()
                 tails.append(hashed[~here])
                 times.append((many * SHAPES + place - len(vocab.head))[~here])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [len(x) for x in docs], "known": known, "base": base, "flat": flat, "tail": tails, "times": times, "places": [x.tobytes() for x in docs]})
@@ -456,7 +465,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, settings: Settings = S
     looked = rest.join(counts.select("hash", "count"), "hash", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("many")).otherwise(0)).alias("more_known"),
         F.sum(F.col("many") * F.log10(F.coalesce(c, F.lit(0)) + 1)).alias("more_base"),
-        F.sum(F.col("many") * F.when(c > 0, pick(vocab.log_known) + F.log10(c)).otherwise(pick(vocab.log_unseen))).alias("more"),
+        F.sum(F.col("many") * (pick(vocab.log_share) + F.log10(F.coalesce(c, F.lit(1))))).alias("more"),
     )
     out = made.join(looked, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
