@@ -37,6 +37,11 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     )
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits that tell texts apart; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def key_id(key: Column) -> Column:
     """The doc_id within a doc_key."""
     return F.when(key["n"] == 0, key["i"])

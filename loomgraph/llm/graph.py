@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import written
 
+#: Links that a file of a settled table holds, about.
+FILE_ROWS = 2_000_000
+
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over (u, v), v < u."""
@@ -18,21 +21,30 @@ def _stars(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: u, v (longs). node, label of each node that has an edge; label is the least node of its component.
+def _settled(edges: DataFrame, most: int | None) -> tuple[DataFrame, tuple]:
+    """The table, written, and what tells it from any other: its number of rows and two sums of 64-bit hashes.
+
+    most: a bound on the rows, for the number of files.
+    """
+    seen = Observation()
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    marked = edges.observe(seen, F.count("*").alias("n"), total("u", "v").alias("a"), total("v", "u", F.lit(1)).alias("b"))
+    out = written(marked if most is None else marked.coalesce(1 + most // FILE_ROWS), "edges")
+    return out, tuple(seen.get[k] for k in ("n", "a", "b"))
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame | None:
+    """edges: u, v, of any type that can be ordered. node, label of each node that has an edge, None without edges;
+    label is the least node of its component.
 
-    Rounds double the reach, so their number grows with the logarithm of the longest path.
+    Rounds double the reach, so their number grows with the logarithm of the longest path. A round is one job.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    sign = None
+    now, sign = _settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None)
+    if not sign[0]:
+        return None
     for _ in range(most_rounds):
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
-        if state == sign:
-            break
-        sign = state
-        if not state["n"]:
-            break
-        now = written(_stars(now), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        now, after = _settled(_stars(now), sign[0] * 2)
+        if after == sign:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        sign = after
+    raise RuntimeError("components did not settle")
