@@ -1,33 +1,42 @@
 """Line deduplication by pairwise alignment of documents.
 
-Documents overlap where they share a rare line: one of at least `seed_words` words. Of the documents that share a
-line only the first (by doc_id, null last) is aligned with each of the others, so pairs grow with the number of shared
-lines and not with the square of a group. A pair is aligned by patience diff: lines that are unique on both sides are
+A seed is a line of at least `seed_words` words, or as few lines in a row as have so many words together; so short and
+blank lines belong to the line after them, those at a document's end to the one before. Documents overlap where they
+share a seed. Each document is aligned with the first document (by doc_id, null last) that has one of its seeds, for
+every seed, and, by seeds that are rare (in at most `rare` documents), with the one just before it, too. So pairs grow
+with the number of shared seeds and not with the square of a group, and common lines still find their first holder.
+
+A pair is aligned by patience diff over all seeds that it shares: those that are unique on both sides are
 anchors, the longest increasing run of anchors is kept, gaps between anchors are aligned in the same way, and anchors
-grow over equal neighbours. In a gap without such a line, the first occurrence on one side is paired with the first on
-the other, the second with the second and so on, so that no gap is left that has a line on both sides. Further
-occurrences in the later document of what is aligned go with the same lines of the first. What is aligned in the later document, with any partner, and makes a block of at least
-`block_words` words in consecutive lines is deleted. A line stays in the first document that has it, so no content is
-lost from the corpus.
+grow over equal neighbours. In a gap without such a seed, the first occurrence on one side is paired with the first on
+the other, the second with the second and so on, so that no gap is left that has a seed on both sides. Further
+occurrences in the later document of what is aligned go with the same lines of the first. What is aligned in the later
+document, with any partner, and makes a block of at least `block_words` words in consecutive lines is deleted. A line
+stays in the first document that has it, so no content is lost from the corpus.
 
 Defined cases: null text stays null, empty text empty; a document whose lines are all deleted keeps the empty text;
-rows that repeat id and text are one document and get one result; blank and short lines are no seeds and no anchors,
-but go when a block grows over them; further columns pass through whatever their names.
+rows that repeat id and text are one document and get one result; a document of fewer than `seed_words` words has no
+seed; further columns pass through whatever their names. Seeds are told by 128-bit hashes.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
-from loomgraph.llm.common import WORD, doc_key, key_id, same_row
+from loomgraph.llm.common import doc_key, key_id, same_row, written
 
 SEED_WORDS = 3
 BLOCK_WORDS = 5
+#: Documents that a rare seed is in, at most.
+RARE = 100
 EDITED = T.StructType().add("text", "string").add("removed", "integer").add("partners", T.ArrayType(T.LongType()))
 
 
@@ -96,16 +105,20 @@ def aligned_places(later: dict[int, int], earlier: dict[int, int]) -> list[int]:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _aligned(lines: pd.Series) -> pd.Series:
-    """Of a pair's shared lines, the later document's places that are aligned."""
+def _aligned(seeds: pd.Series) -> pd.Series:
+    """Of a pair's shared seeds, the later document's lines that are aligned."""
     out = []
-    for pair in lines:
-        later, earlier = {}, {}
-        for x in pair:
-            later[x["place"]] = x["line"]
-            for p in x["first_places"]:
-                earlier[int(p)] = x["line"]
-        out.append(aligned_places(later, earlier))
+    for pair in seeds:
+        later, earlier, around = {}, {}, []
+        for k, x in enumerate(pair):
+            later.update((int(p), k) for p in x["places"])
+            earlier.update((int(p), k) for p in x["earlier"])
+            around.append((x["before"], x["after"]))
+        lines = set()
+        for p in aligned_places(later, earlier):
+            before, after = around[later[p]]
+            lines.update(range(p - before, p + after + 1))
+        out.append(sorted(lines))
     return pd.Series(out)
 
 
@@ -113,21 +126,79 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def aligned_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
+def seeds_of(text: str, seed_words: int = SEED_WORDS) -> dict[bytes, tuple[int, int, list[int]]]:
+    """Of each seed's hash, how many lines before and after its place it holds, and its places."""
+    raw = text.encode("utf-8", "replace").split(b"\n")
+    words = [len(x.split()) for x in raw]
+    out: dict[bytes, tuple[int, int, list[int]]] = {}
+    last, last_line = len(raw), b""
+    # from the end on: where the seed ends that begins in the next line
+    ends, end, have = [0] * len(raw), len(raw) - 1, 0
+    for p in range(len(raw) - 1, -1, -1):
+        have += words[p]
+        while have - words[end] >= seed_words and end > p:
+            have -= words[end]
+            end -= 1
+        ends[p] = end if have >= seed_words else -1
+        if ends[p] >= 0 and last == len(raw):
+            last, last_line = p, b"\n".join(raw[p:])  # the last line that begins a seed
+    if last == len(raw):
+        return out
+    for p in range(len(raw)):
+        if ends[p] >= 0:
+            before, after, content = 0, ends[p] - p, raw[p] if ends[p] == p else b"\n".join(raw[p : ends[p] + 1])
+        else:
+            before, after, content = p - last, len(raw) - 1 - p, b"%d from the end\n%s" % (len(raw) - p, last_line)
+        out.setdefault(xxh3_128_digest(content), (before, after, []))[2].append(p)
+    return out
+
+
+def seed_table(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
+    """docs: d (a doc_key), text. d, seed, before, after and places: a row for each document and seed."""
+
+    def table(batches):
+        for batch in batches:
+            row, seed, before, after, size, places = [], [], [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                for h, (b, a, at) in (seeds_of(text, seed_words) if text else {}).items():
+                    row.append(k)
+                    seed.append(h)
+                    before.append(b)
+                    after.append(a)
+                    size.append(len(at))
+                    places += at
+            taken = pa.array(row, pa.int64())
+            ends = pa.array(np.concatenate([[0], np.cumsum(size, dtype=np.int32)]).astype(np.int32), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(places, pa.int32()))
+            keys = [batch.column(c).take(taken) for c in ("n", "i", "h")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(seed, pa.binary()), pa.array(before, pa.int32()), pa.array(after, pa.int32()), lists], ["n", "i", "h", "seed", "before", "after", "places"])
+
+    flat = docs.select("d.n", "d.i", "d.h", "text").mapInArrow(table, "n int, i long, h long, seed binary, before int, after int, places array<int>")
+    return flat.select(F.struct("n", "i", "h").alias("d"), "seed", "before", "after", "places")
+
+
+def overlapping(seeds: DataFrame, rare: int = RARE) -> DataFrame:
+    """seeds: as of seed_table, written. d and e of the documents that are to be aligned, e the earlier one."""
+    held = seeds.groupBy("seed").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n")).where("first <> last")
+    holders = written(held.select(F.col("seed").alias("s"), "first", "n"), "holders")
+    shared = seeds.select("seed", "d").join(holders, F.col("seed") == F.col("s"))
+    firsts = shared.where("d <> first").select("d", F.col("first").alias("e"))
+    # at most `rare` documents in a list
+    chains = shared.where(F.col("n") <= rare).groupBy("seed").agg(F.array_distinct(F.array_sort(F.collect_list("d"))).alias("ds"))
+    steps = chains.select(F.explode(F.arrays_zip(F.slice("ds", F.lit(2), F.size("ds")).alias("d"), F.slice("ds", F.lit(1), F.size("ds") - 1).alias("e"))).alias("x"))
+    return firsts.unionAll(steps.select("x.d", "x.e")).distinct()
+
+
+def aligned_lines(docs: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE) -> DataFrame:
     """docs: d (a doc_key), text. d, place and partner of lines that are aligned with an earlier document."""
-    lines = (
-        docs.select("d", F.posexplode(_lines(F.col("text"))).alias("place", "t"))
-        .select("d", "place", F.xxhash64("t").alias("line"), F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).alias("words"))
-        .where(F.col("words") >= seed_words)
-    )
-    # within a document first, so that a group below has a row for each document
-    own = lines.groupBy("line", "d").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    holders = own.groupBy("line").agg(F.min(F.struct("d", "places")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = holders.select(F.col("line").alias("l"), F.col("first.d").alias("e"), F.col("first.places").alias("first_places"))
-    shared = own.join(firsts, F.col("line") == F.col("l")).where(F.col("d") != F.col("e"))
-    each = shared.select("d", "e", "line", "first_places", F.explode("places").alias("place"))
-    pairs = each.groupBy("d", "e").agg(F.collect_list(F.struct("place", "line", "first_places")).alias("lines"))
-    return pairs.select("d", F.col("e").alias("partner"), F.explode(_aligned("lines")).alias("place"))
+    seeds = written(seed_table(docs, seed_words), "seeds")
+    pairs = overlapping(seeds, rare)
+    mine = seeds.withColumnRenamed("d", "own")
+    theirs = seeds.select(F.col("d").alias("other"), F.col("seed").alias("t"), F.col("places").alias("earlier"))
+    each = pairs.join(mine, same_row(F.col("d"), F.col("own"))).drop("own")
+    both = each.join(theirs, (F.col("seed") == F.col("t")) & same_row(F.col("e"), F.col("other")))
+    whole = both.groupBy("d", "e").agg(F.collect_list(F.struct("before", "after", "places", "earlier")).alias("seeds"))
+    return whole.select("d", F.col("e").alias("partner"), F.explode(_aligned("seeds")).alias("place"))
 
 
 @F.pandas_udf(EDITED)
@@ -153,11 +224,11 @@ def _without(texts: pd.Series, aligned: pd.Series, block_words: pd.Series) -> pd
     return pd.DataFrame(out, columns=["text", "removed", "partners"])
 
 
-def dedup(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (the document as a struct, its text as before), text without the blocks, n_removed, partners."""
     key = doc_key(F.col(id_col), F.col(text_col))
     slim = docs.select(key.alias("d"), F.col(text_col).alias("text"))
-    found = aligned_lines(slim, seed_words)
+    found = aligned_lines(slim, seed_words, rare)
     blocks = found.groupBy("d").agg(F.collect_set(F.struct("place", key_id(F.col("partner")).alias("partner"))).alias("aligned"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("k"))
     joined = rows.join(blocks, same_row(F.col("k"), F.col("d")), "left")
