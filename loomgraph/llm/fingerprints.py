@@ -4,9 +4,12 @@ The terms of a text are its shingles of five lower-cased words (all words of a s
 Each term votes with its weight for or against each of 128 bits, by the bits of its hash; the fingerprint has the bits
 that won. Likeness is the cosine that the Hamming distance stands for, cos(pi * distance / 128), at least 0.
 
-Search cuts fingerprints into radius + 2 blocks. Two within the radius agree in at least two whole blocks, so a table
-for each pair of blocks, keyed by both, finds them all; candidates are compared in full. Tables hold a hash of both blocks. Equal fingerprints are one
-entry of a table, and a key with many entries is cut into cells that are compared cell by cell.
+One changed word changes five shingles, so fingerprints of near copies are far apart in bits. The search therefore has
+a print of its own, with single words as terms: a text of a few hundred words with a word changed is about 3 bits away,
+one with a shingle similarity of 0.8 about 8. Search cuts prints into radius + 2 blocks. Two within the radius agree in
+at least two whole blocks, so a table for each pair of blocks, keyed by both, finds them all; candidates are compared in
+full. Tables hold a hash of both blocks. A stated set of queries is searched against all prints; equal prints are one
+entry of a table.
 
 Defined cases: a null text is an empty one; a text without words has the fingerprint of zeros; rows that repeat doc_id
 and text are one document in search; in a cycle of one document it is its own next.
@@ -30,8 +33,10 @@ from loomgraph.llm.common import doc_key, key_id, same_row, written
 BITS = 128
 WORDS = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Entries of a cell.
-CELL = 256
+#: Bits that prints of near copies may differ in.
+RADIUS = 7
+#: Every so many ids one is a query.
+QUERY_EVERY = 50
 
 
 class SimHash:
@@ -48,11 +53,11 @@ class SimHash:
             known[w] = xxh64_intdigest(w.encode("utf-8", "replace"))
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def of(self, own: np.ndarray) -> str:
-        """From the hashes of a text's words."""
+    def of(self, own: np.ndarray, n: int = WORDS) -> str:
+        """From the hashes of a text's words; n words are a term."""
         if not len(own):
             return "0" * (BITS // 4)
-        n = min(WORDS, len(own))
+        n = min(n, len(own))
         terms = np.zeros(len(own) - n + 1, np.uint64)
         for k in range(n):
             terms = terms * BASE + own[k : len(own) - n + 1 + k]
@@ -84,24 +89,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(distance(a, b) * float(np.pi / BITS)))
 
 
-def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """prints: fingerprint. a, b (a < b) and distance of all distinct fingerprints within the radius."""
+def _entries(prints: DataFrame, radius: int) -> DataFrame:
+    """key and bits of each distinct print in the table of each pair of blocks."""
     blocks = radius + 2
     edges = [round(i * BITS / 4 / blocks) for i in range(blocks + 1)]
-    cut = [F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
+    cut = [F.substring("print", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
     tables = F.array(*[F.xxhash64(F.lit(i), F.lit(j), cut[i], cut[j]) for i, j in combinations(range(blocks), 2)])
-    entries = prints.select("fingerprint").distinct().select(F.unhex("fingerprint").alias("bits"), F.explode(tables).alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("cells", F.ceil(F.col("n") / CELL))
-    placed = entries.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("bits"), F.col("cells")))
-    # every entry meets the entries of its own and of later cells
-    left = placed.select("key", F.explode(F.sequence("cell", F.col("cells") - 1)).alias("other"), F.hex("bits").alias("a"))
-    right = placed.select("key", F.col("cell").alias("other"), F.hex("bits").alias("b"))
-    far = distance(F.col("a"), F.col("b"))
-    pairs = left.join(right, ["key", "other"]).where((F.col("a") != F.col("b")) & (far <= radius)).select(F.lower("a").alias("a"), F.lower("b").alias("b"), far.alias("distance"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+    return prints.select("print").distinct().select(F.unhex("print").alias("bits"), F.explode(tables).alias("key"))
 
 
-RESULT = T.StructType().add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string")
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """queries and prints: print. query, print and distance of each query and each other print within the radius."""
+    left = _entries(queries, radius).select("key", F.col("bits").alias("query"))
+    far = distance(F.hex("query"), F.hex("bits"))
+    pairs = left.join(_entries(prints, radius), "key").where((F.col("query") != F.col("bits")) & (far <= radius))
+    return pairs.select(F.lower(F.hex("query")).alias("query"), F.lower(F.hex("bits")).alias("print"), far.alias("distance")).distinct()
+
+
+RESULT = T.StructType().add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("word_print", "string")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -136,7 +141,7 @@ def _edited(packed: pd.Series, starts: pd.Series) -> pd.DataFrame:
             same = max(0, len(text[: len(text) - cut].lower().split()) - 1)
             same = same if words[:same] == changed[:same] else 0
         other = np.concatenate([own[:same], make.words(changed[same:])]) if cut else own
-        out.append((len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), make.of(own), make.of(other)))
+        out.append((len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), make.of(own), make.of(other), make.of(own, 1)))
     return pd.DataFrame(out, columns=RESULT.names)
 
 
@@ -164,10 +169,11 @@ def following(keys: DataFrame) -> DataFrame:
     return within.join(after, F.col("range") == F.col("r")).select("d", F.coalesce("lead", "first_after").alias("next"))
 
 
-def edited_report(docs: DataFrame, radius: int = 3) -> DataFrame:
+def edited_report(docs: DataFrame, radius: int = RADIUS, query_every: int = QUERY_EVERY) -> DataFrame:
     """Of every document: its fingerprint, that of its text with the last quarter replaced by the start of the next
-    document's, the likeness of its fingerprint to both the edited text's and the next document's, and n_near, the
-    number of other fingerprints of the table within the radius.
+    document's, the likeness of its fingerprint to both the edited text's and the next document's, its word_print, and,
+    for queries (documents whose id is divisible by query_every), n_near, the number of other word prints of the table
+    within the radius; null for the others.
 
     Texts are shuffled once, by document: the join that tells a text whom its start goes to and the join that brings it
     the next one's start read the same shuffle.
@@ -184,14 +190,16 @@ def edited_report(docs: DataFrame, radius: int = 3) -> DataFrame:
     ).dropDuplicates(["ti", "th", "tn"])
     joined = rows.join(starts, (F.col("i") == F.col("ti")) & (F.col("h") == F.col("th")) & (F.col("n") == F.col("tn")))
     made = written(joined.select(F.struct("n", "i", "h").alias("d"), _edited("packed", "start").alias("x")).select("d", "x.*"), "fingerprints")
-    links = within_radius(made, radius)
-    near = links.select("a").unionAll(links.select(F.col("b"))).groupBy("a").agg(F.count("*").alias("n_near"))
+    prints_of = made.select("d", F.col("word_print").alias("print"))
+    is_query = key_id(F.col("d")) % query_every == 0
+    links = within_radius(prints_of.where(is_query), prints_of, radius)
+    near = links.groupBy("query").agg(F.count("*").alias("n_near"))
     prints = made.groupBy("d").agg(F.min("fingerprint").alias("next_print")).withColumnRenamed("d", "k")
     nexts = chain.join(prints, F.col("next") == F.col("k")).select(F.col("d").alias("c"), "next_print")
-    out = made.join(nexts, same_row(F.col("d"), F.col("c"))).join(near, F.col("fingerprint") == F.col("a"), "left")
+    out = made.join(nexts, same_row(F.col("d"), F.col("c"))).join(near, F.col("word_print") == F.col("query"), "left")
     return out.select(
         key_id(F.col("d")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
-        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        "word_print", F.when(is_query, F.coalesce("n_near", F.lit(0))).alias("n_near"),
     )
