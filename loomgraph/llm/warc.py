@@ -86,6 +86,7 @@ def _record(date: str) -> Column:
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         ("WARC-Profile", F.when(~response, F.lit(PROFILE))),
         ("WARC-Refers-To", F.when(~response, _record_id(F.col("refers_to")))),
+        ("WARC-Refers-To-Date", F.when(~response, F.lit(date))),
         ("WARC-Refers-To-Target-URI", F.when(~response, _uri(F.col("refers_to_url"), F.col("refers_to")))),
         ("X-Page-Id", F.col("page_id").cast("string")),
         ("X-Refers-To-Page-Id", F.col("refers_to").cast("string")),
@@ -161,6 +162,22 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     return files.select("content").mapInPandas(rows, SCHEMA)
 
 
+def with_payloads(records: DataFrame) -> DataFrame:
+    """records: as of read_archives. Revisit records get the payload of the response that they refer to."""
+    originals = records.where("record_type = 'response'").select(F.col("page_id").alias("o"), F.col("payload_digest").alias("g"), F.col("payload").alias("original")).dropDuplicates(["o", "g"])
+    same = F.col("refers_to").eqNullSafe(F.col("o")) & (F.col("payload_digest") == F.col("g")) & (F.col("record_type") == "revisit")
+    return records.join(originals, same, "left").select(*[F.coalesce("payload", "original").alias(c) if c == "payload" else c for c in records.columns])
+
+
+#: What the report tells, computed from the pages, for DuckDB.
+ORACLE_SQL = f"""WITH hashed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32),
+    lambda i: substr('{BASE32}', ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (5 * (7 - i % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to FROM firsts"""
+
+
 def archive_report(pages: DataFrame) -> DataFrame:
     """Writes the pages to archives in the shared folder and tells what is read back."""
     spark = pages.sparkSession
