@@ -3,7 +3,7 @@
 A change says that a document came (insert), went (delete) or has a new count (revise) under a tokenizer version. Each
 is a signed delta of documents and tokens; a batch of changes is summed by source, language and tokenizer version and
 committed as a small table of its own, named by the batch. A batch that is committed already is left as it is, and one
-that was broken off is written anew: so a batch may be replayed any number of times. Totals are the sums over the
+that was broken off is written anew: so a batch may be replayed any number of times. One writer at a time commits. Totals are the sums over the
 committed batches.
 
 Defined cases: a null text has 0 tokens; null sources and languages are groups of their own; groups whose documents and
@@ -17,10 +17,11 @@ import unicodedata
 import uuid
 
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import doc_key, written
+from loomgraph.llm.common import doc_key, text_hash, written
 from loomgraph.session import shared_dir
 
 TOKENIZERS = "/opt/tokenizers"
@@ -45,11 +46,16 @@ def revised(text: str) -> str:
 
 
 def count_tokens(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, folder: str = TOKENIZERS) -> DataFrame:
-    """docs: d, source, lang, text. Adds, in place of text, tokenizer, n_tokens and revised_tokens (of the text as
-    revised() leaves it), a row for each version."""
+    """docs: d, source, lang, text. Adds, in place of text, its 128-bit hash t (a null text is an empty one), tokenizer,
+    n_tokens and revised_tokens (of the text as revised() leaves it), a row for each version.
+
+    The rank files are the driver's; Spark takes them to the executors.
+    """
+    for v in versions:
+        docs.sparkSession.sparkContext.addFile(f"{folder}/{v}.tiktoken")
 
     def counts(batches):
-        encodings = [(v, load_encoding(folder, v)) for v in versions]
+        encodings = [(v, load_encoding(SparkFiles.getRootDirectory(), v)) for v in versions]
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             later = [revised(t) for t in texts]
@@ -58,9 +64,9 @@ def count_tokens(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, folder:
                 m = [k if a == b else len(encoding.encode_ordinary(b)) for a, b, k in zip(texts, later, n, strict=True)]
                 yield batch.drop(columns="text").assign(tokenizer=version, n_tokens=n, revised_tokens=m)
 
-    flat = docs.select("d.n", "d.i", "d.h", "source", "lang", "text")
-    made = flat.mapInPandas(counts, "n int, i long, h long, source string, lang string, tokenizer string, n_tokens long, revised_tokens long")
-    return made.select(F.struct("n", "i", "h").alias("d"), *GROUPS, "n_tokens", "revised_tokens")
+    flat = docs.select("d.n", "d.i", "d.h", text_hash(F.coalesce("text", F.lit(""))).alias("t"), "source", "lang", "text")
+    made = flat.mapInPandas(counts, "n int, i long, h long, t binary, source string, lang string, tokenizer string, n_tokens long, revised_tokens long")
+    return made.select(F.struct("n", "i", "h").alias("d"), "t", *GROUPS, "n_tokens", "revised_tokens")
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -118,8 +124,10 @@ def token_report(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     changed = ledger.where("revised_tokens <> n_tokens").select(
         F.lit("revise").alias("kind"), *GROUPS, F.col("revised_tokens").alias("n_tokens"), F.col("n_tokens").alias("old_tokens")
     )
-    first = ledger.groupBy(F.col("d.h").alias("text_hash")).agg(F.min("d").alias("first"))
-    copies = ledger.join(first, F.col("d.h") == F.col("text_hash")).where("d <> first")
+    held = ledger.groupBy("t").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last")
+    # a table of its own, so that Spark can split the rows of a text with very many copies
+    held = written(held.select(F.col("t").alias("text"), "first"), "copied")
+    copies = ledger.join(held, F.col("t") == F.col("text")).where("d <> first")
     went = copies.select(F.lit("delete").alias("kind"), *GROUPS, F.col("revised_tokens").alias("n_tokens"), F.lit(0).alias("old_tokens"))
     for batch, changes in enumerate((came, changed, went)):
         rollup.commit(changes, batch)
