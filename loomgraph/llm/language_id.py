@@ -6,7 +6,8 @@ one-versus-rest ridge regression in it is solved from sums over the training row
 product of its presence matrix and the folded weights.
 
 The model is fitted on a bounded sample of labelled rows (`landmarks_per_class`, `rows_per_class`), chosen by a hash
-of the row among rows that the caller names; prediction reads every text whole.
+of the row among rows that the caller names; landmarks are texts of at most `LANDMARK_CHARS` characters. More labels
+than `MOST_LABELS` raise. Prediction reads every text whole.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled row all texts are
 `und`; repeated rows get equal predictions; ties go to the first label in order.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import fold
 
 UNDETERMINED = "und"
+#: Bounds of what the driver gets: labels, and characters of a landmark.
+MOST_LABELS, LANDMARK_CHARS = 200, 20_000
 BITS = 18
 GRAMS = (1, 2, 3, 4)
 MULTIPLIER = np.uint32(0x9E3779B1)
@@ -80,7 +83,10 @@ def _sample(labelled: DataFrame, per_class: int) -> DataFrame:
 def fit(labelled: DataFrame, landmarks_per_class: int = 60, rows_per_class: int = 2000, ridge: float = 1e-3) -> LanguageModel:
     """labelled: key, text, label. The numbers of landmarks and of rows are bounds of the sample, per label."""
     labelled = labelled.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = [(r["label"], r["text"]) for r in _sample(labelled, landmarks_per_class).select("label", "text").collect()]
+    if labelled.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    short = labelled.where(F.length("text") <= LANDMARK_CHARS)
+    chosen = [(r["label"], r["text"]) for r in _sample(short, landmarks_per_class).select("label", "text").collect()]
     labels = sorted({x for x, _ in chosen})
     if not labels:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
