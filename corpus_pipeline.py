@@ -6,13 +6,11 @@ Rows with a null or letterless text go in the first stage. An empty table passes
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontamination, language_id, line_dedup, mixing, near_dedup
 from loomgraph.llm.common import read
-from loomgraph.session import shared_dir
+from loomgraph.session import scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if i + 1 == len(STAGES):
             return out
-        path = f"{shared_dir(spark)}/stage-{i}-{name}-{uuid.uuid4().hex}"
+        path = scratch(spark, f"stage-{i}-{name}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

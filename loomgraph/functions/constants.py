@@ -75,3 +75,17 @@ CONTEXT_FILES = 8
 SNIPPET_CHARS = 800
 PROMPT_CHARS = 500
 CHARS_PER_TOKEN = 4
+
+#: Java's regular expressions with \\w, \\s and \\b as Unicode classes and only \\n as a line's end.
+JS_IMPORTS = [
+    r"""(?dU)import\s+(?:.*?\s+from\s+)?['"]([^'"]+)['"]""",
+    r"""(?dU)require\s*\(\s*['"]([^'"]+)['"]\s*\)""",
+    r"""(?dU)import\s*\(\s*['"]([^'"]+)['"]\s*\)""",
+]
+JS_FUNCTIONS = r"(?dU)(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(|(?:async\s+)?function\s*\*?\s*(\w+)\s*\()"
+JAVA_IMPORTS = r"(?dmU)^import\s+([\w.]+)\s*;"
+JAVA_METHODS = r"(?dU)(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+(\w+)\s*\("
+
+#: Marks of failed model requests: kinds by parts of the error's name, and by parts of its message.
+ERROR_NAMES = {"auth": ["AuthenticationError"], "rate_limit": ["RateLimitError"], "model": ["NotFoundError"], "connection": ["ConnectionError", "Timeout", "APIError"]}
+ERROR_MESSAGES = {"auth": ["401"], "rate_limit": ["429"], "model": ["404", "model"], "connection": []}

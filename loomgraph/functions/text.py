@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.functions.constants import CATEGORIES, COMPLEXITY_BANDS, COMPLEXITY_KEYWORDS, INTENTS, LANGUAGES, RISK_BANDS
-
-#: Java's regular expressions with \w, \s and \b as Unicode classes and only \n as a line's end.
-UNICODE = "(?dU)"
+from loomgraph.functions.constants import (
+    CATEGORIES,
+    COMPLEXITY_BANDS,
+    COMPLEXITY_KEYWORDS,
+    ERROR_MESSAGES,
+    ERROR_NAMES,
+    INTENTS,
+    JAVA_IMPORTS,
+    JAVA_METHODS,
+    JS_FUNCTIONS,
+    JS_IMPORTS,
+    LANGUAGES,
+    RISK_BANDS,
+)
 
 
 def count_substring(text: Column, part: str) -> Column:
@@ -117,39 +130,33 @@ def humanised_bytes(size: Column) -> Column:
 
 def error_class(name: Column, message: Column) -> Column:
     """Kind of a failed model request, by the error's name and message; the first that fits."""
-    return (
-        F.when(name.contains("AuthenticationError") | message.contains("401"), "auth")
-        .when(name.contains("RateLimitError") | message.contains("429"), "rate_limit")
-        .when(name.contains("NotFoundError") | message.contains("404") | F.lower(message).contains("model"), "model")
-        .when(name.contains("ConnectionError") | name.contains("Timeout") | name.contains("APIError"), "connection")
-        .otherwise("other")
-    )
+    kind = F.lit("other")
+    for k in reversed(ERROR_NAMES):
+        marks = [name.contains(x) for x in ERROR_NAMES[k]] + [F.lower(message).contains(x) for x in ERROR_MESSAGES[k]]
+        kind = F.when(reduce(or_, marks), k).otherwise(kind)
+    return kind
 
 
 def js_imports(source: Column) -> Column:
     """Static, required and dynamic imports, one pattern after another; packages by their first part."""
-    quoted = r"""['"]([^'"]+)['"]"""
-    patterns = [rf"import\s+(?:.*?\s+from\s+)?{quoted}", rf"require\s*\(\s*{quoted}\s*\)", rf"import\s*\(\s*{quoted}\s*\)"]
-    found = F.concat(*[F.regexp_extract_all(source, F.lit(UNICODE + p), F.lit(1)) for p in patterns])
+    found = F.concat(*[F.regexp_extract_all(source, F.lit(p), F.lit(1)) for p in JS_IMPORTS])
     package = lambda x: F.regexp_replace(F.substring_index(x, "/", 1), "^@+", "")
     return F.transform(found, lambda x: F.when(x.startswith("."), x).otherwise(package(x)))
 
 
 def js_functions(source: Column) -> Column:
-    pattern = UNICODE + r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(|(?:async\s+)?function\s*\*?\s*(\w+)\s*\()"
-    first, second, third = (F.regexp_extract_all(source, F.lit(pattern), F.lit(k)) for k in (1, 2, 3))
+    first, second, third = (F.regexp_extract_all(source, F.lit(JS_FUNCTIONS), F.lit(k)) for k in (1, 2, 3))
     both = lambda a, b: F.concat(a, b)
     joined = F.zip_with(F.zip_with(first, second, both), third, both)
     return F.filter(joined, lambda x: x != "")
 
 
 def java_imports(source: Column) -> Column:
-    found = F.regexp_extract_all(source, F.lit(r"(?dmU)^import\s+([\w.]+)\s*;"), F.lit(1))
-    return F.transform(found, lambda x: F.substring_index(x, ".", 1))
+    return F.transform(F.regexp_extract_all(source, F.lit(JAVA_IMPORTS), F.lit(1)), lambda x: F.substring_index(x, ".", 1))
 
 
 def java_functions(source: Column) -> Column:
-    return F.regexp_extract_all(source, F.lit(UNICODE + r"(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+(\w+)\s*\("), F.lit(1))
+    return F.regexp_extract_all(source, F.lit(JAVA_METHODS), F.lit(1))
 
 
 def sse_tokens(body: Column) -> Column:
@@ -158,3 +165,14 @@ def sse_tokens(body: Column) -> Column:
     payloads = F.transform(lines, lambda x: F.trim(F.substring(x, 7, 1 << 30)))
     done = F.array_position(payloads, "[DONE]")
     return F.when(done > 0, F.slice(payloads, F.lit(1), (done - 1).cast("int"))).otherwise(payloads)
+
+
+def streamed_answer(body: Column) -> Column:
+    """content and confidence of an event stream of JSON objects: contents joined, the last confidence there is.
+
+    Payloads that are no JSON are left out.
+    """
+    parsed = F.transform(sse_tokens(body), lambda x: F.from_json(x, "content string, confidence double"))
+    content = F.array_join(F.transform(parsed, lambda x: F.coalesce(x["content"], F.lit(""))), "")
+    told = F.filter(F.transform(parsed, lambda x: x["confidence"]), lambda c: c.isNotNull())
+    return F.struct(content.alias("content"), F.try_element_at(told, F.lit(-1)).alias("confidence"))

@@ -64,24 +64,57 @@ def last_turns(conversations: DataFrame, most: int, conversation: str = "conv_id
     return conversations.withColumn("back", back).where(F.col("back") <= most).drop("back")
 
 
+def _listed(title: str, items: Column, most: int) -> Column:
+    """Up to `most` items in a line; null without any."""
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"{title}: "), F.array_join(F.slice(items, F.lit(1), F.lit(most)), ", ")))
+
+
+def _bullets(title: str, items: Column, most: int) -> Column:
+    """Up to `most` items, one a line; null without any."""
+    lines = F.transform(F.slice(items, F.lit(1), F.lit(most)), lambda x: F.concat(F.lit("* "), x))
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n")))
+
+
 def file_block(f: Column) -> Column:
-    """One file of a prompt, from a struct as analyze's context makes it."""
-    bullets = lambda items, n: F.transform(F.slice(items, F.lit(1), F.lit(n)), lambda x: F.concat(F.lit("  - "), x))
-    listed = lambda title, items, n: F.when(F.size(items) > 0, F.concat(F.lit(title), F.array_join(F.slice(items, F.lit(1), F.lit(n)), ", ")))
+    """One file of a prompt, from a struct as analyze's context makes it: 8 imports, 5 importers, 4 issues, 3 reasons
+    and 20 lines of its text at most."""
     lines = F.split(f["snippet"], "\n")
-    code = F.concat(F.array_join(F.slice(lines, F.lit(1), F.lit(20)), "\n"), F.when(F.size(lines) > 20, "\n… (truncated)").otherwise(""))
+    code = F.concat(F.array_join(F.slice(lines, F.lit(1), F.lit(20)), "\n"), F.when(F.size(lines) > 20, "\n(more follows)").otherwise(""))
+    facts = F.concat_ws(", ", f["language"], F.concat(f["risk_level"], F.lit(" risk")), F.concat(f["lines"].cast("string"), F.lit(" lines")), F.when(f["is_entry"], "entry point"))
     return F.concat_ws(
-        "\n",
-        F.concat(F.lit("### "), f["rel_path"]),
-        F.concat(F.lit("Language: "), f["language"], F.lit("  |  Risk: "), F.upper(f["risk_level"]), F.lit("  |  Lines: "), f["lines"].cast("string")),
-        F.when(f["is_entry"], "Role: ENTRY POINT"),
-        listed("Imports: ", f["imports"], 8),
-        listed("Imported by: ", f["imported_by"], 5),
-        F.when(F.size(f["issues"]) > 0, F.concat(F.lit("Issues:\n"), F.array_join(bullets(f["issues"], 4), "\n"))),
-        F.when(F.size(f["reasoning"]) > 0, F.concat(F.lit("Risk reasons:\n"), F.array_join(bullets(f["reasoning"], 3), "\n"))),
-        F.when(f["snippet"] != "", F.concat(F.lit("Source snippet:\n```"), F.lower(f["language"]), F.lit("\n"), code, F.lit("\n```"))),
+        "\n", F.concat(F.lit("File "), f["rel_path"], F.lit(" ("), facts, F.lit(")")), _listed("uses", f["imports"], 8), _listed("used by", f["imported_by"], 5),
+        _bullets("problems", f["issues"], 4), _bullets("why this risk", f["reasoning"], 3),
+        F.when(f["snippet"] != "", F.concat(F.lit("```"), F.lower(f["language"]), F.lit("\n"), code, F.lit("\n```"))),
     )
 
 
-def section(title: str, body: Column) -> Column:
-    return F.concat(F.lit(f"\n## {title}\n"), F.trim(body), F.lit("\n"))
+def section(title: Column | str, body: Column) -> Column:
+    """A titled part of a prompt; null where the body is null."""
+    return F.concat(F.lit("# "), F.lit(title) if isinstance(title, str) else title, F.lit("\n"), F.trim(body), F.lit("\n"))
+
+
+def prompt() -> Column:
+    """The prompt of a context row: question, project, focus, problems of the whole, failures, files, and what to answer.
+
+    Parts without content are left out.
+    """
+    by_share = F.array_sort(F.transform(F.map_entries("language_distribution"), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k"))))
+    languages = F.array_join(F.transform(by_share, lambda e: F.concat(e["k"], F.lit(" "), F.round(-e["s"]).cast("int").cast("string"), F.lit(" %"))), ", ")
+    fact = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    project = F.concat_ws(
+        "\n", fact("root", F.col("root")), fact("files", F.col("total_files").cast("string")), fact("languages", languages), fact("issues", F.col("total_issues").cast("string")),
+        fact("cycles", F.col("circular_dependency_count").cast("string")), F.coalesce(_listed("entry points", F.col("entry_points"), 6), F.lit("entry points: none found")),
+        fact("most central", F.coalesce("most_central_file", F.lit("none"))), _listed("high risk", F.col("high_risk_files"), 4),
+    )
+    failure = lambda c: F.concat(
+        F.lit("* "), c["root"], F.coalesce(F.concat(F.lit(" fails: "), F.left(c["error"], F.lit(60))), F.lit(" fails")), F.coalesce(F.concat(F.lit("; "), _listed("affects", c["impacts"], 5)), F.lit(""))
+    )
+    failures = F.array_join(F.transform(F.slice("failure_chains", F.lit(1), F.lit(3)), failure), "\n")
+    blocks = F.array_join(F.transform("files", file_block), "\n\n")
+    return F.concat_ws(
+        "\n", section("Question", F.col("question")), section("Project", project), section("File in focus", F.col("focus_file")),
+        F.when(F.size("global_issues") > 0, section("Problems of the whole project", F.array_join(F.transform("global_issues", lambda g: F.concat(F.lit("* "), g)), "\n"))),
+        F.when(F.size("failure_chains") > 0, section("Failures and what they affect", failures)),
+        section(F.concat(F.lit("Files that matter ("), F.size("files").cast("string"), F.lit(" selected)")), F.when(F.size("files") > 0, blocks).otherwise("No file was chosen.")),
+        section("Answer", F.lit("Use what is given above and nothing else. Close with a line `Confidence: n%`, n from 0 to 100.")),
+    )

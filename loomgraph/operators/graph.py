@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import ENTRY_STEMS
-from loomgraph.operators.storage import settled
+from loomgraph.operators.storage import numbered, settled
 
 
 def digraph(edges: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def degrees(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
 
 
 def role(stem: Column | None = None) -> Column:
-    """entry, dead or null, from in_degree and out_degree; the first rule that fits."""
-    named = stem.isin(ENTRY_STEMS) if stem is not None else F.lit(False)
+    """entry, dead or null, from in_degree and out_degree; the first rule that fits. Stems are told in any case."""
+    named = F.lower(stem).isin(ENTRY_STEMS) if stem is not None else F.lit(False)
     return F.when((F.col("in_degree") == 0) & (F.col("out_degree") > 0), "entry").when(F.col("in_degree") == 0, "dead").when(named, "entry")
 
 
@@ -105,7 +105,7 @@ def cycles(edges: DataFrame, most_paths: int = 1_000_000) -> DataFrame:
             break
         if n > most_paths:
             raise RuntimeError(f"{n} open paths; the limit is {most_paths}")
-        grown = paths.join(step, F.element_at("members", -1) == F.col("from"))
+        grown = settled(paths.join(step, F.element_at("members", -1) == F.col("from")).select("members", "to"), "grown")
         found.append(grown.where(F.col("to") == F.col("members")[0]).select("members"))
         further = (F.col("to") > F.col("members")[0]) & ~F.array_contains("members", F.col("to"))
         paths = grown.where(further).select(F.concat("members", F.array("to")).alias("members"))
@@ -126,14 +126,17 @@ def ancestors(edges: DataFrame, roots: DataFrame, key: str = "root") -> DataFram
     return seen.where("root <> node").select("root", F.col("node").alias("ancestor"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "node", most_pairs: int = 10**11) -> DataFrame:
     """node and centrality: the share of shortest paths that pass through it, directed, over (n - 1)(n - 2).
 
     Breadth-first search from all nodes at once, a level a round, then the dependencies back, a level a round: rows of
-    (start, node) are shuffled, and no task needs the whole graph.
+    (start, node) are shuffled, and no task needs the whole graph. The rows grow with the square of the nodes that reach
+    each other; beyond most_pairs possible ones this raises.
     """
     step = digraph(edges).select(F.col("source").alias("from"), F.col("target").alias("to"))
     n = nodes.count()
+    if n * n > most_pairs:
+        raise RuntimeError(f"{n} nodes have more than {most_pairs} pairs")
     front = settled(nodes.select(F.col(key).alias("start"), F.col(key).alias("node"), F.lit(1.0).alias("paths")), "level")
     levels, seen = [front], front.select("start", "node")
     while True:
@@ -168,47 +171,94 @@ def most_central(metrics: DataFrame, key: str = "node", order: str = "node") ->
 
 
 def topo_levels(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame | None:
-    """node and level, the longest path from a node without incoming edges; None if the graph has a cycle."""
-    step = digraph(edges).select(F.col("source").alias("from"), F.col("target").alias("to"))
-    front = settled(nodes.join(step, F.col(key) == F.col("to"), "left_anti").select(F.col(key).alias("node"), F.lit(0).alias("level")), "level")
-    levels, most = [front], nodes.count()
-    while True:
-        reached = front.join(step, F.col("node") == F.col("from")).select(F.col("to").alias("node")).distinct()
-        front = settled(reached.withColumn("level", F.lit(len(levels))), "level")
-        if front.isEmpty():
-            break
-        if len(levels) > most:
+    """node and level, the longest path from a node without incoming edges; None if the graph has a cycle.
+
+    Each round takes the nodes that no edge of the rest leads to, so the rounds are as many as the levels, and a cycle
+    ends them.
+    """
+    rest = settled(digraph(edges), "edges")
+    left = settled(nodes.select(F.col(key).alias("node")).distinct(), "nodes")
+    levels = []
+    while not left.isEmpty():
+        free = settled(left.join(rest, F.col("node") == F.col("target"), "left_anti").withColumn("level", F.lit(len(levels))), "level")
+        if free.isEmpty():
             return None
-        levels.append(front)
-    out = reduce(DataFrame.unionAll, levels).groupBy("node").agg(F.max("level").alias("level"))
-    return None if out.count() < most else out
+        levels.append(free)
+        left = settled(left.join(free, "node", "left_anti"), "nodes")
+        rest = settled(rest.join(free.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"), "edges")
+    return reduce(DataFrame.unionAll, levels) if levels else nodes.select(F.col(key).alias("node"), F.lit(0).alias("level"))
 
 
 def level_layout(levels: DataFrame) -> DataFrame:
     """x and y of each node by its place in its level."""
-    level = Window.partitionBy("level")
-    place, count = F.row_number().over(level.orderBy("node")) - 1, F.count("*").over(level)
-    top = F.max("level").over(Window.partitionBy())
-    return levels.select("node", "level", ((place - count / 2) * 2 / F.greatest(count, F.lit(1))).alias("x"), (1 - F.col("level") / F.greatest(top, F.lit(1))).alias("y"))
+    top = levels.agg(F.greatest(F.max("level"), F.lit(1)).alias("top"))
+    placed = numbered(levels.select("node", "level"), ["node"], ["level"]).crossJoin(F.broadcast(top))  # one row
+    return placed.select("node", "level", ((F.col("place") - F.col("size") / 2) * 2 / F.greatest("size", F.lit(1))).alias("x"), (1 - F.col("level") / F.col("top")).alias("y"))
 
 
 def circular_layout(nodes: DataFrame, key: str = "node") -> DataFrame:
-    everyone = Window.partitionBy()
-    angle = 2 * F.pi() * (F.row_number().over(Window.orderBy(key)) - 1) / F.count("*").over(everyone)
-    return nodes.select(F.col(key).alias("node"), F.cos(angle).alias("x"), F.sin(angle).alias("y"))
+    angle = 2 * F.pi() * F.col("place") / F.col("size")
+    placed = numbered(nodes.select(F.col(key).alias("node"), F.lit(0).alias("all")), ["node"], ["all"])
+    return placed.select("node", F.cos(angle).alias("x"), F.sin(angle).alias("y"))
+
+
+def _spread(state: DataFrame, step: DataFrame) -> DataFrame:
+    """state: node, color; step: from, to. The least color that reaches each node."""
+    while True:
+        reached = state.join(step, F.col("node") == F.col("from")).groupBy("to").agg(F.min("color").alias("new"))
+        joined = state.join(reached, F.col("node") == F.col("to"), "left")
+        after = settled(joined.select("node", F.least("color", "new").alias("color"), F.coalesce(F.col("new") < F.col("color"), F.lit(False)).alias("changed")), "colors")
+        state = after.select("node", "color")
+        if after.where("changed").isEmpty():
+            return state
+
+
+def on_a_cycle(edges: DataFrame) -> DataFrame:
+    """node: those on some cycle, which are the strongly connected components of two nodes and more.
+
+    Of what is left of the edges, each node gets the least node that reaches it as its color; the nodes of a color that
+    reach that node back are a component. Components go and the rest is colored again. No cycle is listed, so the work
+    does not grow with their number.
+    """
+    rest, found = on_cycles_only(edges), []
+    while not rest.isEmpty():
+        step = rest.select(F.col("source").alias("from"), F.col("target").alias("to"))
+        nodes = rest.select(F.col("source").alias("node")).union(rest.select("target")).distinct()
+        colors = _spread(settled(nodes.select("node", F.col("node").alias("color")), "colors"), step)
+        inside = colors.select(F.col("node").alias("from"), F.col("color").alias("c1")).join(step, "from").join(colors.select(F.col("node").alias("to"), F.col("color").alias("c2")), "to").where("c1 = c2")
+        back = settled(inside.select(F.col("to").alias("at"), F.col("from").alias("next")), "back")
+        front = settled(colors.where("node = color").select("node"), "front")
+        seen = front
+        while True:
+            front = settled(front.join(back, F.col("node") == F.col("at")).select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
+            if front.isEmpty():
+                break
+            seen = seen.unionAll(front)
+        component = colors.join(seen, "node", "left_semi")
+        alone = component.groupBy("color").agg(F.count("*").alias("n")).where("n = 1")
+        found.append(settled(component.join(alone, "color", "left_anti").select("node"), "component"))
+        gone = component.select("node")
+        for end in ("source", "target"):
+            rest = rest.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+        rest = on_cycles_only(rest.select("source", "target"))
+    kind = dict(edges.dtypes)["source"]
+    return reduce(DataFrame.unionAll, found) if found else edges.sparkSession.createDataFrame([], f"node {kind}")
 
 
 def in_cycle(cycle_rows: DataFrame) -> DataFrame:
     return cycle_rows.select(F.explode("members").alias("node")).distinct()
 
 
-def edge_class(edges: DataFrame, on_cycle: DataFrame) -> DataFrame:
-    """class: circular if either end is on a cycle, else regular."""
+def edge_class(edges: DataFrame, on_cycle: DataFrame, highlighted=None) -> DataFrame:
+    """class: highlight if either end is the highlighted node, circular if either end is on a cycle, else regular."""
     flagged = edges
     for end in ("source", "target"):
         flagged = flagged.join(on_cycle.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_on")), end, "left")
     either = F.coalesce("source_on", F.lit(False)) | F.coalesce("target_on", F.lit(False))
-    return flagged.select("source", "target", F.when(either, "circular").otherwise("regular").alias("class"))
+    kind = F.when(either, "circular").otherwise("regular")
+    if highlighted is not None:
+        kind = F.when((F.col("source") == highlighted) | (F.col("target") == highlighted), "highlight").otherwise(kind)
+    return flagged.select("source", "target", kind.alias("class"))
 
 
 def trimmed(metrics: DataFrame, edges: DataFrame, most: int = 120, key: str = "node", highlighted: list | None = None) -> tuple[DataFrame, DataFrame]:

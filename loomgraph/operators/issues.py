@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -70,14 +71,15 @@ def containing(texts: DataFrame, words: DataFrame, key: str = "key", text: str =
 
 def _found_in(words: list[str]):
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def found(texts: pd.Series) -> pd.Series:
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
+        machine = ahocorasick.Automaton()  # one for a task
         for w in words:
             machine.add_word(w, w)
         machine.make_automaton()
-        return texts.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t else [])
+        for texts in batches:
+            yield texts.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t else [])
 
     return found
 
@@ -92,10 +94,10 @@ def unused_functions(functions: DataFrame, analyses: DataFrame) -> DataFrame:
     return _issue(rows, 4, "low", "unused_function", "rel_path", F.concat(F.lit("Function '"), "name", F.lit("' appears unused outside its own file")))
 
 
-def missing_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def missing_imports(imports: DataFrame, files: DataFrame, known: Iterable[str] = KNOWN_PACKAGES) -> DataFrame:
     """Python imports that are neither known packages nor stems of files; a row for each occurrence."""
     stems = files.select(F.col("stem").alias("name")).distinct()
-    rows = imports.where((F.col("language") == "Python") & ~F.col("name").isin(*KNOWN_PACKAGES)).join(stems, "name", "left_anti")
+    rows = imports.where((F.col("language") == "Python") & ~F.col("name").isin(*known)).join(stems, "name", "left_anti")
     return _issue(rows, 5, "low", "missing_import", "rel_path", F.concat(F.lit("Import '"), "name", F.lit("' not found locally or in known packages")))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import banded, base_name, path_prefixes
+from loomgraph.functions.text import banded, base_name, normal_path, path_prefixes
 from loomgraph.operators.graph import induced
 
 ROOT = "__root__"
@@ -14,9 +14,10 @@ VISIBLE_NODES = 300
 
 def node_size(rows: DataFrame, highlighted: str | None = None, key: str = "node") -> DataFrame:
     """350 and up to 1800 more by centrality over its greatest value; 1.6 times that for the highlighted node."""
-    top = F.coalesce(F.nullif(F.max("centrality").over(Window.partitionBy()), F.lit(0.0)), F.lit(1.0))
-    size = F.lit(350.0) + F.col("centrality") / top * 1800
-    return rows.withColumn("size", F.when(F.col(key).eqNullSafe(F.lit(highlighted)), size * 1.6).otherwise(size))
+    top = rows.agg(F.coalesce(F.nullif(F.max("centrality"), F.lit(0.0)), F.lit(1.0)).alias("top"))
+    size = F.lit(350.0) + F.col("centrality") / F.col("top") * 1800
+    sized = rows.crossJoin(F.broadcast(top))  # one row
+    return sized.withColumn("size", F.when(F.col(key).eqNullSafe(F.lit(highlighted)), size * 1.6).otherwise(size)).drop("top")
 
 
 def node_group() -> Column:
@@ -95,8 +96,43 @@ def legend(rows: DataFrame, column: str = "language") -> DataFrame:
 
 def complexity_shares(rows: DataFrame) -> DataFrame:
     """score as a percentage of the greatest, at least 1."""
-    top = F.greatest(F.max("complexity").over(Window.partitionBy()), F.lit(1))
-    return rows.withColumn("share", F.round(F.col("complexity") * 100 / top, 1))
+    top = rows.agg(F.greatest(F.max("complexity"), F.lit(1)).alias("top"))
+    return rows.crossJoin(F.broadcast(top)).withColumn("share", F.round(F.col("complexity") * 100 / F.col("top"), 1)).drop("top")  # one row
+
+
+def complexity_counts(rows: DataFrame, column: str = "complexity_level") -> DataFrame:
+    """high, medium and low: how many rows have each level."""
+    return rows.agg(*[F.count_if(F.col(column) == x).alias(x) for x in ("high", "medium", "low")])
+
+
+def file_nodes(files: DataFrame, issues: DataFrame, entry_points: DataFrame) -> DataFrame:
+    """files: rel_path, language, risk_level, complexity_level, lines. id, language, risk (else the complexity's level,
+    else low), lines, complexity_level, is_entry (in entry_points: rel_path) and is_circular (has such an issue)."""
+    entries = entry_points.select("rel_path", F.lit(True).alias("entry")).distinct()
+    loops = issues.where("issue_type = 'circular_dependency'").select(F.col("file").alias("rel_path"), F.lit(True).alias("loop")).distinct()
+    flagged = files.join(entries, "rel_path", "left").join(loops, "rel_path", "left")
+    no = F.lit(False)
+    return flagged.select(
+        normal_path(F.col("rel_path")).alias("id"), "language", F.coalesce("risk_level", "complexity_level", F.lit("low")).alias("risk"),
+        F.coalesce("lines", F.lit(0)).alias("lines"), "complexity_level", F.coalesce("entry", no).alias("is_entry"), F.coalesce("loop", no).alias("is_circular"),
+    )
+
+
+def file_totals(files: DataFrame) -> DataFrame:
+    """One row: languages (files of each), total_files, total_size and language_distribution (shares in percent)."""
+    counted = files.groupBy("language").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    totals = counted.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_files"), F.sum("size").alias("total_size"))
+    share = lambda k, v: F.round(v * 100 / F.greatest("total_files", F.lit(1)), 1)
+    return totals.withColumn("language_distribution", F.transform_values("languages", share))
+
+
+def node_summary() -> Column:
+    """A node in one line: language, risk, roles and degrees."""
+    role = lambda flag, text: F.when(F.col(flag), text)
+    return F.concat_ws(
+        "  ", F.concat(F.lit("["), "language", F.lit("]")), F.concat(F.lit("risk="), "risk_level"), role("is_entry", "entry-point"), role("is_dead", "dead-file"),
+        role("is_circular", "circular-dep"), F.format_string("in=%d out=%d", "in_degree", "out_degree"),
+    )
 
 
 def graph_lines(metrics: DataFrame, edges: DataFrame, key: str = "rel_path") -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import ENTRY_FILES, INTENTS
 from loomgraph.functions.text import complexity_level, complexity_score, intents, path_prefixes, stem
-from loomgraph.operators import context, graph, issues, risk
+from loomgraph.operators import context, graph, issues, risk, views
 from loomgraph.operators.parse import exploded, parse
 from loomgraph.operators.storage import settled
 from loomgraph.sources import codetree
@@ -87,41 +88,52 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
     return Analysis(path, files, analyses, edges, cycles, metrics, found, executions, failures, scored)
 
 
+def _first(rows: DataFrame, n: int, name: str, *order: Column) -> DataFrame:
+    """One row: the rel_paths of the first n rows in order."""
+    keyed = rows.select(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "scan_ordinal", "rel_path").alias("x")).orderBy("x").limit(n)
+    return keyed.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["rel_path"]).alias(name))
+
+
 def summary(a: Analysis) -> DataFrame:
     """One row: counts, languages, top files."""
-    first = lambda cond, n: F.slice(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("scan_ordinal", "rel_path")))), lambda x: x["rel_path"]), F.lit(1), F.lit(n))
-    languages = a.files.groupBy("language").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    shares = languages.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"),
-        F.sum("n").alias("total_files"), F.sum("size").alias("total_size"),
-    )
-    shares = shares.withColumn("language_distribution", F.transform_values("languages", lambda k, v: F.round(v * 100 / F.greatest("total_files", F.lit(1)), 1)))
     levels = a.risk.agg(
         *[F.count_if(F.col("risk_level") == x).alias(f"{x}_risk") for x in ("high", "medium", "low")],
-        F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("risk_level") == "high", F.struct((-F.col("risk_score")).alias("s"), "scan_ordinal", "rel_path")))), lambda x: x["rel_path"]), F.lit(1), F.lit(5)).alias("high_risk_files"),
-        first(F.col("is_entry"), 6).alias("entry_points"), first(F.col("is_dead"), 6).alias("dead_files"),
         F.max_by("rel_path", F.struct("centrality", -F.col("scan_ordinal"))).alias("most_central_file"),
     )
-    kinds = a.issues.agg(F.count("*").alias("total_issues"), F.count_if(F.col("issue_type") == "syntax_error").alias("syntax_errors"))
-    loops = a.cycles.agg(F.count("*").alias("circular_dependency_count"))
-    out = shares.crossJoin(levels).crossJoin(kinds).crossJoin(loops)  # one row each
-    return out.withColumn("duplicate_pairs", F.lit(0))
+    parts = [
+        levels,
+        _first(a.risk.where("risk_level = 'high'"), 5, "high_risk_files", -F.col("risk_score")),
+        _first(a.risk.where("is_entry"), 6, "entry_points"),
+        _first(a.risk.where("is_dead"), 6, "dead_files"),
+        a.issues.agg(F.count("*").alias("total_issues"), F.count_if(F.col("issue_type") == "syntax_error").alias("syntax_errors")),
+        a.cycles.agg(F.count("*").alias("circular_dependency_count")),
+    ]
+    return reduce(DataFrame.crossJoin, parts, views.file_totals(a.files)).withColumn("duplicate_pairs", F.lit(0))  # one row each
+
+
+def sections(a: Analysis) -> dict[str, DataFrame]:
+    """The result's tables; key orders the rows, row has what a reader of the document sees. Each can be written apart."""
+    listed = lambda df, order, *cols: df.select(F.struct(*order).alias("key"), F.struct(*cols).alias("row"))
+    per_file = a.risk.join(a.files.select("rel_path", "path", "ext"), "rel_path")
+    complexity = F.struct(F.coalesce("complexity_level", F.lit("low")).alias("level"), F.col("complexity").alias("score"), F.greatest("lines", F.lit(0)).alias("lines")).alias("complexity")
+    chains = a.executions.join(a.failures.select(F.col("root").alias("rel_path"), "impacts"), "rel_path", "left")
+    folders = a.files.select(F.explode(path_prefixes(F.col("rel_path"))).alias("folder")).distinct()
+    edges = a.edges.join(a.files.select(F.col("rel_path").alias("source"), "scan_ordinal"), "source")
+    return {
+        "files": listed(per_file, ["scan_ordinal"], "path", "rel_path", "name", "ext", "size", "language", "category", complexity, F.coalesce("risk_level", F.lit("low")).alias("risk"), F.round("risk_score", 3).alias("risk_score"), F.col("reasoning").alias("risk_reasoning")),
+        "folder_tree": folders.select(F.struct("folder").alias("key"), F.col("folder").alias("row")),
+        "dependencies": listed(edges, ["scan_ordinal", "pos"], "source", "target"),
+        "issues": listed(a.issues, ["detector", "scan_ordinal", "message"], "severity", "issue_type", "file", "message", "line"),
+        "errors": listed(chains, ["scan_ordinal"], F.col("rel_path").alias("file"), "compile_ok", "compile_error", "runtime_ok", "timed_out", "is_entry_point", F.coalesce("impacts", F.array().cast("array<string>")).alias("failure_chain")),
+    }
 
 
 def document(a: Analysis) -> DataFrame:
-    """The result as one row of nested columns; to_json(struct('*')) makes the JSON document."""
-    listed = lambda df, order, *cols: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*cols).alias("row")))), lambda x: x["row"]).alias("x"))
-    per_file = a.risk.join(a.files.select("rel_path", "path", "ext"), "rel_path")
-    complexity = F.struct(F.col("complexity_level").alias("level"), F.col("complexity").alias("score"), F.greatest("lines", F.lit(0)).alias("lines")).alias("complexity")
-    files = listed(per_file, ["scan_ordinal"], "path", "rel_path", "name", "ext", "size", "language", "category", complexity, F.col("risk_level").alias("risk"), F.round("risk_score", 3).alias("risk_score"), F.col("reasoning").alias("risk_reasoning"))
-    folders = a.files.select(F.explode(path_prefixes(F.col("rel_path"))).alias("f")).agg(F.sort_array(F.collect_set("f")).alias("x"))
-    deps = listed(a.edges.join(a.files.select(F.col("rel_path").alias("source"), "scan_ordinal"), "source"), ["scan_ordinal", "pos"], "source", "target")
-    problems = listed(a.issues, ["detector", "scan_ordinal", "message"], "severity", "issue_type", "file", "message", "line")
-    chains = a.executions.join(a.failures.select(F.col("root").alias("rel_path"), "impacts"), "rel_path", "left")
-    errors = listed(chains, ["scan_ordinal"], F.col("rel_path").alias("file"), "compile_ok", "compile_error", "runtime_ok", "timed_out", "is_entry_point", F.coalesce("impacts", F.array().cast("array<string>")).alias("failure_chain"))
+    """The result as one row of nested columns, for projects whose document fits one row; to_json(struct('*')) makes the
+    JSON document. Larger ones are written by sections()."""
     out = summary(a).select(F.struct("*").alias("summary"))
-    for name, df in (("files", files), ("folder_tree", folders), ("dependencies", deps), ("issues", problems), ("errors", errors)):
-        out = out.crossJoin(df.withColumnRenamed("x", name))
+    for name, df in sections(a).items():
+        out = out.crossJoin(df.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"]).alias(name)))
     return out.withColumn("meta", F.struct(F.lit(a.root).alias("root"))).withColumn("duplicates", F.array().cast("array<string>"))
 
 
@@ -150,27 +162,16 @@ def build_context(a: Analysis, question: str, focus: str | None = None) -> DataF
         "is_entry", F.slice("reasoning", F.lit(1), F.lit(3)).alias("reasoning"),
     )
     files = chosen.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("f")))), lambda x: x["f"]).alias("files"))
-    loops = a.cycles.agg(F.transform(F.slice(F.sort_array(F.collect_list("members")), F.lit(1), F.lit(3)), lambda m: F.concat(F.lit("Circular dependency: "), issues.cycle_text(m))).alias("loops"))
-    chains = a.failures.agg(F.slice(F.sort_array(F.collect_list(F.struct("root", "impacts", "error"))), F.lit(1), F.lit(4)).alias("failure_chains"))
+    loops = a.cycles.orderBy("members").limit(3).agg(F.transform(F.sort_array(F.collect_list("members")), lambda m: F.concat(F.lit("Circular dependency: "), issues.cycle_text(m))).alias("loops"))
+    chains = a.failures.orderBy("root").limit(4).agg(F.sort_array(F.collect_list(F.struct("root", "impacts", "error"))).alias("failure_chains"))
     out = summary(a).crossJoin(files).crossJoin(loops).crossJoin(chains)
     broken = F.transform(F.slice("failure_chains", F.lit(1), F.lit(3)), lambda c: F.concat(F.lit("Execution failure in '"), c["root"], F.lit("' impacts "), F.size(c["impacts"]).cast("string"), F.lit(" downstream file(s)")))
     out = out.withColumn("global_issues", F.concat("loops", broken)).drop("loops")
     chars = F.length(q) + F.aggregate("files", F.lit(0), lambda n, f: n + F.length(f["rel_path"]) + F.length(f["snippet"]) + F.aggregate(f["issues"], F.lit(0), lambda m, i: m + F.length(i)))
     chars = chars + F.aggregate("global_issues", F.lit(0), lambda n, g: n + F.length(g))
-    prompt = F.concat(
-        context.section("User Question", q),
-        context.section("Project Summary", F.concat_ws(
-            "\n", F.lit(f"Root:          {a.root}"), F.concat(F.lit("Total files:   "), F.col("total_files").cast("string")),
-            F.concat(F.lit("Total issues:  "), F.col("total_issues").cast("string")), F.concat(F.lit("Circular deps: "), F.col("circular_dependency_count").cast("string")),
-            F.concat(F.lit("Entry points:  "), F.coalesce(F.nullif(F.array_join("entry_points", ", "), F.lit("")), F.lit("none detected"))),
-            F.concat(F.lit("Most central:  "), F.coalesce("most_central_file", F.lit("N/A"))),
-        )),
-        context.section("User Focus File", F.lit(focus)) if focus else F.lit(""),
-        F.when(F.size("global_issues") > 0, context.section("Global Issues", F.array_join(F.transform("global_issues", lambda g: F.concat(F.lit("- "), g)), "\n"))).otherwise(""),
-        context.section("Relevant Files", F.when(F.size("files") > 0, F.array_join(F.transform("files", context.file_block), "\n\n")).otherwise("No file context selected.")),
-        context.section("Instructions", F.lit("Answer the question above using ONLY the context provided.\nEnd with: Confidence: <0-100>%")),
-    )
+    out = out.withColumn("question", q).withColumn("focus_file", F.lit(focus).cast("string")).withColumn("root", F.lit(a.root))
+    prompt = context.prompt()
     return out.select(
-        q.alias("question"), intents(q).alias("intents"), F.lit(focus).cast("string").alias("focus_file"), "total_files", "total_issues", "entry_points",
+        "question", intents(q).alias("intents"), "focus_file", "total_files", "total_issues", "entry_points",
         "most_central_file", "high_risk_files", "files", "global_issues", "failure_chains", context.token_estimate(chars).alias("estimated_tokens"), prompt.alias("prompt"),
     )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from loomgraph.plans import tables
-from loomgraph.plans.oracle import ORACLE_SQL
+from loomgraph.plans.golden import EXPECTED_SQL, golden_tree
+from loomgraph.plans.oracle import ORACLE_SQL as TABLES_SQL
 
-#: Each query is the function of its name; code_tree_analyze has no SQL and is tested against the golden project.
-QUERIES = {name: getattr(tables, name) for name in ORACLE_SQL} | {"code_tree_analyze": tables.golden_tree}
+#: Each query is the function of its name; code_tree_analyze has the golden project's results.
+QUERIES = {name: getattr(tables, name) for name in TABLES_SQL} | {"code_tree_analyze": golden_tree}
+ORACLE_SQL = TABLES_SQL | {"code_tree_analyze": EXPECTED_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

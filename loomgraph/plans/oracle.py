@@ -73,7 +73,13 @@ hung AS (SELECT id, CASE WHEN contains(id, '/') THEN regexp_replace(id, '/[^/]*$
 ORACLE_SQL = {
     "resolve_edges": f"WITH {TRADE} SELECT source, target FROM edges",
     "degrees": f"WITH {TRADE}, {DEGREES} SELECT node, in_degree, out_degree FROM degrees",
-    "entry_dead": f"WITH {TRADE.replace('place <= 2', 'place <= 2 AND source % 5 <> 0')}, {DEGREES} SELECT node, {ROLE} AS role FROM degrees",
+    "entry_dead": f"""WITH {TRADE}, {DEGREES} SELECT node, CASE WHEN in_degree = 0 AND out_degree > 0 THEN 'entry' WHEN in_degree = 0 THEN 'dead' WHEN n_regionkey = 0 THEN 'entry' ELSE 'none' END AS role
+      FROM degrees JOIN nation ON n_nationkey = node""",
+    "edge_highlight": f"""WITH RECURSIVE {TRADE}, {WALKS}, on_loop AS (SELECT DISTINCT unnest(members) AS node FROM loops)
+      SELECT source, target, CASE WHEN source = 0 OR target = 0 THEN 'highlight' WHEN source IN (SELECT node FROM on_loop) OR target IN (SELECT node FROM on_loop) THEN 'circular' ELSE 'regular' END AS class FROM edges""",
+    "node_summaries": f"""WITH {TRADE}, {DEGREES} SELECT node, concat_ws('  ', '[' || n_regionkey || ']', 'risk=' || CASE WHEN in_degree >= 5 THEN 'high' ELSE 'low' END,
+      CASE WHEN {ROLE} = 'entry' THEN 'entry-point' END, CASE WHEN {ROLE} = 'dead' THEN 'dead-file' END, CASE WHEN in_degree >= 8 THEN 'circular-dep' END, 'in=' || in_degree || ' out=' || out_degree) AS line
+      FROM degrees JOIN nation ON n_nationkey = node""",
     "cycles": f"WITH RECURSIVE {TRADE}, {WALKS} SELECT list_aggregate(members, 'string_agg', ',') AS members, len(members)::INT AS length FROM loops",
     "in_cycle_flag": f"WITH RECURSIVE {TRADE}, {WALKS} SELECT n_nationkey AS node, n_nationkey IN (SELECT unnest(members) FROM loops) AS flag FROM nation",
     "ancestors": f"""WITH RECURSIVE {TRADE}, up AS (SELECT target AS root, source AS node FROM edges UNION SELECT root, source FROM up JOIN edges ON target = node)
@@ -83,7 +89,7 @@ ORACLE_SQL = {
     "most_central": f"WITH RECURSIVE {TRADE}, {CENTRALITY} SELECT node, centrality FROM central ORDER BY centrality DESC, node LIMIT 1",
     "topo_levels": f"WITH {FOREST} SELECT node, level FROM forest",
     "level_layout": f"""WITH {FOREST} SELECT node, level, round((row_number() OVER (PARTITION BY level ORDER BY node) - 1 - count(*) OVER (PARTITION BY level) / 2) * 2
-      / count(*) OVER (PARTITION BY level), 6) AS x, round(1 - level / 2, 6) AS y FROM forest WHERE level < 2""",
+      / count(*) OVER (PARTITION BY level), 6) AS x, round(1 - level / 2, 6) AS y FROM forest""",
     "impact_lookup": f"""WITH {TRADE} SELECT n_nationkey AS node, coalesce((SELECT string_agg(source, ',' ORDER BY source) FROM edges WHERE target = n_nationkey), '') AS dependents,
       coalesce((SELECT string_agg(target, ',' ORDER BY target) FROM edges WHERE source = n_nationkey), '') AS dependencies FROM nation""",
     "ego_network": f"WITH {TRADE} SELECT source, target FROM edges WHERE source = 0 OR target = 0",
@@ -105,9 +111,19 @@ ORACLE_SQL = {
       SELECT DISTINCT array_to_string(p[1:k], '/') AS folder FROM (SELECT p, unnest(range(1, len(p))) AS k FROM split)""",
     "path_parts": f"WITH {NAMED} SELECT page_id, name, ext, left(name, length(name) - length(ext)) AS stem, len(string_split(path, '/'))::INT AS depth FROM parts",
     "link_extract": f"WITH {LINKS} SELECT page_id, pos, href FROM hrefs",
+    "js_import_names": f"""WITH {LINKS} SELECT page_id, coalesce(string_agg('.' || href, ',' ORDER BY pos) FILTER (pos % 2 = 0), '') AS relative, count(*) FILTER (pos % 2 = 1)::INT AS n_packages
+      FROM pages LEFT JOIN hrefs USING (page_id) GROUP BY 1""",
     "link_dedup": f"WITH {LINKS} SELECT page_id, len(l)::INT AS n_links, len(list_distinct(l))::INT AS n_distinct FROM links",
     "stem_last_wins": "SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY 1",
     "issue_union": f"WITH {ISSUES} SELECT * FROM issues",
+    "issue_detectors": rf"""WITH RECURSIVE {TRADE}, {WALKS}, {LINKS}, frequent AS (
+      SELECT w FROM (SELECT unnest(list_distinct(regexp_split_to_array(text, '[ \t\n\r\f\v]+'))) AS w FROM documents) GROUP BY w HAVING count(*) >= 100)
+      SELECT 'high' AS severity, 'syntax_error' AS issue_type, doc_id::VARCHAR AS file, (toxic + 1)::INT AS line, 0 AS detector FROM labels WHERE quality <> 1
+      UNION ALL SELECT 'high', 'circular_dependency', member::VARCHAR, NULL, 1 FROM (SELECT unnest(members) AS member FROM loops)
+      UNION ALL SELECT 'low', 'isolated_file', c_custkey::VARCHAR, NULL, 2 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+      UNION ALL SELECT 'medium', 'excessive_dependencies', l_orderkey::VARCHAR, NULL, 3 FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) >= 7
+      UNION ALL SELECT 'low', 'missing_import', page_id::VARCHAR, NULL, 5 FROM words
+        WHERE word NOT IN ('the', 'The', 'of', 'and', 'de', 'la', 'le', 'der', 'die', 'el') AND word NOT IN (SELECT w FROM frequent)""",
     "severity_counts": f"""WITH {ISSUES} SELECT severity, console, count(file) AS n FROM (VALUES ('high', 'ERROR'), ('medium', 'WARNING'), ('low', 'INFO')) d(severity, console)
       LEFT JOIN issues USING (severity) GROUP BY 1, 2""",
     "issue_pivot": f"WITH {ISSUES}, {PIVOT} SELECT * FROM pivoted",
@@ -162,4 +178,9 @@ ORACLE_SQL = {
     "node_sizes": f"""WITH RECURSIVE {TRADE}, {CENTRALITY} SELECT node, round(350 + centrality / coalesce(nullif(max(centrality) OVER (), 0), 1) * 1800, 3) AS size FROM central""",
     "confidence_bands": "SELECT conv_id, turn, CASE WHEN turn * 15 >= 80 THEN 'green' WHEN turn * 15 >= 50 THEN 'yellow' ELSE 'red' END AS band FROM conversations",
     "complexity_shares": f"""SELECT doc_id, round(score * 100 / greatest(max(score) OVER (), 1), 1) AS share FROM ({SCORES})""",
+    "complexity_counts": f"SELECT count_if(score > 15) AS high, count_if(score > 5 AND score <= 15) AS medium, count_if(score <= 5) AS low FROM ({SCORES})",
+    "file_nodes": r"""SELECT source || '/' || doc_id AS id, lang AS language, CASE WHEN n_chars > 3000 THEN 'high' WHEN lang <> 'fr' THEN 'medium' ELSE 'low' END AS risk,
+      (len(string_split(t, chr(10))) - CASE WHEN t = '' OR t LIKE '%' || chr(10) THEN 1 ELSE 0 END)::INT AS lines, CASE WHEN lang <> 'fr' THEN 'medium' END AS complexity_level,
+      lang = 'de' AS is_entry, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_circular
+      FROM (SELECT *, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents)""",
 }

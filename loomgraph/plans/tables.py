@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.functions.constants import INTENTS
 from loomgraph.operators import context, graph, issues, risk, views
 from loomgraph.operators.storage import settled
 
@@ -29,14 +30,19 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"), "n_regionkey")
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, target and place (1 or 2)."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     buyers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("source"))
     sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target"))
     flows = lines.join(orders, "l_orderkey").join(buyers, "o_custkey").join(sellers, "l_suppkey").where("source <> target").groupBy("source", "target").count()
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("count"), "target"))
-    return flows.withColumn("place", place).where("place <= 2").select("source", "target")
+    return flows.withColumn("place", place).where("place <= 2").select("source", "target", "place")
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade_flows(spark, sf_dir).select("source", "target")
 
 
 def settled_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def settled_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_metrics(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     """node, name, in_degree, out_degree, centrality, is_entry, is_circular."""
     nodes = nations(spark, sf_dir)
-    loops = graph.in_cycle(graph.cycles(edges)).withColumn("is_circular", F.lit(True))
+    loops = graph.on_a_cycle(edges).withColumn("is_circular", F.lit(True))
     rows = graph.degrees(nodes, edges).withColumn("role", graph.role())
     rows = rows.join(graph.betweenness(nodes, edges), "node").join(loops, "node", "left")
     return rows.withColumn("is_circular", F.coalesce("is_circular", F.lit(False))).withColumn("is_entry", F.coalesce(F.col("role") == "entry", F.lit(False)))
@@ -57,7 +63,12 @@ def joined(items: Column) -> Column:
 
 
 def resolve_edges(spark, sf_dir):
-    return trade_edges(spark, sf_dir)
+    """Nations as files, their keys as stems: the first partner is imported by name, the second by a relative path."""
+    text = lambda c: F.col(c).cast("string")
+    name = F.when(F.col("place") == 2, F.concat(F.lit("./"), text("target"))).otherwise(text("target"))
+    imports = trade_flows(spark, sf_dir).select(text("source").alias("rel_path"), F.col("place").alias("pos"), name.alias("name"))
+    files = nations(spark, sf_dir).select(text("node").alias("rel_path"), text("node").alias("stem"), F.col("node").alias("scan_ordinal"))
+    return graph.resolve(imports, files).select(F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"))
 
 
 def degrees(spark, sf_dir):
@@ -65,8 +76,10 @@ def degrees(spark, sf_dir):
 
 
 def entry_dead(spark, sf_dir):
-    edges = trade_edges(spark, sf_dir).where("source % 5 <> 0")
-    return graph.degrees(nations(spark, sf_dir), edges).select("node", F.coalesce(graph.role(), F.lit("none")).alias("role"))
+    """Nations of the first region have the stem of an entry point."""
+    stem = F.when(F.col("n_regionkey") == 0, "Main").otherwise(F.col("name"))
+    rows = graph.degrees(nations(spark, sf_dir), trade_edges(spark, sf_dir))
+    return rows.select("node", F.coalesce(graph.role(stem), F.lit("none")).alias("role"))
 
 
 def cycles(spark, sf_dir):
@@ -74,7 +87,7 @@ def cycles(spark, sf_dir):
 
 
 def in_cycle_flag(spark, sf_dir):
-    loops = graph.in_cycle(graph.cycles(settled_trade(spark, sf_dir))).withColumn("flag", F.lit(True))
+    loops = graph.on_a_cycle(settled_trade(spark, sf_dir)).withColumn("flag", F.lit(True))
     return nations(spark, sf_dir).select("node").join(loops, "node", "left").select("node", F.coalesce("flag", F.lit(False)).alias("flag"))
 
 
@@ -113,7 +126,7 @@ def topo_levels(spark, sf_dir):
 
 def level_layout(spark, sf_dir):
     found = graph.level_layout(graph.topo_levels(*forest(spark, sf_dir)))
-    return found.where("level < 2").select("node", "level", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return found.select("node", "level", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def impact_lookup(spark, sf_dir):
@@ -127,7 +140,12 @@ def ego_network(spark, sf_dir):
 
 def edge_class(spark, sf_dir):
     edges = settled_trade(spark, sf_dir)
-    return graph.edge_class(edges, graph.in_cycle(graph.cycles(edges)))
+    return graph.edge_class(edges, graph.on_a_cycle(edges))
+
+
+def edge_highlight(spark, sf_dir):
+    edges = settled_trade(spark, sf_dir)
+    return graph.edge_class(edges, graph.on_a_cycle(edges), 0)
 
 
 def trim_topk(spark, sf_dir):
@@ -143,6 +161,16 @@ def node_meta(spark, sf_dir):
     return wide.select("node", "name", F.coalesce("r_name", F.lit("Unknown")).alias("region"), "in_degree", "out_degree", F.round("centrality", 6).alias("centrality"), F.coalesce("role", F.lit("none")).alias("role"), "is_circular")
 
 
+def node_summaries(spark, sf_dir):
+    """Nations as files in a line each: the region for the language, the degree's band for the risk."""
+    rows = graph.degrees(nations(spark, sf_dir), trade_edges(spark, sf_dir)).withColumn("role", F.coalesce(graph.role(), F.lit("none")))
+    told = rows.select(
+        "node", F.col("n_regionkey").cast("string").alias("language"), F.when(F.col("in_degree") >= 5, "high").otherwise("low").alias("risk_level"),
+        (F.col("role") == "entry").alias("is_entry"), (F.col("role") == "dead").alias("is_dead"), (F.col("in_degree") >= 8).alias("is_circular"), "in_degree", "out_degree",
+    )
+    return told.select("node", views.node_summary().alias("line"))
+
+
 # files
 
 
@@ -152,16 +180,13 @@ def lang_distribution(spark, sf_dir):
     return counts.select("lang", "n", F.round(F.col("n") * 100 / total, 1).alias("pct"))
 
 
-#: p_type stands for an extension, by its first word.
-BUCKETS = {"source": ["STANDARD", "SMALL"], "config": ["MEDIUM", "LARGE"], "assets": ["ECONOMY"]}
+#: The first word of p_type stands for an extension.
+EXTENSIONS = {"STANDARD": ".py", "SMALL": ".JS", "MEDIUM": ".json", "LARGE": ".ini", "ECONOMY": ".md"}
 
 
 def category_counts(spark, sf_dir):
-    word = F.substring_index("p_type", " ", 1)
-    bucket = F.lit("other")
-    for name, members in reversed(list(BUCKETS.items())):
-        bucket = F.when(word.isin(members), name).otherwise(bucket)
-    return table(spark, sf_dir, "part").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    ext = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[F.substring_index("p_type", " ", 1)]
+    return table(spark, sf_dir, "part").groupBy(T.category_of(F.coalesce(ext, F.lit(".bin"))).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def size_filter_scan(spark, sf_dir):
@@ -173,7 +198,8 @@ def line_count(spark, sf_dir):
 
 
 def scan_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("total"), F.sum("n_chars").alias("total_size"), F.count_distinct("lang").alias("n_langs"))
+    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.col("n_chars").alias("size"))
+    return views.file_totals(files).select(F.col("total_files").alias("total"), "total_size", F.size("languages").cast("long").alias("n_langs"))
 
 
 def _url_path(url: Column) -> Column:
@@ -199,6 +225,14 @@ def link_extract(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", F.posexplode("links").alias("pos", "href"))
 
 
+def js_import_names(spark, sf_dir):
+    """Links as lines of a script: every other one a relative import, the rest packages that are required."""
+    line = lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("import x from '."), x, F.lit("'"))).otherwise(F.concat(F.lit("const y = require('@pkg"), x, F.lit("')")))
+    scripts = _links(spark, sf_dir).select("page_id", T.js_imports(F.array_join(F.transform("links", line), "\n")).alias("names"))
+    relative = F.filter("names", lambda x: x.startswith("."))
+    return scripts.select("page_id", F.array_join(relative, ",").alias("relative"), F.size(F.filter("names", lambda x: x == "pkg")).alias("n_packages"))
+
+
 def link_dedup(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", F.size("links").alias("n_links"), F.size(F.array_distinct("links")).alias("n_distinct"))
 
@@ -224,6 +258,21 @@ def issue_union(spark, sf_dir):
     return document_issues(spark, sf_dir)
 
 
+def issue_detectors(spark, sf_dir):
+    """The detectors, each over a table that stands for files: labels for syntax, trade for cycles, customers without
+    orders, orders of many suppliers, and links to unknown words."""
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null")
+    analyses = labels.select(F.col("doc_id").cast("string").alias("rel_path"), (F.col("quality") == 1).alias("syntax_ok"), F.format_string("Line %d: bad", F.col("toxic") + 1).alias("syntax_error"))
+    bought = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    idle = table(spark, sf_dir, "customer").join(bought, "c_custkey", "left_anti").select(F.col("c_custkey").cast("string").alias("rel_path"), F.lit("Python").alias("language"), F.lit(True).alias("is_dead"))
+    cycles = graph.cycles(settled_trade(spark, sf_dir)).select(F.col("members").cast("array<string>").alias("members"))
+    found = issues.union(
+        issues.syntax_errors(analyses), issues.circular(cycles), issues.isolated(idle), issues.excessive(_order_suppliers(spark, sf_dir, "string"), SUPPLIERS),
+        issues.missing_imports(*_link_imports(spark, sf_dir), KNOWN_WORDS).withColumn("file", F.col("file.page_id").cast("string")),
+    )
+    return found.select("severity", "issue_type", "file", "line", "detector")
+
+
 def severity_counts(spark, sf_dir):
     return issues.by_severity(document_issues(spark, sf_dir))
 
@@ -238,9 +287,18 @@ def unpivot_dashboard(spark, sf_dir):
     return wide.selectExpr("stack(3, 'low_quality', low_quality, 'high', 'toxic', toxic, 'medium', 'too_short', too_short, 'low') as (category, count, severity)")
 
 
+#: Suppliers of an order that are many.
+SUPPLIERS = 7
+
+
+def _order_suppliers(spark, sf_dir, kind):
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("out_degree"))
+    return counted.select(F.col("l_orderkey").cast(kind).alias("rel_path"), "out_degree")
+
+
 def excessive_deps(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n_suppliers"))
-    return suppliers.where("n_suppliers >= 7")
+    found = issues.excessive(_order_suppliers(spark, sf_dir, "long"), SUPPLIERS)
+    return found.select(F.col("file").alias("l_orderkey"), F.regexp_extract("message", r"has (\d+)", 1).cast("long").alias("n_suppliers"))
 
 
 def _last_segments(spark, sf_dir):
@@ -258,12 +316,18 @@ KNOWN_WORDS = ("the", "The", "of", "and", "de", "la", "le", "der", "die", "el")
 FREQUENT = 100
 
 
+def _link_imports(spark, sf_dir):
+    """Links as imports of their words, and words of at least FREQUENT documents as stems."""
+    words = F.explode(F.array_distinct(F.split("text", r"[ \t\n\r\f\x0B]+")))
+    frequent = table(spark, sf_dir, "documents").select(words.alias("stem")).groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    links = _last_segments(spark, sf_dir).select(F.struct("page_id", "href").alias("rel_path"), F.lit("Python").alias("language"), F.col("word").alias("name"))
+    return links, frequent.select("stem")
+
+
 def missing_import_anti(spark, sf_dir):
     """Links to words that are neither known nor stand in at least FREQUENT documents; a row for each link."""
-    words = F.explode(F.array_distinct(F.split("text", r"[ \t\n\r\f\x0B]+")))
-    frequent = table(spark, sf_dir, "documents").select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("word")
-    links = _last_segments(spark, sf_dir).where(~F.col("word").isin(*KNOWN_WORDS))
-    return links.join(frequent, "word", "left_anti").select("page_id", "href")
+    found = issues.missing_imports(*_link_imports(spark, sf_dir), KNOWN_WORDS)
+    return found.select("file.page_id", "file.href")
 
 
 def failed_files(spark, sf_dir):
@@ -334,12 +398,12 @@ def relevance_topk(spark, sf_dir):
     question = F.lit("what is wrong with SRC3/DOC23 and src5/doc25?")
     path = F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"))
     counted = issues.pivot(document_issues(spark, sf_dir)).select(F.col("file").alias("doc_id"), "weight")
+    none = {c: F.lit(0) for c in ("risk_score", "in_degree", "out_degree", "complexity", "n_unused", "centrality")} | {c: F.lit(False) for c in ("failed", "is_circular", "is_entry")}
     rows = table(spark, sf_dir, "documents").join(counted, "doc_id", "left").select(
-        "doc_id", context.mentioned(question, path, path).alias("is_mentioned"), (F.col("doc_id") == FOCUS).alias("is_focus"),
-        (F.coalesce("weight", F.lit(0)) * 5.0).alias("base"),
-    )
-    score = F.col("base") + F.when(F.col("is_mentioned"), 20.0).otherwise(0.0) + F.when(F.col("is_focus"), 25.0).otherwise(0.0)
-    return context.select_top(rows.withColumn("score", score), "doc_id").select("doc_id", "score")
+        "doc_id", context.mentioned(question, path, path).alias("is_mentioned"), (F.col("doc_id") == FOCUS).alias("is_focus"), F.coalesce("weight", F.lit(0)).alias("n_issues"),
+    ).withColumns(none)
+    has = {name: F.lit(name == "error") for name in INTENTS}
+    return context.select_top(rows.withColumn("score", context.relevance(has)), "doc_id").select("doc_id", "score")
 
 
 def _question(turn: Column) -> Column:
@@ -422,13 +486,16 @@ def complexity_shares(spark, sf_dir):
     return views.complexity_shares(rows).select("doc_id", "share")
 
 
-def golden_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis of this library's own source tree: file, level and score."""
-    import os
+def complexity_counts(spark, sf_dir):
+    return views.complexity_counts(keyword_complexity(spark, sf_dir), "level")
 
-    import loomgraph
-    from loomgraph.plans.analyze import analyze
-
-    found = analyze(spark, os.path.dirname(loomgraph.__file__))
-    return found.risk.select("rel_path", "language", "risk_level", F.round("risk_score", 3).alias("risk_score"), "complexity", "in_degree", "out_degree")
 
+def file_nodes(spark, sf_dir):
+    """Documents as files: long ones have a risk, French ones no level, labelled toxic ones are on a cycle."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(
+        F.concat("source", F.lit("\\"), F.col("doc_id").cast("string")).alias("rel_path"), F.col("lang").alias("language"), F.when(F.col("n_chars") > 3000, "high").alias("risk_level"),
+        F.when(F.col("lang") != "fr", "medium").alias("complexity_level"), T.line_count(F.col("text")).alias("lines"), "doc_id",
+    )
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").join(files, "doc_id").select(F.lit("circular_dependency").alias("issue_type"), F.col("rel_path").alias("file"))
+    return views.file_nodes(files, toxic, files.where("language = 'de'").select("rel_path"))

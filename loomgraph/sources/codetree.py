@@ -4,7 +4,9 @@
     spark.read.format("codetree").option("path", root).load()
 
 Directories that are ignored or begin with a dot are never listed; dot files are kept. A file is a row if its suffix
-belongs to a known language and it has at most 5 MiB. Files that cannot be read are rows with only rel_path and error.
+belongs to a known language and it has at most 5 MiB. Files that cannot be read, and members of an archive that are
+damaged, encrypted or packed in an unknown way, are rows with only rel_path and error. Conditions on ext and size are
+applied while listing, so files that they leave out are not opened.
 scan_ordinal numbers files of a directory before those of its sub-directories, names sorted. With readContent=false
 no file is opened.
 """
@@ -14,11 +16,13 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+import zlib
+from collections.abc import Iterable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual
 
 from loomgraph.functions.constants import IGNORE_DIRS, LANGUAGES, MAX_FILE_BYTES
 from loomgraph.functions.text import category_of, language_of, line_count
@@ -71,14 +75,29 @@ def list_archive(path: str) -> list[tuple[str, str]]:
 
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options.get("path", "")
+        self.root = options.get("path", "").removeprefix("file://")
+        self.suffixes: set[str] | None = None
+        self.most_bytes = MAX_FILE_BYTES
         self.content = str(options.get("readContent", "true")).lower() == "true"
         self.zipped = self.root.lower().endswith(".zip")
         if not (os.path.isfile(self.root) if self.zipped else os.path.isdir(self.root)):
             raise ValueError(f"neither a folder nor a ZIP archive: {self.root!r}")
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes equality on ext and bounds on size; all are left to Spark too, which checks them on what comes."""
+        for f in filters:
+            match f:
+                case EqualTo(("ext",), value):
+                    self.suffixes = {value} & (self.suffixes or {value})
+                case In(("ext",), values):
+                    self.suffixes = set(values) & (self.suffixes or set(values))
+                case LessThanOrEqual(("size",), value) | LessThan(("size",), value):
+                    self.most_bytes = min(self.most_bytes, value)
+            yield f
+
     def partitions(self):
         found = (list_archive if self.zipped else list_tree)(self.root)
+        found = [x for x in found if self.suffixes is None or PurePosixPath(x[0]).suffix.lower() in self.suffixes]
         entries = [(i, *x) for i, x in enumerate(found)]
         return [Files(entries[i : i + FILES_IN_PARTITION]) for i in range(0, len(entries), FILES_IN_PARTITION)] or [Files([])]
 
@@ -88,14 +107,14 @@ class TreeReader(DataSourceReader):
             name = PurePosixPath(relative).name
             try:
                 size = archive.getinfo(place).file_size if archive else os.stat(place).st_size
-                if size > MAX_FILE_BYTES:
+                if size > self.most_bytes:
                     continue
                 data = None
                 if self.content:
                     with archive.open(place) if archive else io.open(place, "rb") as f:
                         data = f.read()
                 yield (relative, place, name, PurePosixPath(name).suffix.lower(), size, ordinal, data, None)
-            except OSError as e:
+            except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error) as e:
                 yield (relative, place, name, None, None, ordinal, None, str(e))
 
 
@@ -113,6 +132,7 @@ class CodeTree(DataSource):
 
 def scan(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     """All rows of a tree, errors included."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a reader that takes filters
     spark.dataSource.register(CodeTree)
     return spark.read.format("codetree").option("path", path).option("readContent", str(content).lower()).load()
 

@@ -7,18 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.plans import analyze as plans
+from loomgraph.plans import golden
+from loomgraph.plans.golden import FILES
 
-FILES = {
-    "main.py": "import core\nimport util\n\nif __name__ == '__main__':\n    core.run_all()\n",
-    "core.py": "import util\nimport store\nimport os\n\ndef run_all():\n    for x in store.load_rows():\n        if x:\n            util.fmt_row(x)\n",
-    "store.py": "import core\nimport requests_x\n\ndef load_rows():\n    try:\n        return [1]\n    except ValueError:\n        return []\n\ndef never_called():\n    return 0\n",
-    "util.py": "def fmt_row(r):\n    return str(r)\n",
-    "broken.py": "import util\ndef oops(:\n    pass\n",
-    "orphan.py": "X = 1\n",
-    "web/app.js": "import React from 'react'\nimport { h } from './helper'\nconst go = (a) => h(a)\n",
-    "web/helper.js": "export function h(a) { if (a) { return a } else if (!a) { return 0 } }\n",
-    "conf/settings.json": '{"a": 1}\n',
-}
 RISK = {
     "main.py": (0.0333, "low"), "core.py": (0.7167, "high"), "store.py": (0.4167, "medium"), "util.py": (0.2, "low"),
     "broken.py": (0.35, "medium"), "orphan.py": (0.05, "low"), "web/app.js": (0.0, "low"), "web/helper.js": (0.2, "low"), "conf/settings.json": (0.0, "low"),
@@ -28,9 +19,7 @@ RISK = {
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("golden")
-    for name, text in FILES.items():
-        (root / name).parent.mkdir(exist_ok=True)
-        (root / name).write_text(text)
+    golden.written(str(root))
     (root / "node_modules").mkdir()
     (root / "node_modules" / "n.js").write_text("x")
     (root / ".hidden").mkdir()
@@ -101,7 +90,20 @@ def test_context(analysis):
     assert row.intents == ["error"]
     paths = [f.rel_path for f in row.files]
     assert {"store.py", "orphan.py"} <= set(paths) and len(paths) <= 8
-    assert row.prompt.startswith("\n## User Question\n") and "### store.py" in row.prompt
+    assert row.prompt.startswith("# Question\nwhich error") and "File store.py (Python, medium risk, 11 lines)" in row.prompt
+    assert "languages: Python 67 %, JavaScript 22 %, JSON 11 %" in row.prompt and "high risk: core.py" in row.prompt
+    assert f"# Files that matter ({len(paths)} selected)" in row.prompt and "# File in focus\norphan.py" in row.prompt and "* Circular dependency: core.py" in row.prompt
+
+
+def test_failures_reach_the_prompt(spark, tmp_path):
+    for name, text in {"bad.py": "import x\nreturn 1\n", "user.py": "import bad\n\nif __name__ == '__main__':\n    pass\n", "x.py": "X = 1\n", "lone.py": "if __name__ == '__main__':\n    pass\n"}.items():
+        (tmp_path / name).write_text(text)
+    found = plans.analyze(spark, str(tmp_path))
+    rows = {r.rel_path: r for r in found.executions.collect()}
+    assert {p for p, r in rows.items() if r.is_entry_point} == {"user.py", "lone.py"}
+    row = plans.build_context(found, "what fails?").first()
+    assert "# Failures and what they affect\n* bad.py fails: SyntaxError: 'return' outside function (line 2); affects: user.py" in row.prompt
+    assert set(plans.sections(found)) == {"files", "folder_tree", "dependencies", "issues", "errors"}
 
 
 def test_archive(spark, tree, tmp_path):

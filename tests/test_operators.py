@@ -1,6 +1,8 @@
 """Operators on small tables, with the traps that their docstrings name, and graphs against plain algorithms."""
 
+import math
 import random
+import zipfile
 from collections import deque
 from itertools import permutations
 
@@ -158,10 +160,78 @@ def test_levels(spark):
 
 
 def test_roles(spark):
-    rows = spark.createDataFrame([("main", 0, 0), ("x", 0, 1), ("main", 1, 0), ("y", 1, 0)], "stem string, in_degree int, out_degree int")
+    rows = spark.createDataFrame([("main", 0, 0), ("x", 0, 1), ("Main", 1, 0), ("y", 1, 0)], "stem string, in_degree int, out_degree int")
     assert [r.role for r in rows.withColumn("role", graph.role(F.col("stem"))).collect()] == ["dead", "entry", "entry", None]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_nodes_on_cycles(spark, seed):
+    """Against reachability: a node is on a cycle if an edge leads from it to a node that reaches it."""
+    edges = random_graph(seed, 9, 13)
+    reach = {a: {b for x, b in edges if x == a} for a in range(9)}
+    for _ in range(9):
+        reach = {a: out | {c for b in out for c in reach[b]} for a, out in reach.items()}
+    assert {r.node for r in graph.on_a_cycle(frames(spark, edges, 9)[1]).collect()} == {a for a in reach if a in reach[a]}
+
+
+def test_cyclic_levels_end_early(spark, monkeypatch):
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    rounds = []
+    settle = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df, name="step": rounds.append(name) or settle(df, name))
+    assert graph.topo_levels(*frames(spark, ring, 40)) is None and rounds.count("level") == 1
+
+
+def test_layouts(spark, monkeypatch):
+    from loomgraph.operators import storage
+
+    monkeypatch.setattr(storage, "RANGE_ROWS", 5)  # several ranges
+    levels = [(i, i % 3) for i in range(40)]
+    got = {r.node: (r.x, r.y) for r in graph.level_layout(spark.createDataFrame(levels, "node long, level int")).collect()}
+    for k in range(3):
+        own = [n for n, level in levels if level == k]
+        for i, n in enumerate(own):
+            assert got[n] == pytest.approx(((i - len(own) / 2) * 2 / len(own), 1 - k / 2))
+    circle = {r.node: (r.x, r.y) for r in graph.circular_layout(spark.range(12).withColumnRenamed("id", "node")).collect()}
+    assert all(circle[i] == pytest.approx((math.cos(2 * math.pi * i / 12), math.sin(2 * math.pi * i / 12)), abs=1e-9) for i in range(12))
+
+
+def test_betweenness_has_a_bound(spark):
+    with pytest.raises(RuntimeError):
+        graph.betweenness(*frames(spark, [(0, 1)]), most_pairs=10)
+
+
+def test_damaged_archives_and_pushed_filters(spark, tmp_path):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("top/good.py", "x = 1\n")
+        z.writestr("top/bad.py", "y" * 5000)
+        z.writestr("top/c.js", "z")
+    data = bytearray(path.read_bytes())
+    at = data.index(b"top/bad.py") + len("top/bad.py")
+    data[at : at + 8] = b"\xff" * 8
+    path.write_bytes(bytes(data))
+    rows = codetree.scan(spark, str(path))
+    assert [r.rel_path for r in codetree.scan_errors(rows).collect()] == ["bad.py"] and codetree.files(rows).count() == 2
+    assert {r.rel_path for r in rows.where("ext = '.py' and size <= 100").collect()} == {"good.py"}
+    reader = codetree.TreeReader({"path": str(path)})
+    assert len(list(reader.pushFilters([codetree.In(("ext",), (".js", ".py")), codetree.EqualTo(("ext",), ".js"), codetree.LessThanOrEqual(("size",), 7)]))) == 3
+    assert [x[1] for p in reader.partitions() for x in p.entries] == ["c.js"] and reader.most_bytes == 7
+
+
+def test_front_end_rows(spark):
+    from loomgraph.operators import views
+
+    files = spark.createDataFrame([("a\\b.py", "Python", None, "medium", 3), ("c.py", "Python", None, None, None)], "rel_path string, language string, risk_level string, complexity_level string, lines int")
+    found = spark.createDataFrame([("circular_dependency", "c.py")], "issue_type string, file string")
+    got = {r.id: r for r in views.file_nodes(files, found, files.limit(1).select("rel_path")).collect()}
+    assert (got["a/b.py"].risk, got["a/b.py"].is_entry, got["c.py"].risk, got["c.py"].is_circular, got["c.py"].lines) == ("medium", True, "low", True, 0)
+    assert {r.language for r in views.legend(files).collect()} == {"Python"}
+    assert tuple(views.complexity_counts(files).first()) == (0, 1, 0)
+    body = 'data: {"content": "a"}\nnoise\ndata: {bad\ndata: {"content": "b", "confidence": 40}\ndata: {"confidence": 70}\ndata: [DONE]'
+    assert tuple(one(spark, T.streamed_answer(F.col("b")), b=body)) == ("ab", 70.0)
+
+
 def test_issue_detectors(spark):
     cyc = spark.createDataFrame([(["a", "b"], 2), (["a", "c"], 2)], "members array<string>, length int")
     assert issues.circular(cyc).where("file = 'a'").count() == 2
