@@ -20,7 +20,7 @@ learned from; rows that repeat are scored one by one; with no training rows ever
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,19 +39,21 @@ COUNT_BINS = 32
 BLOCK, MOST_SHARDS, SUMMED = 8192, 1024, 32
 #: Tokens that are trained on at a time; what a task holds does not grow with its partition.
 PIECE = 1 << 20
+#: Windows of a piece at least: a short one is cut into fewer parallel streams.
+WINDOWS = 64
 #: How places are stored; the head has to fit.
 PLACE = np.dtype("<u2")
 
 
 @dataclass(frozen=True)
 class Settings:
-    head: int = 8192
+    head: int = 2048
     known: int = 65536
-    in_class: int = 128
-    embedding: int = 16
-    hidden: int = 24
+    in_class: int = 48
+    embedding: int = 12
+    hidden: int = 16
     window: int = 32
-    streams: int = 48
+    streams: int = 256
     rate: float = 0.2
     rounds: int = 2
     seed: int = 7
@@ -123,25 +125,34 @@ class Vocabulary:
     log_share: np.ndarray  # by shape: log10 of the share that one token has of its class's words outside the head
     total: int
     distinct: int
-    cache: dict[bytes, tuple[int, int, int]] = field(default_factory=dict)
-
-    def look(self, word: bytes) -> tuple[int, int, int]:
-        """Place in the network's input (head, then shapes), count or -1 if not known here, hash."""
-        h = word_hash(word)
-        place = self.head.get(h)
-        return (len(self.head) + shape(word) if place is None else place), self.counts.get(h, -1), h
-
-    def places(self, words: list[bytes]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-        """Of distinct words what look() tells, and which of them each token is."""
-        index: dict[bytes, int] = {}
-        which = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        if len(self.cache) > 400_000:
-            self.cache.clear()
-        cache = self.cache
-        for w in index:
-            if w not in cache:
-                cache[w] = self.look(w)
-        return [cache[w] for w in index], which
+
+
+class Reader:
+    """Looks words up in a vocabulary; keeps what it has looked up, a number for each word."""
+
+    def __init__(self, vocab: Vocabulary, most_words: int = 400_000):
+        self.vocab, self.most_words, self.number = vocab, most_words, {}
+        self._table(1 << 16)
+
+    def _table(self, size: int) -> None:
+        """Place in the network's input (head, then shapes), count or -1 if not known here, and hash, by number."""
+        self.place, self.count, self.hash = (np.empty(size, np.int64) for _ in range(3))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        number, vocab = self.number, self.vocab
+        if len(number) > self.most_words:
+            number.clear()
+        for w in set(words).difference(number):
+            k = number[w] = len(number)
+            if k == len(self.place):
+                old = self.place, self.count, self.hash
+                self._table(2 * k)
+                self.place[:k], self.count[:k], self.hash[:k] = old
+            h = word_hash(w)
+            place = vocab.head.get(h)
+            self.place[k] = len(vocab.head) + shape(w) if place is None else place
+            self.count[k], self.hash[k] = vocab.counts.get(h, -1), h
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
 def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
@@ -284,7 +295,7 @@ class Network:
         Each place but the first is learned once, from the one before. Further calls go on with Adagrad's sums.
         """
         s, k = self.s, self.s.hidden
-        lanes = s.streams if len(stream) > 2 * s.streams else 1
+        lanes = max(1, min(s.streams, len(stream) // (s.window * WINDOWS)))
         n = (len(stream) - 1) // lanes
         if n < 1:
             return
@@ -413,29 +424,23 @@ def encode(slim: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def encoded(batches):
         vocab = sent.value
+        read, n_head = Reader(vocab), len(vocab.head)
         end = vocab.counts.get(word_hash(END), 0)
         for batch in batches:
             n = len(batch)
             docs, known, base, flat, tails, times = [], np.zeros(n, np.int64), np.zeros(n), np.zeros(n), [], []
             for i, text in enumerate(batch["text"]):
-                found, which = vocab.places(tokens(text))
-                if not found:
-                    docs.append(np.zeros(1, PLACE))
-                    known[i], base[i] = end > 0, np.log10(end + 1)
-                    tails.append([])
-                    times.append([])
-                    continue
-                place, count, hashed = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                many = np.bincount(which, minlength=len(found))
-                docs.append(np.concatenate([place[which], [0]]).astype(PLACE))
+                which = read.numbers(tokens(text))
+                place, count = read.place[which], read.count[which]
+                docs.append(np.append(place, 0).astype(PLACE))
                 here = count >= 0
-                known[i] = many[here & (count > 0)].sum() + (end > 0)
-                base[i] = (many * np.log10(np.maximum(count, 0) + 1.0)).sum() + np.log10(end + 1)
-                outside = here & (place >= len(vocab.head))
-                of = place[outside] - len(vocab.head)
-                flat[i] = (many[outside] * (vocab.log_share[of] + np.log10(np.maximum(count[outside], 1)))).sum()
-                tails.append(hashed[~here])
-                times.append((many * SHAPES + place - len(vocab.head))[~here])
+                known[i] = np.count_nonzero(count > 0) + (end > 0)
+                base[i] = np.log10(np.maximum(count, 0) + 1.0).sum() + np.log10(end + 1)
+                outside = here & (place >= n_head)
+                flat[i] = (vocab.log_share[place[outside] - n_head] + np.log10(np.maximum(count[outside], 1))).sum()
+                rest, many = np.unique(which[~here], return_counts=True)
+                tails.append(read.hash[rest])
+                times.append(many * SHAPES + read.place[rest] - n_head)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [len(x) for x in docs], "known": known, "base": base, "flat": flat, "tail": tails, "times": times, "places": [x.tobytes() for x in docs]})
 
     made = slim.mapInPandas(encoded, "doc_id long, fold long, n_tokens long, known long, base double, flat double, tail array<long>, times array<long>, places binary")

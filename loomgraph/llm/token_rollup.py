@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-import uuid
 
 import tiktoken
 from pyspark import SparkFiles
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import doc_key, text_hash, written
-from loomgraph.session import shared_dir
+from loomgraph.session import scratch
 
 TOKENIZERS = "/opt/tokenizers"
 #: Tokenizer versions that are counted, by the names of their rank files.
@@ -119,7 +118,7 @@ def token_report(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     key = doc_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(key.alias("d"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
     ledger = written(count_tokens(rows, folder=folder), "ledger")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, scratch(spark, "rollup"))
     came = ledger.select(F.lit("insert").alias("kind"), *GROUPS, "n_tokens", F.lit(0).alias("old_tokens"))
     changed = ledger.where("revised_tokens <> n_tokens").select(
         F.lit("revise").alias("kind"), *GROUPS, F.col("revised_tokens").alias("n_tokens"), F.col("n_tokens").alias("old_tokens")

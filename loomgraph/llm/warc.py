@@ -19,13 +19,12 @@ import base64
 import gzip
 import hashlib
 import io
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import shared_dir
+from loomgraph.session import scratch
 
 #: The alphabet of base32 and the names that the archive format prescribes.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -181,6 +180,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
 def archive_report(pages: DataFrame) -> DataFrame:
     """Writes the pages to archives in the shared folder and tells what is read back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_archives(pages.select("page_id", "url", "html"), path)
     return read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
