@@ -8,7 +8,8 @@ belongs to a known language and it has at most 5 MiB. Files that cannot be read,
 damaged, encrypted or packed in an unknown way, are rows with only rel_path and error. Conditions on ext and size are
 applied while listing, so files that they leave out are not opened.
 scan_ordinal numbers files of a directory before those of its sub-directories, names sorted. With readContent=false
-no file is opened.
+no file is opened. The root is a local path or a URI of a store that pyarrow knows (hdfs://, s3://, gs:// and so on); on
+a cluster it has to be one that all executors reach. Links to local folders are not followed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import zipfile
 import zlib
 from collections.abc import Iterable
 from pathlib import PurePosixPath
+from typing import BinaryIO
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual
@@ -56,9 +59,9 @@ def list_tree(root: str) -> list[tuple[str, str]]:
     return out
 
 
-def list_archive(path: str) -> list[tuple[str, str]]:
+def list_archive(file: BinaryIO | str) -> list[tuple[str, str]]:
     """Members of a ZIP that stay inside it; a single top-level folder is descended into."""
-    with zipfile.ZipFile(path) as archive:
+    with zipfile.ZipFile(file) as archive:
         members = [m.filename for m in archive.infolist() if not m.is_dir()]
     safe = [m for m in members if not PurePosixPath(m).is_absolute() and ".." not in PurePosixPath(m).parts]
     tops = {m.split("/", 1)[0] for m in safe}
@@ -73,14 +76,33 @@ def list_archive(path: str) -> list[tuple[str, str]]:
     return sorted(tree, key=lambda x: [(1, part) for part in x[0].split("/")[:-1]] + [(0, x[0].split("/")[-1])])
 
 
+def list_store(store: FileSystem, root: str) -> list[tuple[str, str]]:
+    """As list_tree, of a store; folders are listed one by one, so pruned ones are not."""
+    out, folders = [], [""]
+    while folders:
+        folder = folders.pop()
+        found = sorted(store.get_file_info(FileSelector(f"{root}/{folder}".rstrip("/"))), key=lambda x: x.base_name)
+        relative = [(x, f"{folder}/{x.base_name}".lstrip("/")) for x in found]
+        out += [(name, x.path) for x, name in relative if x.type == FileType.File and _wanted(x.base_name)]
+        folders += [name for x, name in reversed(relative) if x.type == FileType.Directory and not _pruned(x.base_name)]
+    return out
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options.get("path", "").removeprefix("file://")
+        self.store: FileSystem | None = None
+        if "://" in self.root:
+            self.store, self.root = FileSystem.from_uri(self.root)
         self.suffixes: set[str] | None = None
         self.most_bytes = MAX_FILE_BYTES
         self.content = str(options.get("readContent", "true")).lower() == "true"
         self.zipped = self.root.lower().endswith(".zip")
-        if not (os.path.isfile(self.root) if self.zipped else os.path.isdir(self.root)):
+        if self.store:
+            there = self.store.get_file_info(self.root).type == (FileType.File if self.zipped else FileType.Directory)
+        else:
+            there = os.path.isfile(self.root) if self.zipped else os.path.isdir(self.root)
+        if not there:
             raise ValueError(f"neither a folder nor a ZIP archive: {self.root!r}")
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -96,22 +118,29 @@ class TreeReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        found = (list_archive if self.zipped else list_tree)(self.root)
+        if self.zipped:
+            with self._opened(self.root) as file:
+                found = list_archive(file)
+        else:
+            found = list_store(self.store, self.root) if self.store else list_tree(self.root)
         found = [x for x in found if self.suffixes is None or PurePosixPath(x[0]).suffix.lower() in self.suffixes]
         entries = [(i, *x) for i, x in enumerate(found)]
         return [Files(entries[i : i + FILES_IN_PARTITION]) for i in range(0, len(entries), FILES_IN_PARTITION)] or [Files([])]
 
+    def _opened(self, path: str):
+        return self.store.open_input_file(path) if self.store else io.open(path, "rb")
+
     def read(self, partition):
-        archive = zipfile.ZipFile(self.root) if self.zipped else None
+        archive = zipfile.ZipFile(self._opened(self.root)) if self.zipped else None
         for ordinal, relative, place in partition.entries:
             name = PurePosixPath(relative).name
             try:
-                size = archive.getinfo(place).file_size if archive else os.stat(place).st_size
+                size = archive.getinfo(place).file_size if archive else self.store.get_file_info(place).size if self.store else os.stat(place).st_size
                 if size > self.most_bytes:
                     continue
                 data = None
                 if self.content:
-                    with archive.open(place) if archive else io.open(place, "rb") as f:
+                    with archive.open(place) if archive else self._opened(place) as f:
                         data = f.read()
                 yield (relative, place, name, PurePosixPath(name).suffix.lower(), size, ordinal, data, None)
             except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error) as e:

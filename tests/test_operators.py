@@ -219,6 +219,22 @@ def test_damaged_archives_and_pushed_filters(spark, tmp_path):
     assert [x[1] for p in reader.partitions() for x in p.entries] == ["c.js"] and reader.most_bytes == 7
 
 
+def test_stores_are_read_as_folders(tmp_path):
+    """A store that pyarrow knows against the local walk, files and archives; in one process."""
+    from pyarrow.fs import LocalFileSystem
+
+    for name in ("__init__.py", "b.py", "a/c.py", "a/.x/d.py", "node_modules/e.js", "z/y/f.md", ".eslintrc.json", "g.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("top/q.py", "q")
+    assert codetree.list_store(LocalFileSystem(), str(tmp_path)) == codetree.list_tree(str(tmp_path))
+    for path in (str(tmp_path), str(tmp_path / "t.zip")):
+        local, other = codetree.TreeReader({"path": path}), codetree.TreeReader({"path": path})
+        other.store = LocalFileSystem()
+        assert [r for p in other.partitions() for r in other.read(p)] == [r for p in local.partitions() for r in local.read(p)] != []
+
+
 def test_front_end_rows(spark):
     from loomgraph.operators import views
 
