@@ -90,7 +90,7 @@ def _record(date: str) -> Column:
         ("X-Page-Id", F.col("page_id").cast("string")),
         ("X-Refers-To-Page-Id", F.col("refers_to").cast("string")),
         ("Content-Type", F.lit("application/http; msgtype=response")),
-        ("Content-Length", F.octet_length(block).cast("string")),
+        ("Content-Length", (F.octet_length(http) + F.when(response, F.col("payload_bytes")).otherwise(0)).cast("string")),
     ]
     # a field without a value is left out
     head = F.concat(F.lit(f"WARC/1.1{CRLF}"), *[F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)), F.lit("")) for k, v in fields], F.lit(CRLF))
