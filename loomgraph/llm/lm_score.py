@@ -19,19 +19,28 @@ learned from; rows that repeat are scored one by one; with no training rows ever
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from loomgraph.llm.common import fold, written
 
 END = b"\n"
+#: Hash and shape of the end, which is no word.
+END_HASH, END_SHAPE = -1, 4
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII white space, at which words end, and bytes of a text that are hashed at a time.
+SPACE = np.zeros(256, np.bool_)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+PIECE_BYTES = 1 << 16
 SHAPES = 8
 #: Bins of counts per e-fold, to find the frequent words without sorting all.
 COUNT_BINS = 32
@@ -59,45 +68,78 @@ class Settings:
     seed: int = 7
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lowered; ASCII white space separates them."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (BASE, inverse))
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The bytes in pieces that end where words end, of about PIECE_BYTES."""
+    at = 0
+    while at < len(raw):
+        found = BLANK.search(raw, at + PIECE_BYTES)
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and shape of each word with A-Z lowered; ASCII white space separates words."""
+    hashes, shapes = [], []
+    for raw in _pieces(text.encode("utf-8", "replace").lower() if text else b""):
+        data = np.frombuffer(raw, np.uint8)
+        blank = SPACE[data]
+        edges = np.concatenate([[0], np.flatnonzero(blank[1:] != blank[:-1]) + 1, [len(data)]])[int(blank[0]) :]
+        start, end = edges[: len(edges) // 2 * 2 : 2], edges[1::2]
+        up, down = _powers(max(2 * PIECE_BYTES, 1 << len(data).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * down[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        hashes.append(h.view(np.int64))
+        n, last = end - start, data[end - 1]
+        long = n > 8
+        shapes.append(np.where(last == 0x2E, long, np.where(last == 0x2C, 2 + long, 4 + (n > 5) + long + (n > 11))))
+    if not hashes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(shapes).astype(np.int64)
 
 
 def word_hash(word: bytes) -> int:
-    h = xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def shape(word: bytes) -> int:
-    """One of eight classes: by the mark at the word's end and its length."""
-    last = word[-1]
-    mark = 0 if last == 0x2E else 1 if last == 0x2C else 2
-    n = len(word)
-    return 2 * mark + (n > 8) if mark < 2 else 4 + (n > 5) + (n > 8) + (n > 11)
+    return END_HASH if word == END else int(tokens(word.decode("utf-8", "replace"))[0][0])
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """train: text. hash, shape and count of every token, the end among them."""
 
     def counts(batches):
-        seen, docs = Counter(), 0
+        # hash, shape and count of what is counted, then of single tokens
+        held, size, docs = [np.zeros((3, 0), np.int64)], 0, 0
 
-        def flush():
-            words = list(seen)
-            made = pd.DataFrame({"hash": [word_hash(w) for w in words], "shape": [shape(w) for w in words], "count": list(seen.values())})
-            seen.clear()
-            return made
+        def summed():
+            hashes, shapes, n = np.concatenate(held, axis=1)
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+            return np.stack([hashes[first], shapes[order][first], np.add.reduceat(n[order], first) if len(first) else n])
 
         for batch in batches:
             for text in batch["text"]:
-                seen.update(tokens(text))
-                docs += 1
-            if len(seen) > 1_000_000:
-                yield flush()
+                hashes, shapes = tokens(text)
+                held.append(np.stack([hashes, shapes, np.ones(len(hashes), np.int64)]))
+                size, docs = size + len(hashes), docs + 1
+                if size > PIECE:
+                    held, size = [summed()], 0
+                    if held[0].shape[1] > PIECE:
+                        yield pd.DataFrame(dict(zip(("hash", "shape", "count"), held.pop(), strict=True)))
+                        held.append(np.zeros((3, 0), np.int64))
         if docs:
-            seen[END] = docs
-            yield flush()
+            held.append(np.array([[END_HASH], [END_SHAPE], [docs]]))
+            yield pd.DataFrame(dict(zip(("hash", "shape", "count"), summed(), strict=True)))
 
     return train.select("text").mapInPandas(counts, "hash long, shape int, count long").groupBy("hash", "shape").agg(F.sum("count").alias("count"))
 
@@ -128,31 +170,30 @@ class Vocabulary:
 
 
 class Reader:
-    """Looks words up in a vocabulary; keeps what it has looked up, a number for each word."""
-
-    def __init__(self, vocab: Vocabulary, most_words: int = 400_000):
-        self.vocab, self.most_words, self.number = vocab, most_words, {}
-        self._table(1 << 16)
-
-    def _table(self, size: int) -> None:
-        """Place in the network's input (head, then shapes), count or -1 if not known here, and hash, by number."""
-        self.place, self.count, self.hash = (np.empty(size, np.int64) for _ in range(3))
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        number, vocab = self.number, self.vocab
-        if len(number) > self.most_words:
-            number.clear()
-        for w in set(words).difference(number):
-            k = number[w] = len(number)
-            if k == len(self.place):
-                old = self.place, self.count, self.hash
-                self._table(2 * k)
-                self.place[:k], self.count[:k], self.hash[:k] = old
-            h = word_hash(w)
-            place = vocab.head.get(h)
-            self.place[k] = len(vocab.head) + shape(w) if place is None else place
-            self.count[k], self.hash[k] = vocab.counts.get(h, -1), h
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    """Looks the words of texts up in a vocabulary."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.n_head = vocab, len(vocab.head)
+        known = {h: c for h, c in vocab.counts.items() if h != END_HASH} or {0: 0}
+        self.hash = np.array(sorted(known), np.int64)
+        count = np.array([known[h] for h in self.hash.tolist()], np.float64)
+        self.place = np.array([vocab.head.get(h, -1) for h in self.hash.tolist()], np.int64)
+        self.base, self.log_count = np.log10(count + 1), np.log10(np.maximum(count, 1))
+        self.present = count > 0
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, int, float, float, np.ndarray, np.ndarray]:
+        """Places of a text's words and its end; of the words known here their number and their sums for the base score
+        and for the share in their classes; hashes of the others, and their number times SHAPES and shape."""
+        hashes, shapes = tokens(text)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        here = (self.hash[at] == hashes) & self.present[at]
+        place = np.where(here, self.place[at], -1)
+        places = np.zeros(len(hashes) + 1, PLACE)  # the end is 0
+        places[:-1] = np.where(place < 0, self.n_head + shapes, place)
+        outside = here & (place < 0)
+        share = (self.vocab.log_share[shapes[outside]] + self.log_count[at[outside]]).sum()
+        rest, first, many = np.unique(hashes[~here], return_index=True, return_counts=True)
+        return places, int(np.count_nonzero(here)), self.base[at[here]].sum(), share, rest, many * SHAPES + shapes[~here][first]
 
 
 def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
@@ -424,23 +465,11 @@ def encode(slim: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def encoded(batches):
         vocab = sent.value
-        read, n_head = Reader(vocab), len(vocab.head)
-        end = vocab.counts.get(word_hash(END), 0)
+        read = Reader(vocab)
+        end = vocab.counts.get(END_HASH, 0)
         for batch in batches:
-            n = len(batch)
-            docs, known, base, flat, tails, times = [], np.zeros(n, np.int64), np.zeros(n), np.zeros(n), [], []
-            for i, text in enumerate(batch["text"]):
-                which = read.numbers(tokens(text))
-                place, count = read.place[which], read.count[which]
-                docs.append(np.append(place, 0).astype(PLACE))
-                here = count >= 0
-                known[i] = np.count_nonzero(count > 0) + (end > 0)
-                base[i] = np.log10(np.maximum(count, 0) + 1.0).sum() + np.log10(end + 1)
-                outside = here & (place >= n_head)
-                flat[i] = (vocab.log_share[place[outside] - n_head] + np.log10(np.maximum(count[outside], 1))).sum()
-                rest, many = np.unique(which[~here], return_counts=True)
-                tails.append(read.hash[rest])
-                times.append(many * SHAPES + read.place[rest] - n_head)
+            docs, known, base, flat, tails, times = map(list, zip(*map(read, batch["text"]), strict=True)) if len(batch) else ([], [], [], [], [], [])
+            known, base = np.array(known, np.int64) + (end > 0), np.array(base) + np.log10(end + 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [len(x) for x in docs], "known": known, "base": base, "flat": flat, "tail": tails, "times": times, "places": [x.tobytes() for x in docs]})
 
     made = slim.mapInPandas(encoded, "doc_id long, fold long, n_tokens long, known long, base double, flat double, tail array<long>, times array<long>, places binary")

@@ -264,6 +264,26 @@ def test_mixing_odd(spark):
 # 3
 
 
+def test_tokens_are_words(monkeypatch):
+    import numpy as np
+
+    draw = random.Random(11)
+    texts = ["", " ", "one", "A b. C,\n\td ", "é É x", "w" * 70_000 + " end", *(" ".join(words(draw.randrange(1, 400), i)) for i in range(20))]
+    for size in (1 << 16, 50):
+        monkeypatch.setattr(lm_score, "PIECE_BYTES", size)
+        seen = {}
+        for t in texts:
+            own = t.encode().lower().split()
+            hashes, shapes = lm_score.tokens(t)
+            assert len(hashes) == len(own)
+            for w, h, s in zip(own, hashes.tolist(), shapes.tolist(), strict=True):
+                n, last = len(w), w[-1:]
+                assert s == (n > 8 if last == b"." else 2 + (n > 8) if last == b"," else 4 + (n > 5) + (n > 8) + (n > 11))
+                assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen)
+    assert np.array_equal(lm_score.tokens("x y")[0][1:], lm_score.tokens("y")[0])
+
+
 def test_base_score_and_counts(docs, corpus):
     out = {r.doc_id: r for r in lm_score.score(docs, settings=lm_score.Settings(head=64, known=200, in_class=16)).collect()}
     tokens = lambda t: [*(t or "").lower().split(), "\n"]
