@@ -217,9 +217,10 @@ def dedup(docs: DataFrame, spacing: int = SPACING, least: int = LEAST, shortest:
     size = F.when(F.col("size") > 0, F.col("size")).otherwise(F.octet_length(raw))
     before = F.least("at", F.lit(CONTEXT))
     cut = lambda start, n: F.substring(raw, (start + 1).cast("int"), n.cast("int"))
-    there = rows.join(wanted, (F.col("i") == F.col("fi")) & (F.col("h") == F.col("fh")) & (F.col("n") == F.col("fn"))).where(F.hash("row") >= -(1 << 31))
+    there = rows.join(wanted, (F.col("i") == F.col("fi")) & (F.col("h") == F.col("fh")) & (F.col("n") == F.col("fn")))
+    digest = F.when(F.hash("row") >= -(1 << 31), F.unhex(F.md5(cut(F.col("at"), size))))  # always so; it keeps the row whole
     told = there.select(
-        "d", F.col("start"), F.col("size"), F.unhex(F.md5(cut(F.col("at"), size))).alias("md5"), cut(F.col("at") - before, before).alias("before"),
+        "d", F.col("start"), F.col("size"), digest.alias("md5"), cut(F.col("at") - before, before).alias("before"),
         cut(F.col("at") + size, F.lit(CONTEXT)).alias("after"), F.when(F.col("n") == 0, F.col("i")).alias("first"),
     )
     own = told.groupBy("d").agg(F.collect_set(F.struct("start", "size", "md5", "before", "after", "first")).alias("runs"))
