@@ -183,7 +183,7 @@ def _frequencies(dealt: DataFrame, buckets: int, cut: int) -> DataFrame:
 def sampled(rows: DataFrame, nodes: DataFrame, total: int, chars: int) -> DataFrame:
     """rows: d, node, text; nodes: node, d, n of each text. node, shared (packed frequencies) and bands of each text.
 
-    A text without words has no bands. Equal texts may come several times.
+    A text without words has no bands. Equal texts are in one chunk and come once.
     """
     weights = Weights(total)
     chunks, buckets = chars // CHUNK + 1, max(64, chars // 6 // BUCKET)
@@ -395,7 +395,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     nodes = written(each.observe(size, F.sum("n").alias("n"), F.sum(F.col("n") * F.col("chars")).alias("chars")), "nodes")
     total, chars = size.get["n"] or 0, size.get["chars"] or 0
     weights = Weights(total)
-    found = written(sampled(rows, nodes, total, chars).dropDuplicates(["node"]), "sampled")
+    found = written(sampled(rows, nodes, total, chars), "sampled")
     members = found.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
     # the one to compare with: the least in an order of the band's own
     pivots = (
