@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,10 @@ from loomgraph.session import scratch
 
 #: The ASCII white space that separates words, as a regular expression's class.
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = [9, 10, 11, 12, 13, 32]
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a text that are hashed at a time.
+PIECE_BYTES = 1 << 16
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,3 +62,51 @@ def same_row(a: Column, b: Column) -> Column:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def blanks(*more: int) -> np.ndarray:
+    """For each byte whether it separates words."""
+    out = np.zeros(256, np.bool_)
+    out[[*BLANKS, *more]] = True
+    return out
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (BASE, inverse))
+
+
+def _pieces(raw: bytes, blank: re.Pattern = re.compile(rb"[\x20\x09-\x0D]")) -> Iterator[bytes]:
+    """The bytes in pieces that end where words end, of about PIECE_BYTES."""
+    at = 0
+    while at < len(raw):
+        found = blank.search(raw, at + PIECE_BYTES)
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def hashed_words(raw: bytes, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, length and last byte of each word of a text; space: as of blanks().
+
+    A word's hash is a mixed polynomial of its bytes, from differences of running sums, so no word is an object.
+    """
+    out = []
+    for piece in _pieces(raw):
+        data = np.frombuffer(piece, np.uint8)
+        blank = space[data]
+        edges = np.concatenate([[0], np.flatnonzero(blank[1:] != blank[:-1]) + 1, [len(data)]])[int(blank[0]) :]
+        start, end = edges[: len(edges) // 2 * 2 : 2], edges[1::2]
+        up, down = _powers(max(2 * PIECE_BYTES, 1 << len(data).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * down[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        out.append((h, end - start, data[end - 1]))
+    if len(out) == 1:
+        return out[0]
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))

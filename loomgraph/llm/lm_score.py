@@ -19,10 +19,7 @@ learned from; rows that repeat are scored one by one; with no training rows ever
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,17 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fold, written
+from loomgraph.llm.common import blanks, fold, hashed_words, written
 
 END = b"\n"
 #: Hash and shape of the end, which is no word.
 END_HASH, END_SHAPE = -1, 4
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: ASCII white space, at which words end, and bytes of a text that are hashed at a time.
-SPACE = np.zeros(256, np.bool_)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
-PIECE_BYTES = 1 << 16
+SPACE = blanks()
 SHAPES = 8
 #: Bins of counts per e-fold, to find the frequent words without sorting all.
 COUNT_BINS = 32
@@ -68,45 +60,12 @@ class Settings:
     seed: int = 7
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2**64."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (BASE, inverse))
-
-
-def _pieces(raw: bytes) -> Iterator[bytes]:
-    """The bytes in pieces that end where words end, of about PIECE_BYTES."""
-    at = 0
-    while at < len(raw):
-        found = BLANK.search(raw, at + PIECE_BYTES)
-        end = found.start() if found else len(raw)
-        yield raw[at:end]
-        at = end
-
-
 def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hash and shape of each word with A-Z lowered; ASCII white space separates words."""
-    hashes, shapes = [], []
-    for raw in _pieces(text.encode("utf-8", "replace").lower() if text else b""):
-        data = np.frombuffer(raw, np.uint8)
-        blank = SPACE[data]
-        edges = np.concatenate([[0], np.flatnonzero(blank[1:] != blank[:-1]) + 1, [len(data)]])[int(blank[0]) :]
-        start, end = edges[: len(edges) // 2 * 2 : 2], edges[1::2]
-        up, down = _powers(max(2 * PIECE_BYTES, 1 << len(data).bit_length()))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        h = (sums[end] - sums[start]) * down[start]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        hashes.append(h.view(np.int64))
-        n, last = end - start, data[end - 1]
-        long = n > 8
-        shapes.append(np.where(last == 0x2E, long, np.where(last == 0x2C, 2 + long, 4 + (n > 5) + long + (n > 11))))
-    if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(shapes).astype(np.int64)
+    hashes, n, last = hashed_words(text.encode("utf-8", "replace").lower() if text else b"", SPACE)
+    long = n > 8
+    shapes = np.where(last == 0x2E, long, np.where(last == 0x2C, 2 + long, 4 + (n > 5) + long + (n > 11)))
+    return hashes.view(np.int64), shapes.astype(np.int64)
 
 
 def word_hash(word: bytes) -> int:

@@ -30,9 +30,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
 
-from loomgraph.llm.common import doc_key, key_id, same_row, text_hash, written
+from loomgraph.llm.common import BASE, blanks, doc_key, hashed_words, key_id, same_row, text_hash, written
 from loomgraph.llm.graph import components
 
 WORDS = 5
@@ -45,7 +44,8 @@ COPIES, MOST_HOT = 64, 1_000_000
 #: Bits of a shingle's hash beyond those that tell all characters of the table apart, in the table of frequencies.
 SPARE_BITS = 22
 SLOTS = 1 << 16
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What str.split takes for white space in ASCII.
+SPACE = blanks(28, 29, 30, 31)
 #: The random draws of the sampling scheme: Gamma(2, 1) twice and a uniform one, by slot of a shingle's hash.
 _draw = np.random.default_rng(20240501)
 GAMMA_R, GAMMA_C, SHIFT = _draw.gamma(2, 1, SLOTS), _draw.gamma(2, 1, SLOTS), _draw.random(SLOTS)
@@ -53,21 +53,18 @@ ODD = (_draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)
 
 
 class Shingler:
-    """Distinct shingle hashes of a text and their counts; keeps hashes of words it has seen."""
+    """Distinct shingle hashes of a text and their counts."""
 
-    def __init__(self, n: int = WORDS, most_words: int = 400_000):
-        self.n, self.most_words, self.known = n, most_words, {}
+    def __init__(self, n: int = WORDS):
+        self.n = n
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = text.lower().split() if text else []
-        if not words:
+        lower = text.lower() if text else ""
+        # other white space than ASCII's separates words, too
+        raw = lower.encode() if lower.isascii() else " ".join(lower.split()).encode("utf-8", "replace")
+        own, _, _ = hashed_words(raw, SPACE)
+        if not len(own):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        known = self.known
-        if len(known) > self.most_words:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxh64_intdigest(w.encode("utf-8", "replace"))
-        own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(own))
         out = np.zeros(len(own) - n + 1, np.uint64)
         for k in range(n):

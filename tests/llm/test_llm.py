@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import (
     chunk_dedup,
+    common,
     decontamination,
     fingerprints,
     graph,
@@ -270,7 +271,7 @@ def test_tokens_are_words(monkeypatch):
     draw = random.Random(11)
     texts = ["", " ", "one", "A b. C,\n\td ", "é É x", "w" * 70_000 + " end", *(" ".join(words(draw.randrange(1, 400), i)) for i in range(20))]
     for size in (1 << 16, 50):
-        monkeypatch.setattr(lm_score, "PIECE_BYTES", size)
+        monkeypatch.setattr(common, "PIECE_BYTES", size)
         seen = {}
         for t in texts:
             own = t.encode().lower().split()
@@ -764,6 +765,16 @@ def test_near_classes(docs, corpus):
     assert {i: r.class_id for i, r in got.items()} == {i: root(i) for i, *_ in corpus}
 
 
+def test_shingles_are_of_words():
+    shingler = near_dedup.Shingler()
+    same = ["A b\u00a0c d e F", "a B c D\x1ce\u3000f", " a b  c\nd e f "]
+    assert len({shingler(t)[0].tobytes() for t in same}) == 1
+    draw = random.Random(12)
+    for k in (1, 4, 5, 6, 300, 20000):
+        own = [draw.choice(["é", "x", "yy", "Z"]) for _ in range(k)]
+        assert sorted(shingler(" ".join(own))[1].tolist()) == sorted(bag(" ".join(own)).values())
+
+
 def test_common_passages_alone_do_not_join(spark):
     passage = words(34, "passage")
     rows = [(i, " ".join(words(60, f"far{i}"))) for i in range(400)]
