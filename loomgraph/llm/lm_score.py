@@ -42,6 +42,10 @@ BLOCK, MOST_SHARDS, SUMMED = 8192, 1024, 32
 PIECE = 1 << 20
 #: Windows of a piece at least: a short one is cut into fewer parallel streams.
 WINDOWS = 64
+#: The largest logit, so that its exponential is a float32.
+LARGEST = np.float32(80)
+#: Texts that are looked up together.
+READ = 128
 #: How places are stored; the head has to fit.
 PLACE = np.dtype("<u2")
 
@@ -140,19 +144,30 @@ class Reader:
         self.base, self.log_count = np.log10(count + 1), np.log10(np.maximum(count, 1))
         self.present = count > 0
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, int, float, float, np.ndarray, np.ndarray]:
-        """Places of a text's words and its end; of the words known here their number and their sums for the base score
-        and for the share in their classes; hashes of the others, and their number times SHAPES and shape."""
-        hashes, shapes = tokens(text)
+    def __call__(self, texts: list[str | None]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, list, list]:
+        """For each text: places of its words and its end; of the words known here their number and their sums for the
+        base score and for the share in their classes; hashes of the others, and their number times SHAPES and shape."""
+        each = [tokens(t) for t in texts]
+        size = np.array([len(h) for h, _ in each], np.int64)
+        hashes, shapes = (np.concatenate([x[k] for x in each]) for k in range(2))
+        doc = np.repeat(np.arange(len(texts)), size)
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
         here = (self.hash[at] == hashes) & self.present[at]
         place = np.where(here, self.place[at], -1)
-        places = np.zeros(len(hashes) + 1, PLACE)  # the end is 0
-        places[:-1] = np.where(place < 0, self.n_head + shapes, place)
-        outside = here & (place < 0)
-        share = (self.vocab.log_share[shapes[outside]] + self.log_count[at[outside]]).sum()
-        rest, first, many = np.unique(hashes[~here], return_index=True, return_counts=True)
-        return places, int(np.count_nonzero(here)), self.base[at[here]].sum(), share, rest, many * SHAPES + shapes[~here][first]
+        outside = np.flatnonzero(here & (place < 0))
+        places = np.zeros(len(hashes) + len(texts), PLACE)  # the end is 0
+        places[np.arange(len(hashes)) + doc] = np.where(place < 0, self.n_head + shapes, place)
+        sums = lambda x, of: np.bincount(of, weights=x, minlength=len(texts))
+        share = sums(self.vocab.log_share[shapes[outside]] + self.log_count[at[outside]], doc[outside])
+        rest = np.flatnonzero(~here)
+        rest = rest[np.lexsort((hashes[rest], doc[rest]))]
+        first = np.flatnonzero(np.r_[True, (hashes[rest[1:]] != hashes[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])]) if len(rest) else rest
+        many, found = np.diff(first, append=len(rest)), rest[first]
+        cut = np.searchsorted(doc[found], np.arange(1, len(texts)))
+        return (
+            np.split(places, np.cumsum(size + 1)[:-1]), sums(here, doc).astype(np.int64), sums(np.where(here, self.base[at], 0.0), doc), share,
+            np.split(hashes[found], cut), np.split(many * SHAPES + shapes[found], cut),
+        )
 
 
 def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
@@ -202,8 +217,8 @@ class Network:
             count = np.zeros(self.n)
             for w, i in vocab.head.items():
                 count[i] = max(1, vocab.counts.get(w, 1))
-            self.bo[:] = np.log(count)
             mass = [count[i : i + settings.in_class].sum() for i in range(0, self.n, settings.in_class)]
+            self.bo[:] = np.log(count / np.repeat(mass, settings.in_class)[: self.n])
             rest = np.maximum(1, 10**-vocab.log_share)
             self.bc[:] = np.log(np.concatenate([mass, rest]) / (sum(mass) + rest.sum()))
 
@@ -248,11 +263,14 @@ class Network:
 
     @staticmethod
     def _of(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Log softmax at one column of each row; logits are overwritten."""
-        logits -= logits.max(axis=1, keepdims=True)
+        """Log softmax at one column of each row; logits are overwritten.
+
+        Biases are logs of shares, so logits stay far below LARGEST and one of a row stays far above its negative.
+        """
+        np.minimum(logits, LARGEST, out=logits)
         own = logits[np.arange(len(logits)), column]
         np.exp(logits, out=logits)
-        return own - np.log(logits.sum(axis=1))
+        return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document's places (the end among them), many documents at a time."""
@@ -365,9 +383,9 @@ class Network:
     @staticmethod
     def _off(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
         """Softmax less one at one column of each row; logits are overwritten."""
-        logits -= logits.max(axis=1, keepdims=True)
+        np.minimum(logits, LARGEST, out=logits)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits *= (1 / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
         logits[np.arange(len(logits)), column] -= 1
         return logits
 
@@ -427,9 +445,13 @@ def encode(slim: DataFrame, vocab: Vocabulary) -> DataFrame:
         read = Reader(vocab)
         end = vocab.counts.get(END_HASH, 0)
         for batch in batches:
-            docs, known, base, flat, tails, times = map(list, zip(*map(read, batch["text"]), strict=True)) if len(batch) else ([], [], [], [], [], [])
-            known, base = np.array(known, np.int64) + (end > 0), np.array(base) + np.log10(end + 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [len(x) for x in docs], "known": known, "base": base, "flat": flat, "tail": tails, "times": times, "places": [x.tobytes() for x in docs]})
+            for at in range(0, len(batch), READ):
+                part = batch.iloc[at : at + READ]
+                docs, known, base, flat, tails, times = read(part["text"].tolist())
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].array, "fold": part["fold"].array, "n_tokens": [len(x) for x in docs], "known": known + (end > 0), "base": base + np.log10(end + 1),
+                    "flat": flat, "tail": tails, "times": times, "places": [x.tobytes() for x in docs],
+                })
 
     made = slim.mapInPandas(encoded, "doc_id long, fold long, n_tokens long, known long, base double, flat double, tail array<long>, times array<long>, places binary")
     return made.withColumn("row", F.monotonically_increasing_id())
