@@ -183,8 +183,8 @@ def overlapping(seeds: DataFrame, rare: int = RARE) -> DataFrame:
     holders = written(held.select(F.col("seed").alias("s"), "first", "n"), "holders")
     shared = seeds.select("seed", "d").join(holders, F.col("seed") == F.col("s"))
     firsts = shared.where("d <> first").select("d", F.col("first").alias("e"))
-    # at most `rare` documents in a list
-    chains = shared.where(F.col("n") <= rare).groupBy("seed").agg(F.array_distinct(F.array_sort(F.collect_list("d"))).alias("ds"))
+    # at most `rare` documents in a list; dealt anew, so that Spark can split the join before
+    chains = shared.where(F.col("n") <= rare).select("seed", "d").repartition("seed").groupBy("seed").agg(F.array_distinct(F.array_sort(F.collect_list("d"))).alias("ds"))
     steps = chains.select(F.explode(F.arrays_zip(F.slice("ds", F.lit(2), F.size("ds")).alias("d"), F.slice("ds", F.lit(1), F.size("ds") - 1).alias("e"))).alias("x"))
     return firsts.unionAll(steps.select("x.d", "x.e")).distinct()
 
