@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import written
 
-#: Links that a file of a settled table holds, about.
-FILE_ROWS = 2_000_000
+#: Links that a partition holds, about.
+FILE_ROWS = 1_000_000
+
+
+def _either(*pairs: tuple[str, str]) -> list:
+    """A row for each of the pairs, as u and v."""
+    return [F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")]
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over (u, v), v < u."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "x")
-    large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """One large-star and one small-star step over (u, v), v < u.
+
+    No step makes more partitions, so that a table of one partition is done in one task without a shuffle.
+    """
+    both = edges.select(*_either(("u", "v"), ("v", "u"))).select("e.*")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "x")
+    large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-    moved = large.join(least, F.col("u") == F.col("x")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
+    moved = large.join(least, F.col("u") == F.col("x")).select(*_either(("u", "m"), ("v", "m")))
+    return moved.select("e.*").where("u > v").distinct()
 
 
 def _settled(edges: DataFrame, most: int | None) -> tuple[DataFrame, tuple]:
@@ -43,7 +51,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame | None:
     if not sign[0]:
         return None
     for _ in range(most_rounds):
-        now, after = _settled(_stars(now), sign[0] * 2)
+        now, after = _settled(_stars(now.coalesce(1 + sign[0] // FILE_ROWS)), sign[0] * 2)
         if after == sign:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         sign = after
