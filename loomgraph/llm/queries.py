@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chunk_dedup, decontamination, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, token_rollup, warc
+from loomgraph.llm import chunk_dedup, decontamination, fingerprints, language_id, lexical_search, line_dedup, lm_score, mixing, near_dedup, token_rollup, warc
 from loomgraph.llm.common import read
 
 QUERIES = {
@@ -16,7 +16,8 @@ QUERIES = {
     "op8_language_id": lambda s, d: language_id.identify(read(s, d, "documents")),
     "op9_decontamination": lambda s, d: decontamination.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
     "op10_near_dedup": lambda s, d: near_dedup.near_classes(read(s, d, "documents")),
+    "op11_lexical_search": lambda s, d: lexical_search.rank(read(s, d, "documents"), read(s, d, "benchmark")),
 }
 
 #: What SQL can express; the other queries are tested against plain forms.
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL, "op5_warc_revisits": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL, "op5_warc_revisits": warc.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL}
