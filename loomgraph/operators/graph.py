@@ -5,14 +5,26 @@ Nodes are of any type that can be ordered. Edges are a simple digraph: `digraph`
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import ENTRY_STEMS
 from loomgraph.operators.storage import numbered, settled
 
+#: A graph with more nodes or edges is not sent to tasks; numbers that a task searches at once.
+EDGES_IN_TASK = 2_000_000
+CELLS = 4_000_000
+#: Open paths dealt to a task, the most tasks of a component, and nodes looked at that count as a step of a walk.
+PATHS_IN_TASK = 50
+MOST_DEALT = 256
+REACH_STEP = 100
+
 
 def digraph(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").where("source <> target").distinct()
@@ -75,93 +87,242 @@ def neighbours(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFra
     return joined.drop("source", "target").withColumns({c: F.coalesce(c, empty) for c in ("dependents", "dependencies")})
 
 
+def _unwound(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges (source, target, steps) drawn in towards the start of the graph until they can be no more, and whether all are.
+
+    A node without incoming edges gets one from null, of 0 steps. In each round an edge whose source has only one way in
+    is drawn back over it: all edges at once, so a chain is halved by each round, and a node whose ways in all come from
+    null has its longest way from a start in steps. Of equal edges the longest counts. What lies behind a cycle is never
+    drawn in; a round that frees no node ends the loop. A hub's edges meet its one way in through a plain join.
+    """
+    ends = nodes.select(F.col("node").alias("target")).distinct()
+    inner = edges.join(ends, "target", "left_semi").join(ends.select(F.col("target").alias("source")), "source", "left_semi").select("source", "target")
+    inner = settled(inner, "edges")
+    starts = ends.join(inner.select("target"), "target", "left_anti")
+    kind = dict(ends.dtypes)["target"]
+    now = settled(inner.select("source", "target", F.lit(1).alias("steps")).unionByName(starts.select(F.lit(None).cast(kind).alias("source"), "target", F.lit(0).alias("steps"))), "ways")
+    freed, wanted = 0, ends.count()
+    while True:
+        ways = now.groupBy("target").agg(F.count("*").alias("n"), F.min("source").alias("before"), F.max("steps").alias("more")).where("n = 1")
+        single = settled(ways.select(F.col("target").alias("at"), "before", "more"), "level")
+        n = single.where("before is null").count()
+        if n == wanted or n == freed:
+            return now, n == wanted
+        freed = n
+        drawn = now.join(single, F.col("source") == F.col("at"), "left")
+        moved = drawn.select(F.when(F.col("at").isNull(), F.col("source")).otherwise(F.col("before")).alias("source"), "target", (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        now = settled(moved.groupBy("source", "target").agg(F.max("steps").alias("steps")), "ways")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+
+
 def on_cycles_only(edges: DataFrame) -> DataFrame:
-    """Edges less those whose start has no way in or whose end has no way out, until none is left of them."""
-    now, size = settled(digraph(edges), "edges"), None
-    while (n := now.count()) != size and n:
-        size = n
-        now = settled(
-            now.join(now.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            .join(now.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"),
-            "edges",
-        )
+    """Edges that lie on a cycle or between two: those whose ends neither start nor finish outside of cycles."""
+    now = settled(digraph(edges), "edges")
+    for turn in (False, True):
+        way = now.select(F.col("target").alias("source"), F.col("source").alias("target")) if turn else now
+        ways, done = _unwound(_ends(way), way)
+        if done:
+            return now.limit(0)
+        caught = settled(ways.where("source is not null").select(F.col("target").alias("node")).distinct(), "caught")
+        now = settled(induced(now, caught).select("source", "target"), "edges")
     return now
 
 
-def cycles(edges: DataFrame, most_paths: int = 1_000_000) -> DataFrame:
+def _explored(budget: int):
+    """Walks the open paths of a component in a task, depth first, until `budget` cycles and steps; what is open then
+    comes back and is dealt out anew."""
+
+    def explored(paths: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        after, before = defaultdict(list), defaultdict(list)
+        for u, v in zip(edges["source"].tolist(), edges["target"].tolist(), strict=True):
+            after[u].append(v)
+            before[v].append(u)
+        stack = [list(m) for m in paths["members"]]
+        done, spent = [], 0
+        while stack and spent < budget:
+            path = stack.pop()
+            start, taken = path[0], set(path)
+            # the nodes from which the start can still be reached beside the path
+            back, reach = [start], set()
+            while back:
+                for u in before[back.pop()]:
+                    if u > start and u not in taken and u not in reach:
+                        reach.add(u)
+                        back.append(u)
+            for v in after[path[-1]]:
+                if v == start:
+                    done.append(path)
+                elif v in reach:
+                    stack.append([*path, v])
+            spent += 1 + len(reach) // REACH_STEP
+        component = paths["component"].iloc[0] if len(paths) else None
+        rows = [(component, True, m) for m in done] + [(component, False, m) for m in stack]
+        return pd.DataFrame(rows, columns=["component", "is_cycle", "members"])
+
+    return explored
+
+
+def cycles(edges: DataFrame, most_paths: int = 1_000_000, budget: int = 20_000) -> DataFrame:
     """All elementary cycles: members (from the least on) and length.
 
-    Their number can be exponential in the edges: beyond most_paths open paths this raises rather than leave any out.
+    Only edges within a strongly connected component count. From each node as the least one, paths grow through greater
+    nodes, and only to nodes from which the start can still be reached beside the path: every open path ends in a cycle
+    at least, so the work is bound by the cycles and not by the paths. A task walks the paths dealt to it depth first
+    and hands back what is open after `budget` steps; these are dealt out anew, so a component with very many cycles is
+    spread over all tasks. A task holds the edges of one component and at most as many open paths as its steps.
+
+    Their number can be exponential in the edges: beyond most_paths closed paths this raises rather than leave any out.
     """
-    core = on_cycles_only(edges)
-    step = core.select(F.col("source").alias("from"), F.col("target").alias("to"))
-    paths = core.where("target > source").select(F.array("source", "target").alias("members"))
-    kind = dict(core.dtypes)["source"]
-    found = [core.sparkSession.createDataFrame([], f"members array<{kind}>")]
-    while True:
-        paths = settled(paths, "paths")
-        n = paths.count()
-        if not n:
-            break
-        if n > most_paths:
-            raise RuntimeError(f"{n} open paths; the limit is {most_paths}")
-        grown = settled(paths.join(step, F.element_at("members", -1) == F.col("from")).select("members", "to"), "grown")
-        found.append(grown.where(F.col("to") == F.col("members")[0]).select("members"))
-        further = (F.col("to") > F.col("members")[0]) & ~F.array_contains("members", F.col("to"))
-        paths = grown.where(further).select(F.concat("members", F.array("to")).alias("members"))
-    return settled(reduce(DataFrame.unionAll, found), "cycles").withColumn("length", F.size("members"))
+    spark = edges.sparkSession
+    kind = dict(edges.dtypes)["source"]
+    parts = settled(strong_components(edges), "components")
+    first = parts.select(F.col("node").alias("source"), "component")
+    last = parts.select(F.col("node").alias("target"), F.col("component").alias("other"))
+    inner = settled(digraph(edges).join(first, "source").join(last, "target").where("component = other").select("component", "source", "target"), "inner")
+    rows = parts.select("component", F.lit(False).alias("is_cycle"), F.array("node").alias("members"))
+    schema, found, total = f"component {kind}, is_cycle boolean, members array<{kind}>", [], 0
+    while (n := rows.where("not is_cycle").count()):
+        deal = min(MOST_DEALT, 1 + n // PATHS_IN_TASK)
+        paths = rows.where("not is_cycle").withColumn("part", F.pmod(F.xxhash64("members"), F.lit(deal)))
+        graphs = inner.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
+        rows = settled(paths.groupBy("component", "part").cogroup(graphs.groupBy("component", "part")).applyInPandas(_explored(budget), schema), "paths")
+        found.append(rows.where("is_cycle").select("members"))
+        total += found[-1].count()
+        if total > most_paths:
+            raise RuntimeError(f"{total} cycles and more; the limit is {most_paths}")
+    none = spark.createDataFrame([], f"members array<{kind}>")
+    return settled(reduce(DataFrame.unionAll, found, none), "cycles").withColumn("length", F.size("members"))
 
 
 def ancestors(edges: DataFrame, roots: DataFrame, key: str = "root") -> DataFrame:
-    """root and ancestor: all nodes from which a root is reached, itself left out."""
-    back = digraph(edges).select(F.col("target").alias("at"), F.col("source").alias("next"))
-    front = settled(roots.select(F.col(key).alias("root"), F.col(key).alias("node")).distinct(), "front")
-    seen = front
-    while True:
-        new = front.join(back, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct()
-        front = settled(new.join(seen, ["root", "node"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionAll(front)
-    return seen.where("root <> node").select("root", F.col("node").alias("ancestor"))
-
+    """root and ancestor: all nodes from which a root is reached, itself left out.
 
-def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "node", most_pairs: int = 10**11) -> DataFrame:
+    Roots are numbered, and a node has one row of 64 bits for each 64 roots; a round hands the bits that a node has just
+    gained to the nodes before it, in one aggregate with a map side. Pairs of root and node are made once, at the end.
+    """
+    back = settled(digraph(edges).select(F.col("target").alias("at"), F.col("source").alias("next")), "back")
+    placed = settled(numbered(roots.select(F.col(key).alias("root")).where("root is not null").distinct(), ["root"]).select("root", F.floor(F.col("place") / 64).alias("word"), (F.col("place") % 64).cast("int").alias("bit")), "roots")
+    one = F.expr("shiftleft(1L, bit)")
+    now = settled(placed.select(F.col("root").alias("node"), "word", one.alias("bits"), one.alias("gained")), "bits")
+    while not now.where("gained <> 0").isEmpty():
+        sent = now.where("gained <> 0").select("node", F.col("word").alias("w"), F.col("gained").alias("bits"))
+        come = settled(sent.join(back, F.col("node") == F.col("at")).groupBy(F.col("next").alias("n"), "w").agg(F.bit_or("bits").alias("come")), "sent")
+        both = now.join(come, (F.col("node") == F.col("n")) & (F.col("word") == F.col("w")), "full")
+        have, more = F.coalesce("bits", F.lit(0).cast("long")), F.coalesce("come", F.lit(0).cast("long"))
+        now = settled(both.select(F.coalesce("node", "n").alias("node"), F.coalesce("word", "w").alias("word"), have.bitwiseOR(more).alias("bits"), more.bitwiseAND(F.bitwise_not(have)).alias("gained")), "bits")
+    pairs = now.select(F.col("node").alias("ancestor"), "word", F.explode(F.expr("filter(sequence(0, 63), b -> getbit(bits, b) = 1)")).alias("bit"))
+    return pairs.join(placed, ["word", "bit"]).where("root <> ancestor").select("root", "ancestor")
+
+
+def _dependencies(src: np.ndarray, dst: np.ndarray, n: int, most_cells: int):
+    """Sums of the dependencies of all starts dealt to a task, over a graph of numbered nodes that fits it."""
+
+    def sums(along: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[:, along], starts, axis=1)
+
+    def dependencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        into, out = np.argsort(dst, kind="stable"), np.argsort(src, kind="stable")
+        targets, t0 = np.unique(dst[into], return_index=True)
+        sources, s0 = np.unique(src[out], return_index=True)
+        tails, heads = src[into], dst[out]
+        total = np.zeros(n)
+        at_once = max(1, most_cells // max(n, len(src)))
+        for batch in batches:
+            for i in range(0, len(batch), at_once):
+                starts = batch["start"].to_numpy()[i : i + at_once]
+                rows = np.arange(len(starts))
+                level = np.full((len(starts), n), -1)
+                paths = np.zeros((len(starts), n))
+                level[rows, starts], paths[rows, starts] = 0, 1
+                depth = 0
+                while True:
+                    reached = sums(tails, np.where(level == depth, paths, 0), t0)
+                    new = (reached > 0) & (level[:, targets] < 0)
+                    if not new.any():
+                        break
+                    depth += 1
+                    level[:, targets] = np.where(new, depth, level[:, targets])
+                    paths[:, targets] = np.where(new, reached, paths[:, targets])
+                share = np.zeros((len(starts), n))
+                for d in range(depth - 1, 0, -1):
+                    below = np.where(level == d + 1, (1 + share) / np.where(paths > 0, paths, 1), 0)
+                    got = sums(heads, below, s0)
+                    share[:, sources] = np.where(level[:, sources] == d, got * paths[:, sources], share[:, sources])
+                total += share.sum(0)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"place": some, "s": total[some]})
+
+    return dependencies
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "node", most_edges: int = EDGES_IN_TASK, most_rows: int = 10**9, most_pairs: int = 10**13) -> DataFrame:
     """node and centrality: the share of shortest paths that pass through it, directed, over (n - 1)(n - 2).
 
-    Breadth-first search from all nodes at once, a level a round, then the dependencies back, a level a round: rows of
-    (start, node) are shuffled, and no task needs the whole graph. The rows grow with the square of the nodes that reach
-    each other; beyond most_pairs possible ones this raises.
+    A graph of at most most_edges nodes and edges goes to all tasks as two arrays of numbers; the starts are dealt out,
+    and each task searches several at once and keeps one running sum a node. Larger graphs stay tables
+    (`betweenness_by_joins`). Both give the same numbers, up to the order of sums. The work
+    grows with nodes times edges; beyond most_pairs pairs of nodes this raises.
     """
-    step = digraph(edges).select(F.col("source").alias("from"), F.col("target").alias("to"))
-    n = nodes.count()
+    spark = nodes.sparkSession
+    step = settled(digraph(edges), "steps")
+    everyone = settled(numbered(nodes.select(F.col(key).alias("node")).distinct(), ["node"]).select("node", "place"), "numbered")
+    n = everyone.count()
     if n * n > most_pairs:
         raise RuntimeError(f"{n} nodes have more than {most_pairs} pairs")
-    front = settled(nodes.select(F.col(key).alias("start"), F.col(key).alias("node"), F.lit(1.0).alias("paths")), "level")
-    levels, seen = [front], front.select("start", "node")
-    while True:
-        reached = front.join(step, F.col("node") == F.col("from")).groupBy("start", F.col("to").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = settled(reached.join(seen, ["start", "node"], "left_anti"), "level")
-        if front.isEmpty():
-            break
-        levels.append(front)
-        seen = seen.unionAll(front.select("start", "node"))
-    share, parts = None, []
-    for level, before in zip(reversed(levels[1:]), reversed(levels[:-1]), strict=True):
-        below = level.withColumn("share", F.lit(0.0)) if share is None else level.join(share, ["start", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        parts.append(below.select("node", "share"))
-        up = below.select("start", F.col("node").alias("to"), F.col("paths").alias("p"), "share")
-        share = settled(
-            before.join(step, F.col("node") == F.col("from")).join(up, ["start", "to"])
-            .groupBy("start", "node").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("share"))).alias("share")),
-            "share",
-        )
+    if not 0 < n <= most_edges or step.count() > most_edges:
+        return betweenness_by_joins(everyone, step, n, most_rows)
+    ends = step
+    for end in ("source", "target"):
+        ends = ends.join(everyone.select(F.col("node").alias(end), F.col("place").cast("int").alias(f"{end}_place")), end)
+    pairs = ends.select("source_place", "target_place").toPandas()  # at most most_edges rows
+    if not len(pairs):
+        return everyone.select("node", F.lit(0.0).alias("centrality"))
+    tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
+    search = _dependencies(pairs["source_place"].to_numpy(), pairs["target_place"].to_numpy(), n, CELLS)
+    sums = spark.range(0, n, 1, tasks).select(F.col("id").alias("start")).mapInPandas(search, "place long, s double").groupBy("place").agg(F.sum("s").alias("s"))
+    scale = (n - 1) * (n - 2) if n > 2 else 1
+    return everyone.join(sums, "place", "left").select("node", (F.coalesce("s", F.lit(0.0)) / scale).alias("centrality"))
+
+
+def betweenness_by_joins(everyone: DataFrame, edges: DataFrame, n: int, most_rows: int = 10**9) -> DataFrame:
+    """betweenness without the graph in any task. everyone: node and place from 0.
+
+    Breadth-first search from a batch of starts at once, a level a round, then the dependencies back, a level a round:
+    rows of (start, node) are shuffled. A batch has at most most_rows such rows; after it only its sums by node stay,
+    settled, so rows alive do not grow with the square of the nodes.
+    """
+    step = edges.select(F.col("source").alias("from"), F.col("target").alias("to"))
+    batch, sums = max(1, most_rows // max(n, 1)), None
+    for first in range(0, n, batch):
+        starts = everyone.where((F.col("place") >= first) & (F.col("place") < first + batch))
+        front = settled(starts.select(F.col("node").alias("start"), "node", F.lit(1.0).alias("paths")), "level")
+        levels, seen = [front], front.select("start", "node")
+        while True:
+            reached = front.join(step, F.col("node") == F.col("from")).groupBy("start", F.col("to").alias("node")).agg(F.sum("paths").alias("paths"))
+            front = settled(reached.join(seen, ["start", "node"], "left_anti"), "level")
+            if front.isEmpty():
+                break
+            levels.append(front)
+            seen = seen.unionAll(front.select("start", "node"))
+        share, parts = None, [] if sums is None else [sums.select("node", F.col("s").alias("share"))]
+        for level, before in zip(reversed(levels[1:]), reversed(levels[:-1]), strict=True):
+            below = level.withColumn("share", F.lit(0.0)) if share is None else level.join(share, ["start", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+            parts.append(below.select("node", "share"))
+            up = below.select("start", F.col("node").alias("to"), F.col("paths").alias("p"), "share")
+            share = settled(
+                before.join(step, F.col("node") == F.col("from")).join(up, ["start", "to"])
+                .groupBy("start", "node").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("share"))).alias("share")),
+                "share",
+            )
+        if parts:
+            sums = settled(reduce(DataFrame.unionAll, parts).groupBy("node").agg(F.sum("share").alias("s")), "sums")
+    if sums is None:
+        return everyone.select("node", F.lit(0.0).alias("centrality"))
     scale = (n - 1) * (n - 2) if n > 2 else 1
-    everyone = nodes.select(F.col(key).alias("node"))
-    if not parts:
-        return everyone.withColumn("centrality", F.lit(0.0))
-    sums = reduce(DataFrame.unionAll, parts).groupBy("node").agg(F.sum("share").alias("s"))
-    return everyone.join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / scale).alias("centrality"))
+    return everyone.select("node").join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / scale).alias("centrality"))
 
 
 def most_central(metrics: DataFrame, key: str = "node", order: str = "node") -> DataFrame:
@@ -173,20 +334,11 @@ def most_central(metrics: DataFrame, key: str = "node", order: str = "node") ->
 def topo_levels(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame | None:
     """node and level, the longest path from a node without incoming edges; None if the graph has a cycle.
 
-    Each round takes the nodes that no edge of the rest leads to, so the rounds are as many as the levels, and a cycle
-    ends them.
+    Edges with an end that is no node do not count. Chains and trees take rounds by the logarithm of their depth; any
+    other graph takes as many as it has levels at most.
     """
-    rest = settled(digraph(edges), "edges")
-    left = settled(nodes.select(F.col(key).alias("node")).distinct(), "nodes")
-    levels = []
-    while not left.isEmpty():
-        free = settled(left.join(rest, F.col("node") == F.col("target"), "left_anti").withColumn("level", F.lit(len(levels))), "level")
-        if free.isEmpty():
-            return None
-        levels.append(free)
-        left = settled(left.join(free, "node", "left_anti"), "nodes")
-        rest = settled(rest.join(free.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"), "edges")
-    return reduce(DataFrame.unionAll, levels) if levels else nodes.select(F.col(key).alias("node"), F.lit(0).alias("level"))
+    ways, done = _unwound(nodes.select(F.col(key).alias("node")), digraph(edges))
+    return ways.select(F.col("target").alias("node"), F.col("steps").alias("level")) if done else None
 
 
 def level_layout(levels: DataFrame) -> DataFrame:
@@ -213,8 +365,8 @@ def _spread(state: DataFrame, step: DataFrame) -> DataFrame:
             return state
 
 
-def on_a_cycle(edges: DataFrame) -> DataFrame:
-    """node: those on some cycle, which are the strongly connected components of two nodes and more.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its least node) of the nodes in strongly connected components of two nodes and more.
 
     Of what is left of the edges, each node gets the least node that reaches it as its color; the nodes of a color that
     reach that node back are a component. Components go and the rest is colored again. No cycle is listed, so the work
@@ -223,8 +375,7 @@ def on_a_cycle(edges: DataFrame) -> DataFrame:
     rest, found = on_cycles_only(edges), []
     while not rest.isEmpty():
         step = rest.select(F.col("source").alias("from"), F.col("target").alias("to"))
-        nodes = rest.select(F.col("source").alias("node")).union(rest.select("target")).distinct()
-        colors = _spread(settled(nodes.select("node", F.col("node").alias("color")), "colors"), step)
+        colors = _spread(settled(_ends(rest).select("node", F.col("node").alias("color")), "colors"), step)
         inside = colors.select(F.col("node").alias("from"), F.col("color").alias("c1")).join(step, "from").join(colors.select(F.col("node").alias("to"), F.col("color").alias("c2")), "to").where("c1 = c2")
         back = settled(inside.select(F.col("to").alias("at"), F.col("from").alias("next")), "back")
         front = settled(colors.where("node = color").select("node"), "front")
@@ -236,13 +387,19 @@ def on_a_cycle(edges: DataFrame) -> DataFrame:
             seen = seen.unionAll(front)
         component = colors.join(seen, "node", "left_semi")
         alone = component.groupBy("color").agg(F.count("*").alias("n")).where("n = 1")
-        found.append(settled(component.join(alone, "color", "left_anti").select("node"), "component"))
+        found.append(settled(component.join(alone, "color", "left_anti").select("node", F.col("color").alias("component")), "component"))
         gone = component.select("node")
         for end in ("source", "target"):
             rest = rest.join(gone.select(F.col("node").alias(end)), end, "left_anti")
-        rest = on_cycles_only(rest.select("source", "target"))
+        rest = settled(rest.select("source", "target"), "rest")
+        rest = rest if rest.isEmpty() else on_cycles_only(rest)
     kind = dict(edges.dtypes)["source"]
-    return reduce(DataFrame.unionAll, found) if found else edges.sparkSession.createDataFrame([], f"node {kind}")
+    return reduce(DataFrame.unionAll, found) if found else edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+
+
+def on_a_cycle(edges: DataFrame) -> DataFrame:
+    """node: those on some cycle."""
+    return strong_components(edges).select("node")
 
 
 def in_cycle(cycle_rows: DataFrame) -> DataFrame:

@@ -1,25 +1,25 @@
 """Imports, functions and classes of source files, and compile checks.
 
-Python goes through the standard library's parser in an Arrow-batched UDF; JavaScript, TypeScript and Java stay in
+Python goes through the standard library's parser in a child of each task; JavaScript, TypeScript and Java stay in
 the JVM as regular expressions. Files of other languages keep only their text.
 """
 
 from __future__ import annotations
 
-import ast
-import warnings
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions.python_source import DEADLINE_S, Checker, compiled, defined
 from loomgraph.functions.text import java_functions, java_imports, js_functions, js_imports
 
 STRINGS = T.ArrayType(T.StringType())
 PYTHON = (
     T.StructType().add("imports", STRINGS).add("functions", STRINGS).add("classes", STRINGS)
-    .add("syntax_error", "string").add("compile_error", "string").add("compile_line", "integer")
+    .add("syntax_error", "string").add("compile_error", "string").add("compile_line", "integer").add("timed_out", "boolean")
 )
 
 
@@ -31,60 +31,44 @@ def decoded(content: pd.Series) -> pd.Series:
 
 
 def python_facts(source: str) -> tuple:
-    """A row of PYTHON for one source."""
-    imports, functions, classes, syntax = [], [], [], None
-    try:
-        for node in ast.walk(ast.parse(source)):
-            match node:
-                case ast.Import():
-                    imports += [a.name.partition(".")[0] for a in node.names]
-                case ast.ImportFrom(module=str() as module):
-                    imports.append(module.partition(".")[0])
-                case ast.FunctionDef() | ast.AsyncFunctionDef():
-                    functions.append(node.name)
-                case ast.ClassDef():
-                    classes.append(node.name)
-    except SyntaxError as e:
-        imports, functions, classes, syntax = [], [], [], f"Line {e.lineno}: {e.msg}"
-    except (ValueError, RecursionError, MemoryError) as e:
-        imports, functions, classes, syntax = [], [], [], str(e)
-    error = line = None
-    try:
-        compile(source, "<source>", "exec")
-    except SyntaxError as e:
-        error, line = f"SyntaxError: {e.msg} (line {e.lineno})", e.lineno
-    except (ValueError, RecursionError, MemoryError) as e:
-        error = str(e)
-    return imports, functions, classes, syntax, error, line
-
-
-@F.pandas_udf(PYTHON)
-def _python(source: pd.Series) -> pd.DataFrame:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return pd.DataFrame([python_facts(s or "") for s in source], columns=PYTHON.names)
-
-
-def parse(files: DataFrame) -> DataFrame:
-    """files: rel_path, language, content. What the parser of each file's language finds, with its text as source."""
+    """imports, functions, classes, syntax_error, compile_error and compile_line of one source, found in this process."""
+    return *defined(source), *compiled(source)
+
+
+def _python(deadline_s: float):
+    @F.pandas_udf(PYTHON)
+    def facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with Checker(deadline_s) as checker:  # one for a task
+            for sources in batches:
+                yield pd.DataFrame([checker.check(s or "") for s in sources], columns=PYTHON.names)
+
+    return facts
+
+
+def parse(files: DataFrame, deadline_s: float = DEADLINE_S) -> DataFrame:
+    """files: rel_path, language, content. What the parser of each file's language finds, with its text as source.
+
+    Python sources are parsed and compiled in a child process for each task. One that takes longer than deadline_s for a
+    step has timed_out, one that ends the child has an error; the others of the batch go on.
+    """
     none = F.array().cast("array<string>")
     text = files.withColumn("source", F.coalesce(decoded("content"), F.lit("")))
     is_python = F.col("language") == "Python"
-    python = text.where(is_python).withColumn("p", _python("source"))
+    python = text.where(is_python).withColumn("p", _python(deadline_s)("source"))
     script = F.col("language").isin("JavaScript", "TypeScript")
     java = F.col("language") == "Java"
     rest = text.where(~is_python)
     keep = ["rel_path", "language", "scan_ordinal", "name", "source"]
     first = python.select(
         *keep, "p.imports", "p.functions", "p.classes", F.col("p.syntax_error").isNull().alias("syntax_ok"), "p.syntax_error",
-        F.col("p.compile_error").isNull().alias("compile_ok"), "p.compile_error", "p.compile_line",
+        F.col("p.compile_error").isNull().alias("compile_ok"), "p.compile_error", "p.compile_line", "p.timed_out",
     )
     second = rest.select(
         *keep,
         F.when(script, js_imports(F.col("source"))).when(java, java_imports(F.col("source"))).otherwise(none).alias("imports"),
         F.when(script, js_functions(F.col("source"))).when(java, java_functions(F.col("source"))).otherwise(none).alias("functions"),
         none.alias("classes"), F.lit(True).alias("syntax_ok"), F.lit(None).cast("string").alias("syntax_error"),
-        F.lit(None).cast("boolean").alias("compile_ok"), F.lit(None).cast("string").alias("compile_error"), F.lit(None).cast("int").alias("compile_line"),
+        F.lit(None).cast("boolean").alias("compile_ok"), F.lit(None).cast("string").alias("compile_error"), F.lit(None).cast("int").alias("compile_line"), F.lit(False).alias("timed_out"),
     )
     return first.unionByName(second)
 

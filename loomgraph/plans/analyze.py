@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import ENTRY_FILES, INTENTS
+from loomgraph.functions.python_source import DEADLINE_S
 from loomgraph.functions.text import complexity_level, complexity_score, intents, path_prefixes, stem
 from loomgraph.operators import context, graph, issues, risk, views
 from loomgraph.operators.parse import exploded, parse
@@ -46,7 +47,7 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
     cycles = graph.cycles(edges)
     nodes = files.select("rel_path", "language", "lines", "scan_ordinal", "stem", "name", "size", "category")
     between = graph.betweenness(nodes.select(F.col("rel_path").alias("node")), edges)
-    on_cycle = graph.in_cycle(cycles).select(F.col("node").alias("rel_path"), F.lit(True).alias("is_circular"))
+    on_cycle = graph.on_a_cycle(edges).select(F.col("node").alias("rel_path"), F.lit(True).alias("is_circular"))
     role = graph.role(F.col("stem"))
     metrics = settled(
         graph.degrees(nodes, edges, "rel_path").withColumn("role", role)
@@ -65,7 +66,7 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
     executions = settled(
         analyses.where("language = 'Python'").join(metrics.select("rel_path", "in_degree"), "rel_path").select(
             "rel_path", "scan_ordinal", "compile_ok", "compile_error", "compile_line",
-            F.when(F.col("compile_ok"), True).alias("runtime_ok"), F.lit(False).alias("timed_out"),
+            F.when(F.col("timed_out"), False).when(F.col("compile_ok"), True).alias("runtime_ok"), "timed_out",
             (F.col("name").isin(ENTRY_FILES) | (F.col("source").contains("__name__") & F.col("source").contains("__main__") & (F.col("in_degree") == 0))).alias("is_entry_point"),
         ).withColumn("failed", ~F.col("compile_ok") | F.col("runtime_ok").eqNullSafe(False)),
         "executions",
@@ -73,7 +74,7 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
     failed = executions.where("failed").select(F.col("rel_path").alias("root"))
     failures = settled(
         graph.ancestors(edges, failed).groupBy("root").agg(F.sort_array(F.collect_list("ancestor")).alias("impacts"))
-        .join(executions.select(F.col("rel_path").alias("root"), F.col("compile_error").alias("error")), "root"),
+        .join(executions.select(F.col("rel_path").alias("root"), F.coalesce("compile_error", F.when(F.col("timed_out"), f"Execution timed out after {DEADLINE_S:g}s")).alias("error")), "root"),
         "failures",
     )
     weights = issues.pivot(found)

@@ -1,27 +1,37 @@
-"""A Spark data source over a source tree or a ZIP archive of one.
+"""Source trees and ZIP archives of them as tables.
 
+    scan(spark, root)                                       # or many roots at once
     spark.dataSource.register(CodeTree)
     spark.read.format("codetree").option("path", root).load()
 
 Directories that are ignored or begin with a dot are never listed; dot files are kept. A file is a row if its suffix
 belongs to a known language and it has at most 5 MiB. Files that cannot be read, and members of an archive that are
-damaged, encrypted or packed in an unknown way, are rows with only rel_path and error. Conditions on ext and size are
-applied while listing, so files that they leave out are not opened.
-scan_ordinal numbers files of a directory before those of its sub-directories, names sorted. With readContent=false
-no file is opened. The root is a local path or a URI of a store that pyarrow knows (hdfs://, s3://, gs:// and so on); on
-a cluster it has to be one that all executors reach. Links to local folders are not followed.
+damaged, encrypted or packed in an unknown way, are rows with only rel_path and error. scan_ordinal numbers files of a
+directory before those of its sub-directories, names sorted. A root is a local path or a URI of a store that pyarrow knows
+(hdfs://, s3://, gs:// and so on); on a cluster it has to be one that all executors reach. Links to local folders are not
+followed.
+
+`scan` lists in tasks: the folders of one depth are a table, dealt to tasks that list them, and those found are the next
+depth's; the ordinal is a place over sorted path keys. No list of files is on the driver. An archive's directory is read
+once, by one task; tasks then read the byte ranges of their members. The data source "codetree" is for one root in plain
+`spark.read`: it lists on the driver, applies conditions on ext and size while listing, so files that they leave out are
+not opened, and opens no file with readContent=false.
 """
 
 from __future__ import annotations
 
+import bz2
 import io
 import os
+import struct
 import zipfile
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from pathlib import PurePosixPath
-from typing import BinaryIO
+from typing import BinaryIO, NamedTuple
 
+import pandas as pd
 from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +39,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from loomgraph.functions.constants import IGNORE_DIRS, LANGUAGES, MAX_FILE_BYTES
 from loomgraph.functions.text import category_of, language_of, line_count
+from loomgraph.operators.storage import numbered, settled
 
 SCHEMA = "rel_path string, path string, name string, ext string, size long, scan_ordinal long, content binary, error string"
 FILES_IN_PARTITION = 256
+#: Folders that a task lists, and rows that it hands on at a time.
+FOLDERS_IN_TASK = 64
+ROWS = 4096
+BATCH_BYTES = 16 << 20
+LISTED = "root string, folder string, name string, is_folder boolean, place string, size long, at long, packed long, method int, crc long, error string"
+
+
+UNREADABLE = (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, struct.error)
 
 
 class Files(InputPartition):
-    def __init__(self, entries: list[tuple[int, str, str]]):
-        self.entries = entries  # ordinal, relative path, path or member name
+    def __init__(self, entries: list[tuple[int, str, str | Member]]):
+        self.entries = entries  # ordinal, relative path, path or Member
 
 
 def _wanted(name: str) -> bool:
@@ -59,21 +78,63 @@ def list_tree(root: str) -> list[tuple[str, str]]:
     return out
 
 
-def list_archive(file: BinaryIO | str) -> list[tuple[str, str]]:
-    """Members of a ZIP that stay inside it; a single top-level folder is descended into."""
+class Member(NamedTuple):
+    """Where an archive has a member: the place of its local header, and what the directory says of it. method is -1 for
+    an encrypted one."""
+
+    relative: str
+    name: str
+    at: int
+    packed: int
+    size: int
+    method: int
+    crc: int
+
+
+def members(file: BinaryIO | str) -> list[Member]:
+    """Members of a ZIP that stay inside it, in its directory's order; a single top-level folder is descended into."""
     with zipfile.ZipFile(file) as archive:
-        members = [m.filename for m in archive.infolist() if not m.is_dir()]
-    safe = [m for m in members if not PurePosixPath(m).is_absolute() and ".." not in PurePosixPath(m).parts]
-    tops = {m.split("/", 1)[0] for m in safe}
-    inner = len(tops) == 1 and all("/" in m for m in safe)
-    tree: list[tuple[str, str]] = []
-    for member in safe:
-        relative = member.split("/", 1)[1] if inner else member
+        found = [m for m in archive.infolist() if not m.is_dir()]
+    safe = [m for m in found if not PurePosixPath(m.filename).is_absolute() and ".." not in PurePosixPath(m.filename).parts]
+    inner = len({m.filename.split("/", 1)[0] for m in safe}) == 1 and all("/" in m.filename for m in safe)
+    out = []
+    for m in safe:
+        relative = m.filename.split("/", 1)[1] if inner else m.filename
         *folders, name = relative.split("/")
         if _wanted(name) and not any(map(_pruned, folders)):
-            tree.append((relative, member))
-    # a directory's files come before its sub-directories
-    return sorted(tree, key=lambda x: [(1, part) for part in x[0].split("/")[:-1]] + [(0, x[0].split("/")[-1])])
+            out.append(Member(relative, m.filename, m.header_offset, m.compress_size, m.file_size, -1 if m.flag_bits & 1 else m.compress_type, m.CRC))
+    return out
+
+
+def list_archive(file: BinaryIO | str) -> list[Member]:
+    """members() in scan order: a directory's files come before its sub-directories."""
+    return sorted(members(file), key=lambda m: [(1, part) for part in m.relative.split("/")[:-1]] + [(0, m.relative.split("/")[-1])])
+
+
+def member_bytes(file: BinaryIO, m: Member) -> bytes:
+    """A member's bytes, from its range of the archive alone; sizes and checksum are held against the directory's."""
+    if m.method == -1:
+        raise zipfile.BadZipFile(f"File {m.name!r} is encrypted")
+    if m.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+        file.seek(0)
+        return zipfile.ZipFile(file).read(m.name)  # rare packings, by the directory
+    file.seek(m.at)
+    head = file.read(30)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile(f"no local header of {m.name!r}")
+    flags, method, _, _, _, packed, size, n_name, n_extra = struct.unpack("<HHHHIIIHH", head[6:30])
+    told = not flags & 8 and 0xFFFFFFFF not in (packed, size)  # else the sizes follow the data or are in the extra field
+    if method != m.method or told and (packed, size) != (m.packed, m.size):
+        raise zipfile.BadZipFile(f"local header and directory differ for {m.name!r}")
+    file.seek(m.at + 30 + n_name + n_extra)
+    data = file.read(m.packed)
+    if m.method == zipfile.ZIP_DEFLATED:
+        data = zlib.decompressobj(-15).decompress(data, m.size + 1)  # never more than is stated
+    elif m.method == zipfile.ZIP_BZIP2:
+        data = bz2.BZ2Decompressor().decompress(data, m.size + 1)
+    if len(data) != m.size or zlib.crc32(data) != m.crc:
+        raise zipfile.BadZipFile(f"Bad CRC-32 for file {m.name!r}")
+    return data
 
 
 def list_store(store: FileSystem, root: str) -> list[tuple[str, str]]:
@@ -120,7 +181,7 @@ class TreeReader(DataSourceReader):
     def partitions(self):
         if self.zipped:
             with self._opened(self.root) as file:
-                found = list_archive(file)
+                found = [(m.relative, m) for m in list_archive(file)]
         else:
             found = list_store(self.store, self.root) if self.store else list_tree(self.root)
         found = [x for x in found if self.suffixes is None or PurePosixPath(x[0]).suffix.lower() in self.suffixes]
@@ -131,20 +192,24 @@ class TreeReader(DataSourceReader):
         return self.store.open_input_file(path) if self.store else io.open(path, "rb")
 
     def read(self, partition):
-        archive = zipfile.ZipFile(self._opened(self.root)) if self.zipped else None
+        archive = self._opened(self.root) if self.zipped else None
         for ordinal, relative, place in partition.entries:
             name = PurePosixPath(relative).name
+            path = place.name if archive else place
             try:
-                size = archive.getinfo(place).file_size if archive else self.store.get_file_info(place).size if self.store else os.stat(place).st_size
+                size = place.size if archive else self.store.get_file_info(place).size if self.store else os.stat(place).st_size
                 if size > self.most_bytes:
                     continue
                 data = None
                 if self.content:
-                    with archive.open(place) if archive else self._opened(place) as f:
-                        data = f.read()
-                yield (relative, place, name, PurePosixPath(name).suffix.lower(), size, ordinal, data, None)
-            except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error) as e:
-                yield (relative, place, name, None, None, ordinal, None, str(e))
+                    if archive:
+                        data = member_bytes(archive, place)
+                    else:
+                        with self._opened(place) as f:
+                            data = f.read()
+                yield (relative, path, name, PurePosixPath(name).suffix.lower(), size, ordinal, data, None)
+            except UNREADABLE as e:
+                yield (relative, path, name, None, None, ordinal, None, str(e))
 
 
 class CodeTree(DataSource):
@@ -159,11 +224,153 @@ class CodeTree(DataSource):
         return TreeReader(self.options)
 
 
+def store_of(root: str) -> tuple[FileSystem | None, str]:
+    """The store of a URI, None for a local path, and the path within it."""
+    root = root.removeprefix("file://")
+    return FileSystem.from_uri(root) if "://" in root else (None, root)
+
+
+def _zipped(root: str) -> bool:
+    return root.lower().endswith(".zip")
+
+
+def _frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == ROWS:
+            yield pd.DataFrame(held, columns=columns, dtype=object)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns, dtype=object)
+
+
+def _folder(root: str, folder: str) -> Iterator[tuple]:
+    """Rows of LISTED for one folder: its sub-folders and files that are wanted."""
+    store, base = store_of(root)
+    try:
+        if store:
+            found = [(x.base_name, x.type == FileType.Directory, x.path, x.size) for x in store.get_file_info(FileSelector(f"{base}/{folder}".rstrip("/")))]
+        else:
+            with os.scandir(os.path.join(base, folder)) as entries:
+                found = [(x.name, x.is_dir(follow_symlinks=False), x.path, x) for x in entries if not (x.is_symlink() and x.is_dir())]
+    except OSError as e:
+        if not folder:
+            raise ValueError(f"neither a folder nor a ZIP archive: {root!r}") from e
+        return  # a folder that cannot be listed, as when a tree is walked
+    if not found and not folder:
+        raise ValueError(f"empty folder: {root!r}")
+    for name, is_folder, path, size in found:
+        if is_folder and not _pruned(name):
+            yield root, folder, name, True, path, None, None, None, None, None, None
+        elif not is_folder and _wanted(name):
+            try:
+                yield root, folder, name, False, path, size.stat().st_size if isinstance(size, os.DirEntry) else size, None, None, None, None, None
+            except OSError as e:
+                yield root, folder, name, False, path, None, None, None, None, None, str(e)
+
+
+def _archive(root: str) -> Iterator[tuple]:
+    """Rows of LISTED for an archive: all its members that are wanted."""
+    store, path = store_of(root)
+    try:
+        file = store.open_input_file(path) if store else open(path, "rb")
+    except OSError as e:
+        raise ValueError(f"neither a folder nor a ZIP archive: {root!r}") from e
+    with file:
+        for m in members(file):
+            folder, _, name = m.relative.rpartition("/")
+            yield root, folder, name, False, m.name, m.size, m.at, m.packed, m.method, m.crc, None
+
+
+def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in LISTED.split(", ")]
+    rows = (row for frame in frames for root, folder in zip(frame["root"], frame["folder"], strict=True) for row in (_archive(root) if _zipped(root) else _folder(root, folder)))
+    return _frames(rows, columns)
+
+
+def listing(roots: DataFrame) -> DataFrame:
+    """roots: root. The files of all trees and archives, in tasks, a depth a round: LISTED and scan_ordinal."""
+    front, levels = roots.select("root", F.lit("").alias("folder")).distinct(), []
+    while (n := front.count()):
+        level = settled(front.repartition(1 + n // FOLDERS_IN_TASK).mapInPandas(_listed, LISTED), "listed")
+        levels.append(level.where("not is_folder"))
+        front = level.where("is_folder").select("root", F.concat_ws("/", F.nullif("folder", F.lit("")), "name").alias("folder"))
+    if not levels:
+        raise ValueError("no roots")
+    rows = reduce(DataFrame.unionAll, levels)
+    parts = F.filter(F.split("folder", "/"), lambda x: x != "")
+    key = F.concat(F.transform(parts, lambda x: F.concat(F.lit("1"), x)), F.array(F.concat(F.lit("0"), "name")))
+    named = rows.withColumnsRenamed({"place": "path", "size": "bytes"}).withColumn("key", key)
+    placed = numbered(named, ["key"], ["root"]).drop("key", "size").withColumnRenamed("place", "scan_ordinal")
+    return placed.withColumnsRenamed({"path": "place", "bytes": "size"})
+
+
+def _contents(content: bool):
+    columns = ["root", *(c.split()[0] for c in SCHEMA.split(", "))]
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        opened, file, store = None, None, None
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                relative = f"{r.folder}/{r.name}".lstrip("/")
+                try:
+                    if r.error:
+                        raise OSError(r.error)
+                    data, size = None, int(r.size)
+                    if content:
+                        if r.root != opened:
+                            opened, (store, path) = r.root, store_of(r.root)
+                            file = (store.open_input_file(path) if store else open(path, "rb")) if _zipped(r.root) else None
+                        if file:
+                            data = member_bytes(file, Member(relative, r.place, int(r.at), int(r.packed), size, int(r.method), int(r.crc)))
+                        else:
+                            with store.open_input_file(r.place) if store else open(r.place, "rb") as f:
+                                data = f.read()
+                    yield r.root, relative, r.place, r.name, PurePosixPath(r.name).suffix.lower(), size, r.scan_ordinal, data, None
+                except UNREADABLE as e:
+                    yield r.root, relative, r.place, r.name, None, None, r.scan_ordinal, None, str(e)
+
+    def contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for row in rows(frames):
+            held.append(row)
+            size += 200 + (row[5] or 0)
+            if size > BATCH_BYTES:
+                yield pd.DataFrame(held, columns=columns, dtype=object)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns, dtype=object)
+
+    return contents
+
+
+def scan_all(roots: DataFrame, content: bool = True) -> DataFrame:
+    """roots: root. All rows of many trees and archives, errors included; scan_ordinal counts within each root.
+
+    A root that is no folder or archive, or an empty folder, is an error of the job.
+    """
+    listed = settled(listing(roots), "listing")
+    small = listed.where(F.col("size").isNull() | (F.col("size") <= MAX_FILE_BYTES))
+    dealt = small.repartition(1 + listed.count() // FILES_IN_PARTITION, "root", F.floor(F.col("scan_ordinal") / FILES_IN_PARTITION)).sortWithinPartitions("root", "at", "scan_ordinal")
+    return dealt.mapInPandas(_contents(content), f"root string, {SCHEMA}")
+
+
 def scan(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
-    """All rows of a tree, errors included."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a reader that takes filters
-    spark.dataSource.register(CodeTree)
-    return spark.read.format("codetree").option("path", path).option("readContent", str(content).lower()).load()
+    """All rows of one tree or archive, errors included. A path that is neither, and an empty folder, raise."""
+    store, place = store_of(path)
+    if store:
+        kind = store.get_file_info(place).type
+        there = kind == (FileType.File if _zipped(path) else FileType.Directory)
+        empty = there and kind == FileType.Directory and not store.get_file_info(FileSelector(place))
+    else:
+        there = os.path.isfile(place) if _zipped(path) else os.path.isdir(place)
+        empty = there and os.path.isdir(place) and not os.listdir(place)
+    if not there:
+        raise ValueError(f"neither a folder nor a ZIP archive: {path!r}")
+    if empty:
+        raise ValueError(f"empty folder: {path!r}")
+    return scan_all(spark.createDataFrame([(path,)], "root string"), content).drop("root")
 
 
 def files(rows: DataFrame) -> DataFrame:
