@@ -20,6 +20,8 @@ from loomgraph.operators.storage import numbered, settled
 #: A graph with more nodes or edges is not sent to tasks; numbers that a task searches at once.
 EDGES_IN_TASK = 2_000_000
 CELLS = 4_000_000
+#: Edges of a graph whose components one task finds.
+SMALL_GRAPH = 100_000
 #: Open paths dealt to a task, the most tasks of a component, and nodes looked at that count as a step of a walk.
 PATHS_IN_TASK = 50
 MOST_DEALT = 256
@@ -209,7 +211,7 @@ def ancestors(edges: DataFrame, roots: DataFrame, key: str = "root") -> DataFram
     now = settled(placed.select(F.col("root").alias("node"), "word", one.alias("bits"), one.alias("gained")), "bits")
     while not now.where("gained <> 0").isEmpty():
         sent = now.where("gained <> 0").select("node", F.col("word").alias("w"), F.col("gained").alias("bits"))
-        come = settled(sent.join(back, F.col("node") == F.col("at")).groupBy(F.col("next").alias("n"), "w").agg(F.bit_or("bits").alias("come")), "sent")
+        come = sent.join(back, F.col("node") == F.col("at")).groupBy(F.col("next").alias("n"), "w").agg(F.bit_or("bits").alias("come"))
         both = now.join(come, (F.col("node") == F.col("n")) & (F.col("word") == F.col("w")), "full")
         have, more = F.coalesce("bits", F.lit(0).cast("long")), F.coalesce("come", F.lit(0).cast("long"))
         now = settled(both.select(F.coalesce("node", "n").alias("node"), F.coalesce("word", "w").alias("word"), have.bitwiseOR(more).alias("bits"), more.bitwiseAND(F.bitwise_not(have)).alias("gained")), "bits")
@@ -354,46 +356,70 @@ def circular_layout(nodes: DataFrame, key: str = "node") -> DataFrame:
     return placed.select("node", F.cos(angle).alias("x"), F.sin(angle).alias("y"))
 
 
-def _spread(state: DataFrame, step: DataFrame) -> DataFrame:
-    """state: node, color; step: from, to. The least color that reaches each node."""
+def _least(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The least node that reaches each node."""
+    least = np.arange(n)
     while True:
-        reached = state.join(step, F.col("node") == F.col("from")).groupBy("to").agg(F.min("color").alias("new"))
-        joined = state.join(reached, F.col("node") == F.col("to"), "left")
-        after = settled(joined.select("node", F.least("color", "new").alias("color"), F.coalesce(F.col("new") < F.col("color"), F.lit(False)).alias("changed")), "colors")
-        state = after.select("node", "color")
+        after = least.copy()
+        np.minimum.at(after, dst, least[src])
+        if (after == least).all():
+            return least
+        least = after
+
+
+def _components_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """strong_components of a small graph."""
+    edges = pd.concat(list(frames))
+    names, places = np.unique(np.concatenate([edges["source"], edges["target"]]), return_inverse=True)
+    src, dst = places[: len(edges)], places[len(edges) :]
+    found = np.full(len(names), -1)
+    while len(src):
+        first, last = _least(src, dst, len(names)), _least(dst, src, len(names))
+        own = (first == last) & (found < 0)
+        found[own] = first[own]
+        inside = (first[src] == first[dst]) & (last[src] == last[dst]) & (first[src] != last[src])
+        src, dst = src[inside], dst[inside]
+    more = np.bincount(found[found >= 0], minlength=len(names)) > 1
+    kept = np.flatnonzero((found >= 0) & more[found])
+    yield pd.DataFrame({"node": names[kept], "component": names[found[kept]]})
+
+
+def _colored(edges: DataFrame) -> DataFrame:
+    """node, first and last: the least node that reaches it and the least that it reaches."""
+    step = settled(edges.select(F.col("source").alias("from"), F.col("target").alias("to")), "edges")
+    state = settled(_ends(edges).select("node", F.col("node").alias("first"), F.col("node").alias("last")), "colors")
+    none = F.lit(None).cast(dict(state.dtypes)["node"])
+    while True:
+        down = state.join(step, F.col("node") == F.col("from")).select(F.col("to").alias("at"), "first", none.alias("last"))
+        up = state.join(step, F.col("node") == F.col("to")).select(F.col("from").alias("at"), none.alias("first"), "last")
+        come = down.unionAll(up).groupBy("at").agg(F.min("first").alias("f"), F.min("last").alias("l"))
+        both = state.join(come, F.col("node") == F.col("at"), "left")
+        changed = (F.col("f") < F.col("first")) | (F.col("l") < F.col("last"))
+        after = settled(both.select("node", F.least("first", "f").alias("first"), F.least("last", "l").alias("last"), F.coalesce(changed, F.lit(False)).alias("changed")), "colors")
+        state = after.select("node", "first", "last")
         if after.where("changed").isEmpty():
             return state
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """node and component (its least node) of the nodes in strongly connected components of two nodes and more.
 
-    Of what is left of the edges, each node gets the least node that reaches it as its color; the nodes of a color that
-    reach that node back are a component. Components go and the rest is colored again. No cycle is listed, so the work
-    does not grow with their number.
+    Each node gets the least node that reaches it and the least that it reaches. Where both are the same node, that is
+    its component's name; all others go on with the edges whose ends agree in both, since a component's nodes do. No
+    cycle is listed, so the work does not grow with their number. A graph of at most `small` edges is done by one task.
     """
-    rest, found = on_cycles_only(edges), []
-    while not rest.isEmpty():
-        step = rest.select(F.col("source").alias("from"), F.col("target").alias("to"))
-        colors = _spread(settled(_ends(rest).select("node", F.col("node").alias("color")), "colors"), step)
-        inside = colors.select(F.col("node").alias("from"), F.col("color").alias("c1")).join(step, "from").join(colors.select(F.col("node").alias("to"), F.col("color").alias("c2")), "to").where("c1 = c2")
-        back = settled(inside.select(F.col("to").alias("at"), F.col("from").alias("next")), "back")
-        front = settled(colors.where("node = color").select("node"), "front")
-        seen = front
-        while True:
-            front = settled(front.join(back, F.col("node") == F.col("at")).select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
-            if front.isEmpty():
-                break
-            seen = seen.unionAll(front)
-        component = colors.join(seen, "node", "left_semi")
-        alone = component.groupBy("color").agg(F.count("*").alias("n")).where("n = 1")
-        found.append(settled(component.join(alone, "color", "left_anti").select("node", F.col("color").alias("component")), "component"))
-        gone = component.select("node")
-        for end in ("source", "target"):
-            rest = rest.join(gone.select(F.col("node").alias(end)), end, "left_anti")
-        rest = settled(rest.select("source", "target"), "rest")
-        rest = rest if rest.isEmpty() else on_cycles_only(rest)
+    rest, found = settled(digraph(edges), "edges"), []
     kind = dict(edges.dtypes)["source"]
+    if rest.count() <= small:
+        return rest.repartition(1).mapInPandas(_components_of, f"node {kind}, component {kind}")
+    rest = on_cycles_only(rest)
+    while not rest.isEmpty():
+        colors = settled(_colored(rest), "colors")
+        own = colors.where("first = last").select("node", F.col("first").alias("component"))
+        alone = own.groupBy("component").agg(F.count("*").alias("n")).where("n = 1")
+        found.append(settled(own.join(alone, "component", "left_anti").select("node", "component"), "component"))
+        ends = [colors.where("first <> last").select(F.col("node").alias(end), F.struct("first", "last").alias(f"of_{end}")) for end in ("source", "target")]
+        rest = settled(rest.join(ends[0], "source").join(ends[1], "target").where("of_source = of_target").select("source", "target"), "edges")
     return reduce(DataFrame.unionAll, found) if found else edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
 
 

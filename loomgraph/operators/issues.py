@@ -22,7 +22,7 @@ from loomgraph.functions.constants import (
 from loomgraph.operators.storage import settled
 
 #: Words that are sent to tasks as one automaton at most.
-WORDS_SHARED = 20_000
+WORDS_SHARED = 200_000
 #: Characters of a gram, texts that tell which grams are rare, and bits that a task is sent at most (16 MB).
 GRAM = 5
 SAMPLE_TEXTS = 500
