@@ -13,8 +13,9 @@ from loomgraph.functions.python_source import DEADLINE_S
 from loomgraph.functions.text import complexity_level, complexity_score, intents, path_prefixes, stem
 from loomgraph.operators import context, graph, issues, risk, views
 from loomgraph.operators.parse import exploded, parse
-from loomgraph.operators.storage import settled
+from loomgraph.operators.storage import numbered, settled
 from loomgraph.sources import codetree
+from loomgraph.sources.jsondoc import TextPartsSource
 
 
 @dataclass
@@ -131,13 +132,41 @@ def sections(a: Analysis) -> dict[str, DataFrame]:
 
 def document(a: Analysis) -> DataFrame:
     """The result as one row of nested columns, for projects whose document fits one row; to_json(struct('*')) makes the
-    JSON document. Larger ones are written by sections()."""
+    JSON document. write_document() writes the same text without such a row."""
     out = summary(a).select(F.struct("*").alias("summary"))
     for name, df in sections(a).items():
         out = out.crossJoin(df.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"]).alias(name)))
     return out.withColumn("meta", F.struct(F.lit(a.root).alias("root"))).withColumn("duplicates", F.array().cast("array<string>"))
 
 
+def document_pieces(a: Analysis) -> DataFrame:
+    """section, place and text: the JSON document in pieces of one row each, which make it when joined in order."""
+    json_of = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    fixed = lambda section, place, text: a.files.sparkSession.range(1).select(F.lit(section).alias("section"), F.lit(place).cast("long").alias("place"), text.alias("text"))
+    whole = summary(a).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"), F.concat(F.lit('{"summary":'), F.to_json(F.struct("*"))).alias("text"))
+    pieces, section = [whole], 0
+    for section, (name, rows) in enumerate(sections(a).items(), 1):
+        placed = numbered(rows, ["key", "row"])
+        comma = F.when(F.col("place") > 0, ",").otherwise("")
+        pieces += [
+            fixed(section, -1, F.lit(f',"{name}":[')),
+            placed.select(F.lit(section).alias("section"), "place", F.concat(comma, json_of("row")).alias("text")),
+            fixed(section, (1 << 62), F.lit("]")),
+        ]
+    root = F.to_json(F.struct(F.lit(a.root).alias("root")))
+    pieces.append(fixed(section + 1, 0, F.concat(F.lit(',"meta":'), root, F.lit(',"duplicates":[]}'))))
+    return reduce(DataFrame.unionByName, pieces)
+
+
+def write_document(a: Analysis, folder: str, overwrite: bool = False, rows_in_part: int = 100_000) -> None:
+    """Writes the JSON document of a project of any size as part files, in order; all or none of them."""
+    spark = a.files.sparkSession
+    spark.dataSource.register(TextPartsSource)
+    pieces = settled(document_pieces(a), "pieces")
+    ordered = pieces.repartitionByRange(1 + pieces.count() // rows_in_part, "section", "place").sortWithinPartitions("section", "place").select("text")
+    ordered.write.format("textparts").mode("overwrite" if overwrite else "append").option("path", folder).save()
+
+
 def build_context(a: Analysis, question: str, focus: str | None = None) -> DataFrame:
     """One row: the question, its intents, the chosen files, what is wrong with the project, the prompt and its size."""
     q = F.lit(question)
