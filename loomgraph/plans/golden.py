@@ -1,15 +1,9 @@
-"""The golden project: nine small files whose results were derived by hand."""
+"""The golden project: nine small files whose results were derived by hand, for tests and as an example."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loomgraph.plans.analyze import analyze
-from loomgraph.session import scratch
-
 FILES = {
     "main.py": "import core\nimport util\n\nif __name__ == '__main__':\n    core.run_all()\n",
     "core.py": "import util\nimport store\nimport os\n\ndef run_all():\n    for x in store.load_rows():\n        if x:\n            util.fmt_row(x)\n",
@@ -22,13 +16,6 @@ FILES = {
     "conf/settings.json": '{"a": 1}\n',
 }
 
-#: What is known of each file: language, level and score of risk, complexity, edges in and out.
-EXPECTED_SQL = """SELECT * FROM (VALUES
-  ('main.py', 'Python', 'low', 0.033::DOUBLE, 1, 0, 2), ('core.py', 'Python', 'high', 0.717, 2, 2, 2), ('store.py', 'Python', 'medium', 0.417, 2, 1, 1),
-  ('util.py', 'Python', 'low', 0.2, 0, 2, 0), ('broken.py', 'Python', 'medium', 0.35, 0, 0, 0), ('orphan.py', 'Python', 'low', 0.05, 0, 0, 0),
-  ('web/app.js', 'JavaScript', 'low', 0.0, 0, 0, 1), ('web/helper.js', 'JavaScript', 'low', 0.2, 3, 1, 0), ('conf/settings.json', 'JSON', 'low', 0.0, 0, 0, 0)
-) t(rel_path, language, risk_level, risk_score, complexity, in_degree, out_degree)"""
-
 
 def written(folder: str) -> str:
     """The project as files under a folder."""
@@ -38,9 +25,3 @@ def written(folder: str) -> str:
         with open(path, "w") as f:
             f.write(text)
     return folder
-
-
-def golden_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis of the golden project, written to the shared folder: a row for each file."""
-    found = analyze(spark, written(scratch(spark, "golden").removeprefix("file:")))
-    return found.risk.select("rel_path", "language", "risk_level", F.round("risk_score", 3).alias("risk_score"), "complexity", "in_degree", "out_degree")

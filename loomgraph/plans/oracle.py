@@ -183,4 +183,11 @@ ORACLE_SQL = {
       (len(string_split(t, chr(10))) - CASE WHEN t = '' OR t LIKE '%' || chr(10) THEN 1 ELSE 0 END)::INT AS lines, CASE WHEN lang <> 'fr' THEN 'medium' END AS complexity_level,
       lang = 'de' AS is_entry, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_circular
       FROM (SELECT *, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents)""",
+    "script_facts": """SELECT p_partkey, 'scope' || p_partkey || ',./p' || p_partkey || ',lib,dyn' AS js_imports, 'f' || p_partkey || ',g' || p_partkey AS js_functions,
+'com' AS java_imports, 'm' || p_partkey AS java_functions FROM part""",
+    "error_classes": """WITH e AS (SELECT event_id, user_id % 5 AS u, 400 + event_id % 30 AS code FROM events)
+SELECT event_id, CASE WHEN u = 4 OR code = 401 THEN 'auth' WHEN u = 0 OR code = 429 THEN 'rate_limit' WHEN u = 1 OR code = 404 THEN 'model' WHEN u = 2 THEN 'connection' ELSE 'other' END AS kind FROM e""",
+    "language_shares": """SELECT lang AS language, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM documents), 1) AS share, (SELECT count(*) FROM documents) AS total_files,
+(SELECT sum(n_chars) FROM documents)::BIGINT AS total_size FROM documents GROUP BY lang""",
+    "answer_parts": """SELECT conv_id, turn, split_part(text, chr(10), 1) || ' ' AS content, turn / 8 AS confidence FROM conversations WHERE text IS NOT NULL""",
 }

@@ -499,3 +499,38 @@ def file_nodes(spark, sf_dir):
     )
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").join(files, "doc_id").select(F.lit("circular_dependency").alias("issue_type"), F.col("rel_path").alias("file"))
     return views.file_nodes(files, toxic, files.where("language = 'de'").select("rel_path"))
+
+
+def script_facts(spark, sf_dir):
+    """Parts as a script and a class each: what is imported and defined."""
+    k = F.col("p_partkey").cast("string")
+    text = lambda *parts: F.concat(*[k if p is None else F.lit(p) for p in parts])
+    script = text("import { a } from '@scope", None, "/lib'\nimport './p", None, "'\nconst r = require('lib/x')\nfunction f", None, "(a) { return import('dyn') }\nconst g", None, " = async (b) => b\n")
+    java = text("import com.acme.P", None, ";\nimport static org.x.Y;\npublic class P", None, " {\n  public static int m", None, "(int a) { return a; }\n}\n")
+    made = {"js_imports": T.js_imports(script), "js_functions": T.js_functions(script), "java_imports": T.java_imports(java), "java_functions": T.java_functions(java)}
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.array_join(v, ",").alias(n) for n, v in made.items()])
+
+
+def error_classes(spark, sf_dir):
+    """Events as failed requests: the kind of each by its error's name and message."""
+    names = F.array(*[F.lit(x) for x in ("RateLimitError", "NotFoundError", "APIError", "ValueError", "AuthenticationError")])
+    name = names[(F.col("user_id") % 5).cast("int")]
+    message = F.concat(F.lit("HTTP "), (400 + F.col("event_id") % 30).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", T.error_class(name, message).alias("kind"))
+
+
+def language_shares(spark, sf_dir):
+    """Files of each language and their share of all, from the summary's totals."""
+    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.col("n_chars").alias("size"))
+    totals = views.file_totals(files)
+    return totals.select("total_files", "total_size", F.explode("languages").alias("language", "n"), "language_distribution").select("language", "n", F.col("language_distribution")[F.col("language")].alias("share"), "total_files", "total_size")
+
+
+def answer_parts(spark, sf_dir):
+    """Turns as bodies of an event stream, a piece for each word of the first line: the answer and its confidence."""
+    line = F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")
+    piece = F.transform(line, lambda w: F.concat(F.lit("data: "), F.to_json(F.struct(F.concat(w, F.lit(" ")).alias("content"))), F.lit("\n\n")))
+    sure = F.concat(F.lit('data: {"confidence": '), (F.col("turn") / 8).cast("string"), F.lit("}\ndata: broken\ndata: [DONE]\n"))
+    body = F.concat(F.array_join(piece, ""), sure)
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    return turns.select("conv_id", "turn", T.streamed_answer(body).alias("x")).select("conv_id", "turn", "x.content", "x.confidence")

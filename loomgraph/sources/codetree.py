@@ -151,10 +151,7 @@ def list_store(store: FileSystem, root: str) -> list[tuple[str, str]]:
 
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options.get("path", "").removeprefix("file://")
-        self.store: FileSystem | None = None
-        if "://" in self.root:
-            self.store, self.root = FileSystem.from_uri(self.root)
+        self.store, self.root = store_of(options.get("path", ""))
         self.suffixes: set[str] | None = None
         self.most_bytes = MAX_FILE_BYTES
         self.content = str(options.get("readContent", "true")).lower() == "true"
@@ -226,10 +223,21 @@ class CodeTree(DataSource):
 
 def store_of(root: str) -> tuple[FileSystem | None, str]:
     """The store of a URI, None for a local path, and the path within it."""
-    root = root.removeprefix("file://")
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
     return FileSystem.from_uri(root) if "://" in root else (None, root)
 
 
+def write_file(store: FileSystem | None, path: str, data: bytes, made: set[str]) -> None:
+    """Writes a file and the folders that it needs; made: the folders that are known to be there."""
+    folder = path.rpartition("/")[0]
+    if folder not in made:
+        store.create_dir(folder, recursive=True) if store else os.makedirs(folder, exist_ok=True)
+        made.add(folder)
+    with store.open_output_stream(path) if store else open(path, "wb") as out:
+        out.write(data)
+
+
 def _zipped(root: str) -> bool:
     return root.lower().endswith(".zip")
 
