@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 from operator import or_
 
@@ -43,12 +44,12 @@ def banded(value: Column, bands: tuple, low: str = "low", medium: str = "medium"
     return F.when(value <= first, low).when(value <= second, medium).otherwise(high)
 
 
-def complexity_score(text: Column, language: Column) -> Column:
+def complexity_score(text: Column, language: Column, keywords: Mapping[str, list[str]] = COMPLEXITY_KEYWORDS) -> Column:
     """Sum of the counts of the language's keywords; keywords that contain each other count twice."""
-    score = sum(count_substring(text, k) for k in COMPLEXITY_KEYWORDS["default"])
-    for name, keywords in COMPLEXITY_KEYWORDS.items():
+    score = sum(count_substring(text, k) for k in keywords["default"])
+    for name, own in keywords.items():
         if name != "default":
-            score = F.when(language == name, sum(count_substring(text, k) for k in keywords)).otherwise(score)
+            score = F.when(language == name, sum(count_substring(text, k) for k in own)).otherwise(score)
     return score.cast("int")
 
 
@@ -89,8 +90,8 @@ def path_prefixes(path: Column) -> Column:
     return F.when(F.size(parts) > 1, made).otherwise(F.array().cast("array<string>"))
 
 
-def language_of(ext: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[F.lower(ext)], F.lit("Unknown"))
+def language_of(ext: Column, languages: Mapping[str, str] = LANGUAGES) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])[F.lower(ext)], F.lit("Unknown"))
 
 
 def category_of(ext: Column) -> Column:

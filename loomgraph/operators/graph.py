@@ -369,7 +369,10 @@ def _least(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
 
 def _components_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """strong_components of a small graph."""
-    edges = pd.concat(list(frames))
+    held = list(frames)
+    if not held:
+        return  # no edges
+    edges = pd.concat(held)
     names, places = np.unique(np.concatenate([edges["source"], edges["target"]]), return_inverse=True)
     src, dst = places[: len(edges)], places[len(edges) :]
     found = np.full(len(names), -1)

@@ -165,10 +165,13 @@ def unused_functions(functions: DataFrame, analyses: DataFrame) -> DataFrame:
     return _issue(rows, 4, "low", "unused_function", "rel_path", F.concat(F.lit("Function '"), "name", F.lit("' appears unused outside its own file")))
 
 
-def missing_imports(imports: DataFrame, files: DataFrame, known: Iterable[str] = KNOWN_PACKAGES) -> DataFrame:
-    """Python imports that are neither known packages nor stems of files; a row for each occurrence."""
+def missing_imports(imports: DataFrame, files: DataFrame, known: Iterable[str] | DataFrame = KNOWN_PACKAGES) -> DataFrame:
+    """Python imports that are neither known packages (names, or a table with name) nor stems of files; a row for each
+    occurrence."""
     stems = files.select(F.col("stem").alias("name")).distinct()
-    rows = imports.where((F.col("language") == "Python") & ~F.col("name").isin(*known)).join(stems, "name", "left_anti")
+    python = imports.where("language = 'Python'")
+    unknown = python.join(known.select("name").distinct(), "name", "left_anti") if isinstance(known, DataFrame) else python.where(~F.col("name").isin(*known))
+    rows = unknown.join(stems, "name", "left_anti")
     return _issue(rows, 5, "low", "missing_import", "rel_path", F.concat(F.lit("Import '"), "name", F.lit("' not found locally or in known packages")))
 
 

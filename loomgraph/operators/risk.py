@@ -25,6 +25,11 @@ def reasons(high: Column, medium: Column) -> Column:
     return F.when(F.size(found) == 0, plain).otherwise(found)
 
 
+def failed(compile_ok: Column, runtime_ok: Column) -> Column:
+    """Whether a file does not compile or did not run; one that was not run, with null, has not failed."""
+    return ~compile_ok | runtime_ok.eqNullSafe(False)
+
+
 def score(rows: DataFrame) -> DataFrame:
     """rows: centrality, in_degree, weight, failed, complexity. Adds risk_score, risk_level and the five parts.
 

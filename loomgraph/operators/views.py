@@ -90,6 +90,13 @@ def capped(nodes: DataFrame, edges: DataFrame, most: int = VISIBLE_NODES) -> tup
     return kept, induced(edges, kept, "id")
 
 
+def dashboard(counts: DataFrame, severities: dict[str, str]) -> DataFrame:
+    """counts: issue_type and n. category, count (0 included) and severity of each type of severities, in one pass."""
+    wide = counts.agg(*[F.coalesce(F.sum(F.when(F.col("issue_type") == k, F.col("n"))), F.lit(0)).alias(k) for k in severities])
+    each = F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("count"), F.lit(s).alias("severity")) for k, s in severities.items()])
+    return wide.select(F.explode(each).alias("x")).select("x.*")
+
+
 def legend(rows: DataFrame, column: str = "language") -> DataFrame:
     return rows.select(column).where(F.col(column).isNotNull()).distinct()
 

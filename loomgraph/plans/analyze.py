@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import ENTRY_FILES, INTENTS
 from loomgraph.functions.python_source import DEADLINE_S
+from loomgraph.functions.settings import Settings
 from loomgraph.functions.text import complexity_level, complexity_score, intents, path_prefixes, stem
 from loomgraph.operators import context, graph, issues, risk, views
 from loomgraph.operators.parse import exploded, parse
@@ -39,9 +40,11 @@ class Analysis:
         return graph.neighbours(one.select("rel_path", "is_circular"), self.edges, "rel_path")
 
 
-def analyze(spark: SparkSession, path: str) -> Analysis:
-    rows = settled(codetree.scan(spark, path), "scan")
-    files = settled(codetree.files(rows).withColumn("stem", stem(F.col("name"))), "files")
+def analyze(spark: SparkSession, path: str, settings: Settings | None = None) -> Analysis:
+    """The analysis of a tree or archive; settings: languages, keywords and packages beside the library's own."""
+    settings = settings or Settings()
+    rows = settled(codetree.scan(spark, path, languages=settings.languages), "scan")
+    files = settled(codetree.files(rows, settings.languages).withColumn("stem", stem(F.col("name"))), "files")
     analyses = settled(parse(files), "analyses")
     imports = exploded(analyses, "imports")
     edges = settled(graph.resolve(imports, files), "edges")
@@ -60,7 +63,7 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
     found = settled(
         issues.union(
             issues.syntax_errors(analyses), issues.circular(cycles), issues.isolated(metrics), issues.excessive(metrics),
-            issues.unused_functions(functions, analyses), issues.missing_imports(imports, files),
+            issues.unused_functions(functions, analyses), issues.missing_imports(imports, files, settings.packages),
         ).join(files.select(F.col("rel_path").alias("file"), "scan_ordinal"), "file", "left"),
         "issues",
     )
@@ -69,7 +72,7 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
             "rel_path", "scan_ordinal", "compile_ok", "compile_error", "compile_line",
             F.when(F.col("timed_out"), False).when(F.col("compile_ok"), True).alias("runtime_ok"), "timed_out",
             (F.col("name").isin(ENTRY_FILES) | (F.col("source").contains("__name__") & F.col("source").contains("__main__") & (F.col("in_degree") == 0))).alias("is_entry_point"),
-        ).withColumn("failed", ~F.col("compile_ok") | F.col("runtime_ok").eqNullSafe(False)),
+        ).withColumn("failed", risk.failed(F.col("compile_ok"), F.col("runtime_ok"))),
         "executions",
     )
     failed = executions.where("failed").select(F.col("rel_path").alias("root"))
@@ -80,7 +83,7 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
     )
     weights = issues.pivot(found)
     base = (
-        metrics.join(analyses.select("rel_path", complexity_score(F.col("source"), F.col("language")).alias("complexity")), "rel_path")
+        metrics.join(analyses.select("rel_path", complexity_score(F.col("source"), F.col("language"), settings.keywords).alias("complexity")), "rel_path")
         .join(weights.withColumnRenamed("file", "rel_path"), "rel_path", "left")
         .join(executions.select("rel_path", "failed"), "rel_path", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("high", "medium", "low", "weight")} | {"failed": F.coalesce("failed", F.lit(False))})

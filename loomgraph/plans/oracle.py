@@ -190,4 +190,9 @@ SELECT event_id, CASE WHEN u = 4 OR code = 401 THEN 'auth' WHEN u = 0 OR code =
     "language_shares": """SELECT lang AS language, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM documents), 1) AS share, (SELECT count(*) FROM documents) AS total_files,
 (SELECT sum(n_chars) FROM documents)::BIGINT AS total_size FROM documents GROUP BY lang""",
     "answer_parts": """SELECT conv_id, turn, split_part(text, chr(10), 1) || ' ' AS content, turn / 8 AS confidence FROM conversations WHERE text IS NOT NULL""",
+    "relevance_by_intent": f"""WITH {ISSUES}, {PIVOT}, rows AS (SELECT d.*, coalesce(weight, 0) AS w, least(n_chars, 20000) / 20000 AS risk, doc_id % 10 / 10 AS central
+      FROM documents d LEFT JOIN pivoted ON file = doc_id), i AS (SELECT unnest(['error', 'risk', 'dependency', 'entry', 'complexity', 'unused', 'general']) AS intent)
+    SELECT doc_id, intent, round(CASE intent WHEN 'error' THEN w * 5.0::DOUBLE + CASE WHEN lang = 'de' THEN 8 ELSE 0 END WHEN 'risk' THEN risk * 15
+      WHEN 'dependency' THEN CASE WHEN lang = 'fr' THEN 10 ELSE 0 END + doc_id % 5 * 0.5::DOUBLE + doc_id % 3 * 0.3::DOUBLE WHEN 'entry' THEN CASE WHEN lang = 'es' THEN 12 ELSE 0 END
+      WHEN 'complexity' THEN n_chars % 100 * 0.2::DOUBLE WHEN 'unused' THEN doc_id % 2 * 4 ELSE 0 END + risk * 3 + central * 5, 6) AS score FROM rows, i""",
 }

@@ -283,8 +283,7 @@ def issue_pivot(spark, sf_dir):
 
 def unpivot_dashboard(spark, sf_dir):
     counts = document_issues(spark, sf_dir).groupBy("issue_type", "severity").agg(F.count("*").alias("n"))
-    wide = counts.agg(*[F.coalesce(F.sum(F.when(F.col("issue_type") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("low_quality", "toxic", "too_short")])
-    return wide.selectExpr("stack(3, 'low_quality', low_quality, 'high', 'toxic', toxic, 'medium', 'too_short', too_short, 'low') as (category, count, severity)")
+    return views.dashboard(counts, {"low_quality": "high", "toxic": "medium", "too_short": "low"})
 
 
 #: Suppliers of an order that are many.
@@ -336,7 +335,7 @@ def failed_files(spark, sf_dir):
         "event_id", (F.col("event_type") != "error").alias("compile_ok"),
         F.when(F.col("user_id") % 3 == 0, F.lit(None).cast("boolean")).otherwise(F.col("value") >= 1.0).alias("runtime_ok"),
     )
-    return events.where(~F.col("compile_ok") | F.col("runtime_ok").eqNullSafe(False)).select("event_id")
+    return events.where(risk.failed(F.col("compile_ok"), F.col("runtime_ok"))).select("event_id")
 
 
 #: Keywords that stand for a language's own, by lang.
@@ -344,12 +343,8 @@ LANG_KEYWORDS = {"en": ["the ", "and "], "fr": ["le ", "de "], "de": ["der ", "d
 
 
 def keyword_complexity(spark, sf_dir):
-    text = F.col("text")
-    score = sum(T.count_substring(text, k) for k in LANG_KEYWORDS["default"])
-    for lang, words in LANG_KEYWORDS.items():
-        if lang != "default":
-            score = F.when(F.col("lang") == lang, sum(T.count_substring(text, k) for k in words)).otherwise(score)
-    scored = table(spark, sf_dir, "documents").select("doc_id", score.cast("int").alias("score"))
+    score = T.complexity_score(F.col("text"), F.col("lang"), LANG_KEYWORDS)
+    scored = table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
     return scored.withColumn("level", T.complexity_level(F.col("score")))
 
 
@@ -534,3 +529,16 @@ def answer_parts(spark, sf_dir):
     body = F.concat(F.array_join(piece, ""), sure)
     turns = table(spark, sf_dir, "conversations").where("text is not null")
     return turns.select("conv_id", "turn", T.streamed_answer(body).alias("x")).select("conv_id", "turn", "x.content", "x.confidence")
+
+
+def relevance_by_intent(spark, sf_dir):
+    """Each document's score for a question of each intent, and of none."""
+    counted = issues.pivot(document_issues(spark, sf_dir)).select(F.col("file").alias("doc_id"), F.col("weight").alias("n_issues"))
+    is_lang = lambda x: F.coalesce(F.col("lang") == x, F.lit(False))
+    rows = table(spark, sf_dir, "documents").join(counted, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_issues", F.lit(0)).alias("n_issues"), is_lang("de").alias("failed"), (F.least("n_chars", F.lit(20000)) / 20000).alias("risk_score"), is_lang("fr").alias("is_circular"),
+        (F.col("doc_id") % 5).alias("in_degree"), (F.col("doc_id") % 3).alias("out_degree"), is_lang("es").alias("is_entry"), (F.col("n_chars") % 100).alias("complexity"),
+        (F.col("doc_id") % 2).alias("n_unused"), (F.col("doc_id") % 10 / 10).alias("centrality"), F.lit(False).alias("is_mentioned"), F.lit(False).alias("is_focus"),
+    )
+    scores = [F.struct(F.lit(i).alias("intent"), F.round(context.relevance({name: F.lit(name == i) for name in INTENTS}), 6).alias("score")) for i in (*INTENTS, "general")]
+    return rows.select("doc_id", F.explode(F.array(*scores)).alias("x")).select("doc_id", "x.*")

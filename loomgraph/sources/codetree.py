@@ -26,7 +26,7 @@ import os
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator, Mapping
 from functools import reduce
 from pathlib import PurePosixPath
 from typing import BinaryIO, NamedTuple
@@ -58,8 +58,8 @@ class Files(InputPartition):
         self.entries = entries  # ordinal, relative path, path or Member
 
 
-def _wanted(name: str) -> bool:
-    return PurePosixPath(name).suffix.lower() in LANGUAGES
+def _wanted(name: str, suffixes: Collection[str] = LANGUAGES) -> bool:
+    return PurePosixPath(name).suffix.lower() in suffixes
 
 
 def _pruned(directory: str) -> bool:
@@ -91,7 +91,7 @@ class Member(NamedTuple):
     crc: int
 
 
-def members(file: BinaryIO | str) -> list[Member]:
+def members(file: BinaryIO | str, suffixes: Collection[str] = LANGUAGES) -> list[Member]:
     """Members of a ZIP that stay inside it, in its directory's order; a single top-level folder is descended into."""
     with zipfile.ZipFile(file) as archive:
         found = [m for m in archive.infolist() if not m.is_dir()]
@@ -101,7 +101,7 @@ def members(file: BinaryIO | str) -> list[Member]:
     for m in safe:
         relative = m.filename.split("/", 1)[1] if inner else m.filename
         *folders, name = relative.split("/")
-        if _wanted(name) and not any(map(_pruned, folders)):
+        if _wanted(name, suffixes) and not any(map(_pruned, folders)):
             out.append(Member(relative, m.filename, m.header_offset, m.compress_size, m.file_size, -1 if m.flag_bits & 1 else m.compress_type, m.CRC))
     return out
 
@@ -253,7 +253,7 @@ def _frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
-def _folder(root: str, folder: str) -> Iterator[tuple]:
+def _folder(root: str, folder: str, suffixes: Collection[str]) -> Iterator[tuple]:
     """Rows of LISTED for one folder: its sub-folders and files that are wanted."""
     store, base = store_of(root)
     try:
@@ -271,14 +271,14 @@ def _folder(root: str, folder: str) -> Iterator[tuple]:
     for name, is_folder, path, size in found:
         if is_folder and not _pruned(name):
             yield root, folder, name, True, path, None, None, None, None, None, None
-        elif not is_folder and _wanted(name):
+        elif not is_folder and _wanted(name, suffixes):
             try:
                 yield root, folder, name, False, path, size.stat().st_size if isinstance(size, os.DirEntry) else size, None, None, None, None, None
             except OSError as e:
                 yield root, folder, name, False, path, None, None, None, None, None, str(e)
 
 
-def _archive(root: str) -> Iterator[tuple]:
+def _archive(root: str, suffixes: Collection[str]) -> Iterator[tuple]:
     """Rows of LISTED for an archive: all its members that are wanted."""
     store, path = store_of(root)
     try:
@@ -286,22 +286,25 @@ def _archive(root: str) -> Iterator[tuple]:
     except OSError as e:
         raise ValueError(f"neither a folder nor a ZIP archive: {root!r}") from e
     with file:
-        for m in members(file):
+        for m in members(file, suffixes):
             folder, _, name = m.relative.rpartition("/")
             yield root, folder, name, False, m.name, m.size, m.at, m.packed, m.method, m.crc, None
 
 
-def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in LISTED.split(", ")]
-    rows = (row for frame in frames for root, folder in zip(frame["root"], frame["folder"], strict=True) for row in (_archive(root) if _zipped(root) else _folder(root, folder)))
-    return _frames(rows, columns)
+def _listed(suffixes: Collection[str]):
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (x for frame in frames for x in zip(frame["root"], frame["folder"], strict=True))
+        rows = (row for root, folder in each for row in (_archive(root, suffixes) if _zipped(root) else _folder(root, folder, suffixes)))
+        return _frames(rows, [c.split()[0] for c in LISTED.split(", ")])
 
+    return listed
 
-def listing(roots: DataFrame) -> DataFrame:
+
+def listing(roots: DataFrame, suffixes: Collection[str] = LANGUAGES) -> DataFrame:
     """roots: root. The files of all trees and archives, in tasks, a depth a round: LISTED and scan_ordinal."""
     front, levels = roots.select("root", F.lit("").alias("folder")).distinct(), []
     while (n := front.count()):
-        level = settled(front.repartition(1 + n // FOLDERS_IN_TASK).mapInPandas(_listed, LISTED), "listed")
+        level = settled(front.repartition(1 + n // FOLDERS_IN_TASK).mapInPandas(_listed(frozenset(suffixes)), LISTED), "listed")
         levels.append(level.where("not is_folder"))
         front = level.where("is_folder").select("root", F.concat_ws("/", F.nullif("folder", F.lit("")), "name").alias("folder"))
     if not levels:
@@ -353,18 +356,18 @@ def _contents(content: bool):
     return contents
 
 
-def scan_all(roots: DataFrame, content: bool = True) -> DataFrame:
+def scan_all(roots: DataFrame, content: bool = True, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
     """roots: root. All rows of many trees and archives, errors included; scan_ordinal counts within each root.
 
     A root that is no folder or archive, or an empty folder, is an error of the job.
     """
-    listed = settled(listing(roots), "listing")
+    listed = settled(listing(roots, languages), "listing")
     small = listed.where(F.col("size").isNull() | (F.col("size") <= MAX_FILE_BYTES))
     dealt = small.repartition(1 + listed.count() // FILES_IN_PARTITION, "root", F.floor(F.col("scan_ordinal") / FILES_IN_PARTITION)).sortWithinPartitions("root", "at", "scan_ordinal")
     return dealt.mapInPandas(_contents(content), f"root string, {SCHEMA}")
 
 
-def scan(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+def scan(spark: SparkSession, path: str, content: bool = True, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
     """All rows of one tree or archive, errors included. A path that is neither, and an empty folder, raise."""
     store, place = store_of(path)
     if store:
@@ -378,15 +381,15 @@ def scan(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
         raise ValueError(f"neither a folder nor a ZIP archive: {path!r}")
     if empty:
         raise ValueError(f"empty folder: {path!r}")
-    return scan_all(spark.createDataFrame([(path,)], "root string"), content).drop("root")
+    return scan_all(spark.createDataFrame([(path,)], "root string"), content, languages).drop("root")
 
 
-def files(rows: DataFrame) -> DataFrame:
+def files(rows: DataFrame, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
     """Rows of scan() as files with language, category and line count (as UTF-8 where valid, else as Latin-1)."""
     readable = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     return rows.where("error is null").select(
         "rel_path", "path", "name", "ext", "size", "scan_ordinal", "content",
-        language_of(F.col("ext")).alias("language"), category_of(F.col("ext")).alias("category"),
+        language_of(F.col("ext"), languages).alias("language"), category_of(F.col("ext")).alias("category"),
         F.coalesce(line_count(readable), F.lit(0)).alias("lines"),
     )
 

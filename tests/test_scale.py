@@ -106,6 +106,14 @@ def test_ancestors_of_many_roots(spark):
     assert {(r.root, r.ancestor) for r in up} == {(b, a) for a in reach for b in reach[a] if a != b} and len(up) == len({tuple(r) for r in up})
 
 
+def test_graphs_without_edges(spark):
+    nodes, none = nodes_of(spark, 3), edges_of(spark, {(0, 1)}).where("false")
+    assert graph.cycles(none).count() == 0 and graph.on_a_cycle(none).count() == 0 and graph.strong_components(none, 0).count() == 0
+    assert graph.ancestors(none, nodes, "node").count() == 0 and graph.ancestors(none, nodes.where("false"), "node").count() == 0
+    assert {r.level for r in graph.topo_levels(nodes, none).collect()} == {0} and graph.topo_levels(nodes.where("false"), none).count() == 0
+    assert graph.betweenness(nodes.where("false"), none).count() == 0
+
+
 def test_words_by_grams(spark):
     draw = random.Random(7)
     letters = "abé "
@@ -248,3 +256,18 @@ def test_hanging_and_crashing_sources(spark):
     with Checker() as c:
         deep = c.check("(" * 100_000 + ")" * 100_000)
         assert deep[3] and deep[4] and c.check("y = 2")[3:] == (None, None, None, False)
+
+
+def test_settings_as_tables(spark, tmp_path):
+    """A language, its keywords and a package that the library does not know, given as tables."""
+    from loomgraph.functions.settings import Settings
+
+    tree(str(tmp_path), ["a.zig", "b.py"])
+    (tmp_path / "a.zig").write_text("loop (x) loop (y) if for")
+    (tmp_path / "b.py").write_text("import mine\nimport other\n")
+    table = spark.createDataFrame
+    given = Settings.from_tables(table([(".ZIG", "Zig")], "ext string, language string"), table([("Zig", "loop (")], "language string, keyword string"), table([("mine",)], "name string"))
+    found = plans.analyze(spark, str(tmp_path), given)
+    assert {(r.rel_path, r.language, r.complexity) for r in found.risk.collect()} == {("a.zig", "Zig", 2), ("b.py", "Python", 0)}
+    assert [r.message for r in found.issues.where("issue_type = 'missing_import'").collect()] == ["Import 'other' not found locally or in known packages"]
+    assert {r.rel_path for r in codetree.scan(spark, str(tmp_path)).collect()} == {"b.py"}
