@@ -16,7 +16,9 @@ documents share is no group of its own.
 
 Defined cases: null text stays null, empty text empty; repeats within one document stay; rows that repeat doc_id and
 text are one document; a whole text is a chunk too, so that exact copies are found whatever their length. A run is
-extended by at most `CONTEXT` bytes on a side.
+extended by at most `CONTEXT` bytes on a side, which is more than two chunks have: what a passage has further out has
+cuts of its own, so runs of its own. Where a passage repeats itself (one letter over and over), up to LEAST bytes at an end
+may stay, since its runs meet the first such place of the first document. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,7 +41,10 @@ SHORTEST = 200
 WINDOW = 32
 #: Bytes that a cut is moved at most, to the end of a word, and those that a run is extended at most.
 MOVED = 24
-CONTEXT = 512
+CONTEXT = 640
+#: Bytes between two places of a cut at most, and those on either side that a place's hash is the least of, beyond that.
+LARGEST = 192
+NEAR = 32
 #: The gear table: a random number for each byte.
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: ASCII white space, at which words end.
@@ -59,10 +64,30 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def filled(h: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """The places, with more where two are over LARGEST apart: those whose hash is the least of NEAR bytes on either side,
+    at least LEAST apart, and where these do not do either, one each LARGEST bytes."""
+    edges = np.r_[0, small, len(h)]
+    more = [small]
+    for k in np.flatnonzero(np.diff(edges) > LARGEST):
+        a, b = edges[k] + 1, edges[k + 1]
+        around = np.pad(h[a:b], NEAR, constant_values=(1 << 32) - 1)
+        low = a + np.flatnonzero(h[a:b] == np.lib.stride_tricks.sliding_window_view(around, 2 * NEAR + 1).min(1))
+        at, kept = edges[k], []
+        while (i := np.searchsorted(low, at + LEAST)) < len(low):
+            at = low[i]
+            kept.append(at)
+        stops = np.r_[edges[k], np.array(kept, np.int64), b]
+        forced = [np.arange(x + LARGEST, y, LARGEST) for x, y in zip(stops[:-1], stops[1:], strict=True) if y - x > LARGEST]
+        more += [stops[1:-1], *forced]
+    return np.unique(np.concatenate(more)) if len(more) > 1 else small
+
+
 def cuts(data: np.ndarray, spacing: int = SPACING) -> np.ndarray:
     """Places of cuts: each is the start of the word or the code point after a place where the hash is small."""
-    small = np.flatnonzero(gear_hash(data) < np.uint32((1 << 32) // spacing))
-    small = small[small >= WINDOW - 1]
+    h = gear_hash(data)
+    small = np.flatnonzero(h < np.uint32((1 << 32) // spacing))
+    small = filled(h, small[small >= WINDOW - 1])
     if not len(small):
         return small
     # what stands in for a gap beyond the end is too far away

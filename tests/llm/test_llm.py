@@ -567,6 +567,27 @@ def test_passages_are_found_whole(spark):
     assert 0.98 * want <= sum(r.removed_bytes for r in out) <= 1.02 * want
 
 
+def test_passages_without_small_hashes(spark):
+    """Equal letters, short periods, text without blanks: what two documents share goes whole, whatever stands around."""
+    draw = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    shared = {
+        "letters": "q" * 3000, "letters and words": "z" * 3000 + " " + " ".join(words(80, "sh")), "words and letters": " ".join(words(80, "hs")) + " " + "y" * 3000,
+        "period": "abcdefg" * 700, "long period": "".join(draw.choices(letters, k=45)) * 90, "no blanks": "".join(draw.choices(letters, k=3500)), "dashes": "-=" * 2000,
+    }
+    rows = []
+    for k, passage in enumerate(shared.values()):
+        for side in range(2):
+            around = [" ".join(words(60 + 7 * side, f"{k}-{side}-{end}")) for end in range(2)]
+            rows.append((2 * k + side, f"{around[0]} {passage} {around[1]}"))
+    found = {r.doc_id: r for r in chunk_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, passage) in enumerate(shared.items()):
+        assert found[2 * k].removed_bytes == 0, name
+        kept = 0 if name == "no blanks" else chunk_dedup.LEAST  # at an end of what repeats itself
+        assert len(passage) - kept <= found[2 * k + 1].removed_bytes <= len(passage) + 2, name
+        assert passage[100:200] not in found[2 * k + 1].text, name
+
+
 def test_chunk_dedup_odd(spark):
     out = chunk_dedup.dedup(clashing(odd(spark)))
     assert out.count() == 7 and chunk_dedup.dedup(odd(spark).limit(0)).count() == 0
