@@ -584,7 +584,7 @@ def test_passages_without_small_hashes(spark):
     for k, (name, passage) in enumerate(shared.items()):
         assert found[2 * k].removed_bytes == 0, name
         kept = 0 if name == "no blanks" else chunk_dedup.LEAST  # at an end of what repeats itself
-        assert len(passage) - kept <= found[2 * k + 1].removed_bytes <= len(passage) + 2, name
+        assert len(passage) - kept <= found[2 * k + 1].removed_bytes <= len(passage) + 8, name  # letters around that happen to be equal
         assert passage[100:200] not in found[2 * k + 1].text, name
 
 
