@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import banded, base_name, normal_path, path_prefixes
@@ -142,13 +142,16 @@ def node_summary() -> Column:
     )
 
 
-def graph_lines(metrics: DataFrame, edges: DataFrame, key: str = "rel_path") -> DataFrame:
-    """A line of text for each node: its mark, name and language and up to four of what it depends on."""
-    names = edges.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("target"))), lambda x: base_name(x["target"])).alias("deps"))
-    joined = metrics.join(names, F.col(key) == F.col("source"), "left")
+def graph_lines(metrics: DataFrame, edges: DataFrame, key: str = "rel_path", shown: int = 4) -> DataFrame:
+    """A line of text for each node: its mark, name and language and the first of what it depends on, with the number of
+    the others. Only the first targets of a source are gathered; Spark applies their limit before it shuffles."""
+    first = edges.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("target"))).where(F.col("turn") <= shown)
+    names = first.groupBy("source").agg(F.transform(F.array_sort(F.collect_list("target")), lambda x: base_name(x)).alias("deps"))
+    counted = edges.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
+    joined = metrics.join(names, F.col(key) == F.col("source"), "left").join(counted, F.col(key) == F.col("s"), "left")
     mark = F.when(F.col("is_entry"), "▶").when(F.col("is_circular"), "↺").when(F.col("is_dead"), "◌").otherwise("·")
-    more = F.when(F.size("deps") > 4, F.concat(F.lit(" +"), (F.size("deps") - 4).cast("string"))).otherwise("")
-    deps = F.when(F.size("deps") > 0, F.concat(F.lit("  → "), F.array_join(F.slice("deps", F.lit(1), F.lit(4)), ", "), more)).otherwise("")
+    more = F.when(F.col("n") > shown, F.concat(F.lit(" +"), (F.col("n") - shown).cast("string"))).otherwise("")
+    deps = F.when(F.col("n") > 0, F.concat(F.lit("  → "), F.array_join("deps", ", "), more)).otherwise("")
     return joined.select(key, F.concat(F.lit("  "), mark, F.lit(" "), base_name(F.col(key)), F.lit(" ("), F.col("language"), F.lit(")"), deps).alias("line")).orderBy(key)
 
 

@@ -93,7 +93,7 @@ def analyze(spark: SparkSession, path: str, settings: Settings | None = None) ->
     return Analysis(path, files, analyses, edges, cycles, metrics, found, executions, failures, scored)
 
 
-def _first(rows: DataFrame, n: int, name: str, *order: Column) -> DataFrame:
+def first_rows(rows: DataFrame, n: int, name: str, *order: Column) -> DataFrame:
     """One row: the rel_paths of the first n rows in order."""
     keyed = rows.select(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "scan_ordinal", "rel_path").alias("x")).orderBy("x").limit(n)
     return keyed.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["rel_path"]).alias(name))
@@ -107,9 +107,9 @@ def summary(a: Analysis) -> DataFrame:
     )
     parts = [
         levels,
-        _first(a.risk.where("risk_level = 'high'"), 5, "high_risk_files", -F.col("risk_score")),
-        _first(a.risk.where("is_entry"), 6, "entry_points"),
-        _first(a.risk.where("is_dead"), 6, "dead_files"),
+        first_rows(a.risk.where("risk_level = 'high'"), 5, "high_risk_files", -F.col("risk_score")),
+        first_rows(a.risk.where("is_entry"), 6, "entry_points"),
+        first_rows(a.risk.where("is_dead"), 6, "dead_files"),
         a.issues.agg(F.count("*").alias("total_issues"), F.count_if(F.col("issue_type") == "syntax_error").alias("syntax_errors")),
         a.cycles.agg(F.count("*").alias("circular_dependency_count")),
     ]

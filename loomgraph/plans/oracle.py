@@ -195,4 +195,16 @@ SELECT event_id, CASE WHEN u = 4 OR code = 401 THEN 'auth' WHEN u = 0 OR code =
     SELECT doc_id, intent, round(CASE intent WHEN 'error' THEN w * 5.0::DOUBLE + CASE WHEN lang = 'de' THEN 8 ELSE 0 END WHEN 'risk' THEN risk * 15
       WHEN 'dependency' THEN CASE WHEN lang = 'fr' THEN 10 ELSE 0 END + doc_id % 5 * 0.5::DOUBLE + doc_id % 3 * 0.3::DOUBLE WHEN 'entry' THEN CASE WHEN lang = 'es' THEN 12 ELSE 0 END
       WHEN 'complexity' THEN n_chars % 100 * 0.2::DOUBLE WHEN 'unused' THEN doc_id % 2 * 4 ELSE 0 END + risk * 3 + central * 5, 6) AS score FROM rows, i""",
+    "legend": "SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL",
+    "graph_counts": f"""WITH RECURSIVE {TRADE}, {WALKS} SELECT (SELECT count(*) FROM nation) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, count(*) AS n_cycles,
+      (SELECT count(DISTINCT m) FROM (SELECT unnest(members) AS m FROM loops)) AS n_on_cycles FROM loops""",
+    "cycle_texts": f"""WITH RECURSIVE {TRADE}, {WALKS}, texts AS (SELECT members, list_aggregate(list_append(members, members[1]), 'string_agg', ' → ') AS t FROM loops)
+      SELECT unnest(members)::VARCHAR AS file, 'Circular dependency: ' || t AS message, 'high' AS severity, len(members)::INT AS length FROM texts""",
+    "partner_lines": """WITH p AS (SELECT DISTINCT a.n_name AS source, b.n_name AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+      JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey),
+    d AS (SELECT source, count(*) AS n, array_to_string(list(target ORDER BY target)[1:4], ', ') AS t FROM p GROUP BY source)
+    SELECT n_name AS rel_path, '  ' || CASE WHEN n_regionkey = 0 THEN '↺' ELSE '·' END || ' ' || n_name || ' (region ' || n_regionkey || ')'
+      || CASE WHEN n > 0 THEN '  → ' || t || CASE WHEN n > 4 THEN ' +' || (n - 4) ELSE '' END ELSE '' END AS line FROM nation LEFT JOIN d ON source = n_name""",
+    "first_entries": """SELECT (SELECT string_agg(p_name, ',' ORDER BY p_partkey) FROM (SELECT * FROM part WHERE p_size < 10 ORDER BY p_partkey LIMIT 6)) AS small,
+      (SELECT string_agg(p_name, ',' ORDER BY p_retailprice DESC, p_partkey) FROM (SELECT * FROM part WHERE p_size >= 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 5)) AS dear""",
 }

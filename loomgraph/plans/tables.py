@@ -7,6 +7,8 @@ customer nation, edges to the two other supplier nations with the most lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from loomgraph.functions import text as T
 from loomgraph.functions.constants import INTENTS
 from loomgraph.operators import context, graph, issues, risk, views
 from loomgraph.operators.storage import settled
+from loomgraph.plans.analyze import first_rows
 
 TRIMMED_NODES = 10
 LINKS = r'href="([^"]+)"'
@@ -542,3 +545,41 @@ def relevance_by_intent(spark, sf_dir):
     )
     scores = [F.struct(F.lit(i).alias("intent"), F.round(context.relevance({name: F.lit(name == i) for name in INTENTS}), 6).alias("score")) for i in (*INTENTS, "general")]
     return rows.select("doc_id", F.explode(F.array(*scores)).alias("x")).select("doc_id", "x.*")
+
+
+def legend(spark, sf_dir):
+    return views.legend(table(spark, sf_dir, "documents"), "lang")
+
+
+def graph_counts(spark, sf_dir):
+    """One row: nodes, edges, cycles and nodes on cycles of the trade graph."""
+    edges = settled_trade(spark, sf_dir)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [count(edges, "n_edges"), count(graph.cycles(edges), "n_cycles"), count(graph.on_a_cycle(edges), "n_on_cycles")]
+    return reduce(DataFrame.crossJoin, parts, count(nations(spark, sf_dir), "n_nodes"))  # one row each
+
+
+def cycle_texts(spark, sf_dir):
+    """The message of each issue that a cycle gives each of its members."""
+    cycles = graph.cycles(settled_trade(spark, sf_dir)).select(F.col("members").cast("array<string>").alias("members"))
+    return issues.circular(cycles).select("file", "message", "severity", F.size("cycle").alias("length"))
+
+
+def partner_lines(spark, sf_dir):
+    """A line of text for each supplier nation of each region's text graph: what it sells to, the first four by name."""
+    names = nations(spark, sf_dir).select("node", "name")
+    lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    buyers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("to"))
+    sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("from"))
+    pairs = lines.join(orders, "l_orderkey").join(buyers, "o_custkey").join(sellers, "l_suppkey").select("from", "to").distinct()
+    edges = pairs.join(names.select(F.col("node").alias("from"), F.col("name").alias("source")), "from").join(names.select(F.col("node").alias("to"), F.col("name").alias("target")), "to").select("source", "target")
+    no = F.lit(False)
+    metrics = nations(spark, sf_dir).select(F.col("name").alias("rel_path"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("language"), no.alias("is_entry"), no.alias("is_dead"), (F.col("n_regionkey") == 0).alias("is_circular"))
+    return views.graph_lines(metrics, edges)
+
+
+def first_entries(spark, sf_dir):
+    """One row: the first six parts in order of their keys whose name begins as the size says, of each of two lists."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scan_ordinal"), F.col("p_name").alias("rel_path"), "p_size", "p_retailprice")
+    small, dear = parts.where("p_size < 10"), parts.where("p_size >= 10")
+    return first_rows(small, 6, "small").select(joined(F.col("small")).alias("small")).crossJoin(first_rows(dear, 5, "dear", -F.col("p_retailprice")).select(joined(F.col("dear")).alias("dear")))  # one row each
