@@ -52,11 +52,11 @@ PLACE = np.dtype("<u2")
 
 @dataclass(frozen=True)
 class Settings:
-    head: int = 2048
+    head: int = 8192
     known: int = 65536
-    in_class: int = 48
-    embedding: int = 12
-    hidden: int = 16
+    in_class: int = 128
+    embedding: int = 16
+    hidden: int = 24
     window: int = 32
     streams: int = 256
     rate: float = 0.2
