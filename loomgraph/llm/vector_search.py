@@ -165,39 +165,38 @@ class Regions:
     vector."""
 
     def __init__(self, sample: np.ndarray, wanted: int):
-        self.cuts: list[tuple[np.ndarray, float] | None] = []
-        depth = min(max(0, math.ceil(math.log2(max(1, wanted)))), int(math.log2(MOST_REGIONS)))
+        """A vantage point and a radius for each node of each level; where there was nothing to divide, all go inside."""
+        self.depth = min(max(0, math.ceil(math.log2(max(1, wanted)))), int(math.log2(MOST_REGIONS)))
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         parts = [sample]
-        for _ in range(depth):
-            halves = []
-            for part in parts:
+        for _ in range(self.depth):
+            vantages, radii, halves = np.zeros((len(parts), sample.shape[1])), np.full(len(parts), np.inf), []
+            for i, part in enumerate(parts):
                 if len(part) < 2:
-                    self.cuts.append(None)  # nothing to divide: all inside
                     halves += [part, part[:0]]
                     continue
-                vantage = part[distances(part, part.mean(0)).argmax()]
-                d = distances(part, vantage)
-                radius = float(np.median(d))
-                self.cuts.append((vantage, radius))
-                halves += [part[d < radius], part[d >= radius]]
+                vantages[i] = part[distances(part, part.mean(0)).argmax()]
+                d = distances(part, vantages[i])
+                radii[i] = np.median(d)
+                halves += [part[d < radii[i]], part[d >= radii[i]]]
+            self.levels.append((vantages, radii))
             parts = halves
-        self.depth = depth
-
-    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The region of each vector, and lower bounds of its distance from all vectors of every region."""
-        home, bound = np.zeros(len(x), np.int64), np.zeros((len(x), 1))
-        at = 0
-        for level in range(self.depth):
-            sides, below = np.zeros((len(x), 1 << level), np.bool_), np.zeros((len(x), 2 << level))
-            for i in range(1 << level):
-                cut = self.cuts[at + i]
-                d = distances(x, cut[0]) if cut else None
-                sides[:, i] = d >= cut[1] if cut else False
-                below[:, 2 * i] = np.maximum(bound[:, i], d - cut[1]) if cut else bound[:, i]
-                below[:, 2 * i + 1] = np.maximum(bound[:, i], cut[1] - d) if cut else np.inf
-            home = 2 * home + sides[np.arange(len(x)), home]
-            bound, at = below, at + (1 << level)
-        return home, bound
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The region of each vector."""
+        at = np.zeros(len(x), np.int64)
+        for vantages, radii in self.levels:
+            at = 2 * at + (distances(x, vantages[at]) >= radii[at])
+        return at
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """Lower bounds of each vector's distance from all vectors of every region."""
+        bound = np.zeros((len(x), 1))
+        for vantages, radii in self.levels:
+            d = np.stack([distances(x, v) for v in vantages], axis=1)
+            sides = np.maximum(bound, d - radii), np.maximum(bound, radii - d)
+            bound = np.stack(sides, axis=2).reshape(len(x), -1)
+        return bound
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -208,7 +207,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _region_of(regions: Regions, width: int):
     @F.arrow_udf(T.IntegerType())
     def region(v: pa.Array) -> pa.Array:
-        return pa.array(regions.bounds(_matrix(v, width))[0], pa.int32()) if len(v) else pa.array([], pa.int32())
+        return pa.array(regions.home(_matrix(v, width)) if len(v) else [], pa.int32())
 
     return region
 
@@ -218,10 +217,11 @@ def _regions_left(regions: Regions, width: int, factor: float):
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def left(v: pa.Array, limit: pa.Array) -> pa.Array:
-        if not len(v):
-            return pa.array([], pa.list_(pa.int32()))
-        bound = regions.bounds(_matrix(v, width))[1]
-        return pa.array([np.flatnonzero(b * factor <= m) for b, m in zip(bound, limit.to_numpy(zero_copy_only=False), strict=True)], pa.list_(pa.int32()))
+        x, most, out = _matrix(v, width), limit.to_numpy(zero_copy_only=False), []
+        for at in range(0, len(x), TOGETHER):
+            bound = regions.bounds(x[at : at + TOGETHER])
+            out += [np.flatnonzero(b * factor <= m) for b, m in zip(bound, most[at : at + TOGETHER], strict=True)]
+        return pa.array(out, pa.list_(pa.int32()))
 
     return left
 

@@ -181,6 +181,19 @@ def test_factor_saves_comparisons():
     assert compared[1] < compared[0] < 50 * 4000
 
 
+def test_regions_hold_their_bounds():
+    """Every vector is in one region, and no vector of a region is nearer to a query than the region's bound."""
+    x = cloud(600, 4).astype(np.float64)
+    regions = vector_search.Regions(x[:50], 16)
+    home, bound = regions.home(x), regions.bounds(x[:40])
+    assert bound.shape == (40, 16) and set(home.tolist()) <= set(range(16)) and len(set(home.tolist())) > 8
+    for q in range(40):
+        assert (vector_search.distances(x, x[q]) >= bound[q, home] - 1e-9).all() and bound[q, home[q]] == 0
+    same = vector_search.Regions(np.ones((5, 3)), 4)
+    assert set(same.home(np.ones((3, 3))).tolist()) <= set(range(4)) and same.bounds(np.zeros((1, 3))).shape == (1, 4)
+    assert vector_search.Regions(np.zeros((0, 3)), 1).home(np.ones((2, 3))).tolist() == [0, 0]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [
