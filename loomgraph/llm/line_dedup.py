@@ -3,10 +3,14 @@
 A seed is a line of at least `seed_words` words, or as few lines in a row as have so many words together; so short and
 blank lines belong to the line after them, those at a document's end to the one before. Documents overlap where they
 share a seed. Each document is aligned with the first document (by doc_id, null last) that has one of its seeds, for
-every seed, and, by seeds that are rare (in at most `rare` documents), with the one just before it, too. So pairs grow
-with the number of shared seeds and not with the square of a group, and common lines still find their first holder.
-
-A pair is aligned by patience diff over all seeds that it shares: those that are unique on both sides are
+every seed, over the seeds that this document is the first to have; so the work grows with the seeds, whatever the size
+of a group or the number of partners. A seed that this leaves is one of a block that has moved. Such a document is
+aligned, over all that it shares, with every other earlier holder of a seed that is left: with all at once where a seed
+is rare (about `rare` documents or less), else with a share of them, chosen by hash, that grows eightfold a round until
+all have been tried or nothing is left. So a line is deleted if it is aligned with its first holder or with any earlier
+document, as if all pairs had been compared; only what no document has in order is compared with all holders.
+
+A pair is aligned by patience diff: seeds that are unique on both sides are
 anchors, the longest increasing run of anchors is kept, gaps between anchors are aligned in the same way, and anchors
 grow over equal neighbours. In a gap without such a seed, the first occurrence on one side is paired with the first on
 the other, the second with the second and so on, so that no gap is left that has a seed on both sides. Further
@@ -16,12 +20,15 @@ stays in the first document that has it, so no content is lost from the corpus.
 
 Defined cases: null text stays null, empty text empty; a document whose lines are all deleted keeps the empty text;
 rows that repeat id and text are one document and get one result; a document of fewer than `seed_words` words has no
-seed; further columns pass through whatever their names. Seeds are told by 128-bit hashes.
+seed; a very long text has a row for each seed, and meets its partners' rows only where they share one; equal texts are
+ordered by id, so the first keeps its lines; an empty table gives an empty table; further columns pass through whatever
+their names. Seeds are told by 128-bit hashes.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,8 +42,9 @@ from loomgraph.llm.common import doc_key, key_id, same_row, written
 
 SEED_WORDS = 3
 BLOCK_WORDS = 5
-#: Documents that a rare seed is in, at most.
-RARE = 100
+#: Holders of a seed left over that are tried in the first round, about, and by how much more in each further one.
+RARE = 16
+GROWTH = 8
 EDITED = T.StructType().add("text", "string").add("removed", "integer").add("partners", T.ArrayType(T.LongType()))
 
 
@@ -104,21 +112,19 @@ def aligned_places(later: dict[int, int], earlier: dict[int, int]) -> list[int]:
     return sorted(p for p, line in later.items() if line in found)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _aligned(seeds: pd.Series) -> pd.Series:
-    """Of a pair's shared seeds, the later document's lines that are aligned."""
+    """Of a pair's shared seeds, which are aligned."""
     out = []
     for pair in seeds:
-        later, earlier, around = {}, {}, []
-        for k, x in enumerate(pair):
+        number: dict[bytes, int] = {}
+        later, earlier = {}, {}
+        for x in pair:
+            k = number.setdefault(bytes(x["seed"]), len(number))
             later.update((int(p), k) for p in x["places"])
             earlier.update((int(p), k) for p in x["earlier"])
-            around.append((x["before"], x["after"]))
-        lines = set()
-        for p in aligned_places(later, earlier):
-            before, after = around[later[p]]
-            lines.update(range(p - before, p + after + 1))
-        out.append(sorted(lines))
+        found = {later[p] for p in aligned_places(later, earlier)}
+        out.append([number[bytes(x["seed"])] in found for x in pair])
     return pd.Series(out)
 
 
@@ -177,28 +183,50 @@ def seed_table(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
     return flat.select(F.struct("n", "i", "h").alias("d"), "seed", "before", "after", "places")
 
 
-def overlapping(seeds: DataFrame, rare: int = RARE) -> DataFrame:
-    """seeds: as of seed_table, written. d and e of the documents that are to be aligned, e the earlier one."""
-    held = seeds.groupBy("seed").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n")).where("first <> last")
-    holders = written(held.select(F.col("seed").alias("s"), "first", "n"), "holders")
-    shared = seeds.select("seed", "d").join(holders, F.col("seed") == F.col("s"))
-    firsts = shared.where("d <> first").select("d", F.col("first").alias("e"))
-    # at most `rare` documents in a list; dealt anew, so that Spark can split the join before
-    chains = shared.where(F.col("n") <= rare).select("seed", "d").repartition("seed").groupBy("seed").agg(F.array_distinct(F.array_sort(F.collect_list("d"))).alias("ds"))
-    steps = chains.select(F.explode(F.arrays_zip(F.slice("ds", F.lit(2), F.size("ds")).alias("d"), F.slice("ds", F.lit(1), F.size("ds") - 1).alias("e"))).alias("x"))
-    return firsts.unionAll(steps.select("x.d", "x.e")).distinct()
+def _marked(shared: DataFrame) -> DataFrame:
+    """shared: d, e, seed, before, after, places, earlier (e's places), n. The same rows with aligned, less earlier."""
+    whole = shared.groupBy("d", "e").agg(F.collect_list(F.struct("seed", "before", "after", "places", "earlier", "n")).alias("seeds"))
+    slim = F.transform("seeds", lambda x: F.struct(x["seed"].alias("seed"), x["places"].alias("places"), x["earlier"].alias("earlier")))
+    each = whole.withColumn("aligned", _aligned(slim)).select("d", "e", F.explode(F.arrays_zip("seeds", "aligned")).alias("x"))
+    return each.select("d", "e", *[f"x.seeds.{c}" for c in ("seed", "before", "after", "places", "n")], "x.aligned")
+
+
+def with_first(seeds: DataFrame) -> DataFrame:
+    """seeds: as of seed_table, written. Of each seed of d that an earlier document has: e, the first that has it, n, the
+    number of documents with it, and whether both are aligned there."""
+    held = seeds.groupBy("seed").agg(F.min(F.struct("d", "places")).alias("low"), F.max("d").alias("last"), F.count("*").alias("n")).where("low.d <> last")
+    holders = written(held.select(F.col("seed").alias("s"), F.col("low.d").alias("e"), F.col("low.places").alias("earlier"), "n"), "holders")
+    return _marked(seeds.join(holders, F.col("seed") == F.col("s")).where("d <> e"))
+
+
+def with_others(first: DataFrame, seeds: DataFrame, rare: int = RARE) -> list[DataFrame]:
+    """first: as of with_first, written. What is aligned of the seeds that it leaves, a table for each round."""
+    left = written(first.where(~F.col("aligned")).select("d", "seed", "n").distinct(), "left")
+    share = F.pmod(F.xxhash64("d.n", "d.i", "d.h"), F.lit(1 << 30)) / float(1 << 30)
+    mine = first.select(F.col("d").alias("own"), "seed", "before", "after", "places", "n")
+    theirs = seeds.select(F.col("d").alias("other"), F.col("seed").alias("t"), F.col("places").alias("earlier"))
+    tried, upto, found = 0, rare, []
+    while tried < (left.agg(F.max("n")).first()[0] or 0):
+        # few holders of each seed, before they meet those that want them
+        wanted = left.groupBy("seed").agg(F.max("n").alias("n")).withColumnRenamed("seed", "s")
+        turn = (F.col("share") * F.col("n") >= tried) & (F.col("share") * F.col("n") < upto)
+        some = seeds.select(F.col("d").alias("e"), F.col("seed").alias("t"), share.alias("share")).join(wanted, F.col("t") == F.col("s")).where(turn).select("t", "e")
+        pairs = written(left.join(some, F.col("seed") == F.col("t")).where("e < d").select("d", "e").distinct(), "pairs")
+        both = pairs.join(mine, same_row(F.col("d"), F.col("own"))).join(theirs, (F.col("seed") == F.col("t")) & same_row(F.col("e"), F.col("other")))
+        found.append(written(_marked(both).where("aligned"), "aligned"))
+        done = found[-1].select(F.col("d").alias("own"), F.col("seed").alias("t")).distinct()
+        left = written(left.join(done, (F.col("seed") == F.col("t")) & same_row(F.col("d"), F.col("own")), "left_anti"), "left")
+        tried, upto = upto, upto * GROWTH
+    return found
 
 
 def aligned_lines(docs: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE) -> DataFrame:
     """docs: d (a doc_key), text. d, place and partner of lines that are aligned with an earlier document."""
     seeds = written(seed_table(docs, seed_words), "seeds")
-    pairs = overlapping(seeds, rare)
-    mine = seeds.withColumnRenamed("d", "own")
-    theirs = seeds.select(F.col("d").alias("other"), F.col("seed").alias("t"), F.col("places").alias("earlier"))
-    each = pairs.join(mine, same_row(F.col("d"), F.col("own"))).drop("own")
-    both = each.join(theirs, (F.col("seed") == F.col("t")) & same_row(F.col("e"), F.col("other")))
-    whole = both.groupBy("d", "e").agg(F.collect_list(F.struct("before", "after", "places", "earlier")).alias("seeds"))
-    return whole.select("d", F.col("e").alias("partner"), F.explode(_aligned("seeds")).alias("place"))
+    first = written(with_first(seeds), "first")
+    whole = reduce(DataFrame.unionByName, with_others(first, seeds, rare), first.where("aligned"))
+    lines = F.flatten(F.transform("places", lambda p: F.sequence(p - F.col("before"), p + F.col("after"))))
+    return whole.select("d", F.col("e").alias("partner"), F.explode(lines).alias("place"))
 
 
 @F.pandas_udf(EDITED)
