@@ -5,11 +5,11 @@ Each term votes with its weight for or against each of 128 bits, by the bits of
 that won. Likeness is the cosine that the Hamming distance stands for, cos(pi * distance / 128), at least 0.
 
 One changed word changes five shingles, so fingerprints of near copies are far apart in bits. The search therefore has
-a print of its own, with single words as terms: a text of a few hundred words with a word changed is about 3 bits away,
-one with a shingle similarity of 0.8 about 8. Search cuts prints into radius + 2 blocks. Two within the radius agree in
-at least two whole blocks, so a table for each pair of blocks, keyed by both, finds them all; candidates are compared in
-full. Tables hold a hash of both blocks. A stated set of queries is searched against all prints; equal prints are one
-entry of a table.
+a print of its own, with single words as terms: a text with a shingle similarity of 0.8 is about 8 bits away, and hardly
+one more than 14. A table for each of five blocks of the bits, which it has in front, holds every print once. Two prints
+within the radius differ in at most radius // 5 bits of one block, so a query is looked up in each table with every value
+of its block that is so near, and candidates are compared in full. As a stated share of the table are queries, their many
+values are about as many rows as the tables themselves. Equal prints are one entry of a table.
 
 Defined cases: a null text is an empty one; a text without words has the fingerprint of zeros; rows that repeat doc_id
 and text are one document in search; in a cycle of one document it is its own next.
@@ -33,8 +33,9 @@ from loomgraph.llm.common import doc_key, key_id, same_row, written
 BITS = 128
 WORDS = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bits that prints of near copies may differ in.
-RADIUS = 7
+#: Bits that prints of near copies may differ in, and bits of the blocks of a print.
+RADIUS = 14
+BLOCKS = (26, 26, 26, 26, 24)
 #: Every so many ids one is a query.
 QUERY_EVERY = 50
 
@@ -89,21 +90,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(distance(a, b) * float(np.pi / BITS)))
 
 
-def _entries(prints: DataFrame, radius: int) -> DataFrame:
-    """key and bits of each distinct print in the table of each pair of blocks."""
-    blocks = radius + 2
-    edges = [round(i * BITS / 4 / blocks) for i in range(blocks + 1)]
-    cut = [F.substring("print", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
-    tables = F.array(*[F.xxhash64(F.lit(i), F.lit(j), cut[i], cut[j]) for i, j in combinations(range(blocks), 2)])
-    return prints.select("print").distinct().select(F.unhex("print").alias("bits"), F.explode(tables).alias("key"))
+def _entries(prints: DataFrame, errors: int) -> DataFrame:
+    """bits of each distinct print, and key: its blocks, each with its number and with up to so many bits turned."""
+    first, keys = 0, []
+    for k, width in enumerate(BLOCKS):
+        start, end = first // 4, -(-(first + width) // 4)
+        digits = F.conv(F.substring("print", start + 1, end - start), 16, 10).cast("long")
+        value = F.shiftright(digits, 4 * end - first - width).bitwiseAND((1 << width) - 1)
+        turned = [(k << max(BLOCKS)) + sum(1 << x for x in at) for n in range(errors + 1) for at in combinations(range(width), n)]
+        keys.append(F.transform(F.lit(np.array(turned, np.int64)), value.bitwiseXOR))
+        first += width
+    return prints.select("print").distinct().select(F.unhex("print").alias("bits"), F.explode(F.concat(*keys)).alias("key"))
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """queries and prints: print. query, print and distance of each query and each other print within the radius."""
     # queries are a share of the table, so they are shuffled at every size
-    left = _entries(queries, radius).select("key", F.col("bits").alias("query")).hint("merge")
+    left = _entries(queries, radius // len(BLOCKS)).select("key", F.col("bits").alias("query")).hint("merge")
     far = distance(F.hex("query"), F.hex("bits"))
-    pairs = left.join(_entries(prints, radius), "key").where((F.col("query") != F.col("bits")) & (far <= radius))
+    pairs = left.join(_entries(prints, 0), "key").where((F.col("query") != F.col("bits")) & (far <= radius))
     return pairs.select(F.lower(F.hex("query")).alias("query"), F.lower(F.hex("bits")).alias("print"), far.alias("distance")).distinct()
 
 
