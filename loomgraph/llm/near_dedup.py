@@ -16,6 +16,11 @@ the first shared one in either bag must outweigh the threshold (prefix and posit
 group of copies thus costs comparisons in proportion to its size, many texts around one common passage cost few, and
 no candidate is left out.
 
+The copies of a group make its own shingles common and so light, the lighter the more copies there are and the more
+documents the table has, while what an edit changes stays heavy. So candidates of which one is in a class of several
+documents are also one class if their bags are similar by counts alone (Jaccard of the whole texts, the same
+threshold), found and verified in the same way. Texts around a common passage, none of them with a copy, stay apart.
+
 Defined cases: equal texts are one class, blank ones too; a null text is a class of its own; a text without words is
 in no bucket; rows that repeat id and text are copies of each other. Equal texts are told by 128-bit hashes.
 """
@@ -93,6 +98,16 @@ class Weights:
         return out
 
 
+class Counts(Weights):
+    """Each shingle weighs its count."""
+
+    def __init__(self):
+        super().__init__(0)
+
+    def idf(self, df):
+        return np.ones_like(df, np.float64)
+
+
 def packed(at: np.ndarray, df: np.ndarray) -> bytes:
     """Places of shared shingles among a text's, and their document frequencies."""
     return at.astype(np.uint32).tobytes() + df.astype(np.uint64).tobytes()
@@ -348,32 +363,42 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _to_plainest(first: DataFrame, parts: DataFrame, similar: float) -> DataFrame:
-    """first: as of _first_parts. u and v: each text with, for each shingle, the text that has least before it.
+    """first: as of _first_parts; parts: node, part, copied. u and v: each text with, for each shingle, the text that
+    has least before it, of copied ones if there are any; one of u and v is copied.
 
     That one has the fewest shingles of its own, and so is the most like the others if any is.
     """
     placed = first.join(parts, "node")
     plainest = placed.groupBy("shingle").agg(
-        F.max(F.struct((F.col("rest") / F.col("total")).alias("share"), F.col("node").alias("other_node"), F.col("rest").alias("other_rest"), F.col("total").alias("other_total"), F.col("part").alias("other_part"))).alias("p")
+        F.max(F.struct(F.col("copied").alias("other_copied"), (F.col("rest") / F.col("total")).alias("share"), F.col("node").alias("other_node"), F.col("rest").alias("other_rest"), F.col("total").alias("other_total"), F.col("part").alias("other_part"))).alias("p")
     ).select("shingle", "p.*")
-    found = placed.join(plainest, "shingle").where((F.col("part") != F.col("other_part")) & _enough(similar))
+    found = placed.join(plainest.where("other_copied"), "shingle").where((F.col("part") != F.col("other_part")) & _enough(similar))
     return found.select(*_pair("node", "other_node")).distinct()
 
 
 def _across(first: DataFrame, parts: DataFrame, similar: float) -> DataFrame:
-    """first: as of _first_parts. u and v of all texts in different parts that can be similar.
+    """first: as of _first_parts; parts: node, part, copied. u and v of all texts in different parts that can be similar,
+    one of them copied.
 
     Of a shingle's texts, those outside its largest part meet all; those of the largest part need not meet each other.
     """
     placed = first.join(parts, "node")
-    sizes = placed.groupBy("shingle", "part").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts"))
-    largest = sizes.where("parts > 1").select("shingle", F.col("m.part").alias("largest"))
+    sizes = placed.groupBy("shingle", "part").agg(F.count("*").alias("n"), F.max("copied").alias("copied"))
+    sizes = sizes.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts"), F.max("copied").alias("copied"))
+    largest = sizes.where("parts > 1 and copied").select("shingle", F.col("m.part").alias("largest"))
     mixed = placed.join(largest, "shingle")
-    other = mixed.where("part <> largest").select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "rest", "total", "part")])
-    found = mixed.join(other, "shingle").where((F.col("part") != F.col("other_part")) & _enough(similar))
+    other = mixed.where("part <> largest").select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "rest", "total", "part", "copied")])
+    found = mixed.join(other, "shingle").where((F.col("part") != F.col("other_part")) & (F.col("copied") | F.col("other_copied")) & _enough(similar))
     return found.select(*_pair("node", "other_node")).distinct()
 
 
+def _apart(buckets: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that are in a bucket of several parts (parts: node, part, copied), one of them copied."""
+    placed = buckets.join(parts, "node").select("band", "key", "node", "part", "copied")
+    mixed = placed.groupBy("band", "key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max("copied").alias("copied")).where("least <> most and copied").select("band", "key")
+    return texts.join(placed.join(mixed, ["band", "key"], "left_semi").select("node").distinct(), "node", "left_semi")
+
+
 def _joined_up(parts: DataFrame, links: DataFrame) -> DataFrame:
     """parts: node, part. The parts after those that a link (u, v) connects have become one."""
     left = parts.select(F.col("node").alias("u"), F.col("part").alias("a"))
@@ -407,15 +432,21 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     texts = written(own.join(found.select("node", "shared"), "node").dropDuplicates(["node"]), "compared")
     stars = buckets.where("node <> pivot").select(*_pair("node", "pivot")).distinct()
     parts = _joined_up(wanted.select("node", F.col("node").alias("part")), written(_verified(stars, texts, weights, similar), "links"))
-    # what is still apart in some bucket
-    placed = buckets.join(parts, "node").select("band", "key", "node", "part")
-    mixed = placed.groupBy("band", "key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("band", "key")
-    apart = placed.join(mixed, ["band", "key"], "left_semi").select("node").distinct()
-    first = written(_first_parts(texts.join(apart, "node", "left_semi"), weights, similar), "first-parts")
-    plain = written(_to_plainest(first, parts, similar).join(stars, ["u", "v"], "left_anti"), "pairs")
+    all_apart = F.lit(True).alias("copied")
+    first = written(_first_parts(_apart(buckets, parts.select("*", all_apart), texts), weights, similar), "first-parts")
+    plain = written(_to_plainest(first, parts.select("*", all_apart), similar).join(stars, ["u", "v"], "left_anti"), "pairs")
     parts = _joined_up(parts, written(_verified(plain, texts, weights, similar), "links"))
-    rest = _across(first, parts, similar).join(stars.union(plain), ["u", "v"], "left_anti")
+    rest = _across(first, parts.select("*", all_apart), similar).join(stars.union(plain), ["u", "v"], "left_anti")
     parts = _joined_up(parts, written(_verified(rest, texts, weights, similar), "links"))
+    # what is apart from a class of several documents, by counts
+    several = parts.join(nodes.select("node", "n"), "node").groupBy("part").agg((F.sum("n") > 1).alias("copied"))
+    copied = written(parts.join(several, "part").select("node", "part", "copied"), "copied")
+    first = written(_first_parts(_apart(buckets, copied, texts), Counts(), similar), "first-parts")
+    plain = written(_to_plainest(first, copied, similar), "pairs")
+    near = written(_verified(plain, texts, Counts(), similar), "links")
+    joined = _joined_up(copied.select("node", "part"), near).join(copied.select("node", "copied"), "node")
+    rest = _across(first, joined, similar).join(plain, ["u", "v"], "left_anti")
+    parts = _joined_up(joined.select("node", "part"), written(_verified(rest, texts, Counts(), similar), "links"))
     every = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")).select("node", "d", "n", "part")
     least = every.groupBy("part").agg(F.min("d").alias("first"), F.sum("n").alias("class_size"))
     return every.join(least, "part").select("node", "first", "class_size")

@@ -851,6 +851,27 @@ def test_common_passages_alone_do_not_join(spark):
     assert all(r.class_size == 1 for r in got)
 
 
+def test_near_copies_in_a_group_of_copies(spark):
+    base = words(200, "copied")
+    edited = [[w if k % 50 != i % 50 else f"edit{i}x{k}" for k, w in enumerate(base)] for i in range(12)]
+    far = [[w if k % 20 != i % 20 else f"more{i}x{k}" for k, w in enumerate(base)] for i in range(3)]
+    rows = [(i, " ".join(base)) for i in range(150)] + [(200 + i, " ".join(e)) for i, e in enumerate(edited)] + [(300 + i, " ".join(e)) for i, e in enumerate(far)]
+    rows += [(1000 + i, " ".join(words(60, f"far{i}"))) for i in range(400)]
+    bags = {i: bag(t) for i, t in rows}
+    df = Counter(s for b in bags.values() for s in b)
+
+    def likeness(a, b, weight):
+        low, high = bags[a] & bags[b], bags[a] | bags[b]
+        return sum(n * weight(s) for s, n in low.items()) / sum(n * weight(s) for s, n in high.items())
+
+    idf = lambda s: 1 + math.log((1 + len(rows)) / (1 + df[s]))
+    assert all(likeness(0, 200 + i, idf) < 0.8 < likeness(0, 200 + i, lambda s: 1) for i in range(12))
+    assert all(likeness(0, 300 + i, lambda s: 1) < 0.8 for i in range(3))
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, c in got.items() if c == (0, 162)} == {i for i in got if i < 300}
+    assert all(c == (i, 1) for i, c in got.items() if i >= 300)
+
+
 def test_sampling_agrees_with_similarity():
     import numpy as np
 
