@@ -6,6 +6,7 @@ import json
 import os
 import random
 import sys
+import time
 import zipfile
 from datetime import datetime, timedelta
 from itertools import permutations
@@ -258,6 +259,20 @@ def test_hanging_and_crashing_sources(spark):
         assert deep[3] and deep[4] and c.check("y = 2")[3:] == (None, None, None, False)
 
 
+def test_both_steps_at_once(spark):
+    """A child that sends both lines in one piece; no time goes by until the deadline."""
+    child = CHILD.split("p.compiled")[0].split("real")[0] + (
+        "from json import dumps\nread = sys.stdin.buffer.read\nwhile head := read(4):\n    source = read(int.from_bytes(head, 'big')).decode()\n"
+        "    os.write(1, b''.join(dumps(step(source)).encode() + b'\\n' for step in (p.defined, p.compiled)))\n"
+    )
+    with Checker(20, [sys.executable, "-c", child]) as c:
+        began = time.monotonic()
+        rows = [c.check(s) for s in ("import a", "return 1", "def f(:", "import d")]
+        assert c.started == 1 and time.monotonic() - began < 15
+    assert [r[0] for r in rows] == [["a"], [], [], ["d"]]
+    assert [r[4] is None for r in rows] == [True, False, False, True] and not any(r[6] for r in rows)
+
+
 def test_settings_as_tables(spark, tmp_path):
     """A language, its keywords and a package that the library does not know, given as tables."""
     from loomgraph.functions.settings import Settings
