@@ -219,41 +219,51 @@ def ancestors(edges: DataFrame, roots: DataFrame, key: str = "root") -> DataFram
     return pairs.join(placed, ["word", "bit"]).where("root <> ancestor").select("root", "ancestor")
 
 
+def _onward(at: np.ndarray, first: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For nodes `at`: which of them each of their edges is of, and the edge, one after the other."""
+    many = degree[at]
+    of = np.repeat(np.arange(len(at)), many)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[at][of]
+
+
 def _dependencies(src: np.ndarray, dst: np.ndarray, n: int, most_cells: int):
-    """Sums of the dependencies of all starts dealt to a task, over a graph of numbered nodes that fits it."""
+    """Sums of the dependencies of all starts dealt to a task, over a graph of numbered nodes that fits it.
 
-    def sums(along: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values[:, along], starts, axis=1)
+    Only what a start reaches is looked at. A level is the sorted numbers start * n + node and their shortest paths.
+    """
 
     def dependencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        into, out = np.argsort(dst, kind="stable"), np.argsort(src, kind="stable")
-        targets, t0 = np.unique(dst[into], return_index=True)
-        sources, s0 = np.unique(src[out], return_index=True)
-        tails, heads = src[into], dst[out]
+        heads = dst[np.argsort(src, kind="stable")].astype(np.int64)
+        degree = np.bincount(src, minlength=n)
+        first = np.cumsum(degree) - degree
         total = np.zeros(n)
         at_once = max(1, most_cells // max(n, len(src)))
         for batch in batches:
             for i in range(0, len(batch), at_once):
-                starts = batch["start"].to_numpy()[i : i + at_once]
-                rows = np.arange(len(starts))
-                level = np.full((len(starts), n), -1)
-                paths = np.zeros((len(starts), n))
-                level[rows, starts], paths[rows, starts] = 0, 1
-                depth = 0
+                starts = batch["start"].to_numpy()[i : i + at_once].astype(np.int64)
+                row = np.arange(len(starts)) * n
+                levels, seen = [(row + starts, np.ones(len(starts)))], row + starts
                 while True:
-                    reached = sums(tails, np.where(level == depth, paths, 0), t0)
-                    new = (reached > 0) & (level[:, targets] < 0)
+                    keys, paths = levels[-1]
+                    of, edge = _onward(keys % n, first, degree)
+                    reached, place = np.unique(keys[of] - keys[of] % n + heads[edge], return_inverse=True)
+                    if not len(reached):
+                        break
+                    paths = np.bincount(place, weights=paths[of], minlength=len(reached))
+                    new = seen[np.minimum(np.searchsorted(seen, reached), len(seen) - 1)] != reached
                     if not new.any():
                         break
-                    depth += 1
-                    level[:, targets] = np.where(new, depth, level[:, targets])
-                    paths[:, targets] = np.where(new, reached, paths[:, targets])
-                share = np.zeros((len(starts), n))
-                for d in range(depth - 1, 0, -1):
-                    below = np.where(level == d + 1, (1 + share) / np.where(paths > 0, paths, 1), 0)
-                    got = sums(heads, below, s0)
-                    share[:, sources] = np.where(level[:, sources] == d, got * paths[:, sources], share[:, sources])
-                total += share.sum(0)
+                    levels.append((reached[new], paths[new]))
+                    # two sorted runs
+                    seen = np.sort(np.concatenate([seen, reached[new]]), kind="stable")
+                below, more, share = *levels[-1], np.zeros(len(levels[-1][0]))
+                for keys, paths in reversed(levels[1:-1]):
+                    of, edge = _onward(keys % n, first, degree)
+                    ahead = keys[of] - keys[of] % n + heads[edge]
+                    at = np.minimum(np.searchsorted(below, ahead), len(below) - 1)
+                    part = np.where(below[at] == ahead, (1 + share[at]) / more[at], 0.0)
+                    below, more, share = keys, paths, paths * np.bincount(of, weights=part, minlength=len(keys))
+                    total += np.bincount(keys % n, weights=share, minlength=n)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"place": some, "s": total[some]})
 
@@ -264,9 +274,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "node", most_edge
     """node and centrality: the share of shortest paths that pass through it, directed, over (n - 1)(n - 2).
 
     A graph of at most most_edges nodes and edges goes to all tasks as two arrays of numbers; the starts are dealt out,
-    and each task searches several at once and keeps one running sum a node. Larger graphs stay tables
+    and each task searches several at once, looks only at what they reach, and keeps one running sum a node. Larger graphs stay tables
     (`betweenness_by_joins`). Both give the same numbers, up to the order of sums. The work
-    grows with nodes times edges; beyond most_pairs pairs of nodes this raises.
+    grows with the edges that each node reaches; beyond most_pairs pairs of nodes this raises.
     """
     spark = nodes.sparkSession
     step = settled(digraph(edges), "steps")

@@ -259,6 +259,24 @@ def test_hanging_and_crashing_sources(spark):
         assert deep[3] and deep[4] and c.check("y = 2")[3:] == (None, None, None, False)
 
 
+def test_betweenness_looks_at_what_is_reached():
+    """A tree of 60,000 nodes, of which each start reaches at most 16: no work for the others."""
+    import numpy as np
+    import pandas as pd
+
+    src = np.arange(1, 60_000)
+    starts = np.arange(0, 60_000, 500)
+    began = time.monotonic()
+    got = next(graph._dependencies(src, src // 2, 60_000, graph.CELLS)(iter([pd.DataFrame({"start": starts})])))
+    assert time.monotonic() - began < 3
+    true = {}
+    for k in starts.tolist():
+        while k and k // 2:
+            k //= 2
+            true[k] = true.get(k, 0) + k.bit_length()  # the nodes after it, down to 0
+    assert dict(zip(got["place"].tolist(), got["s"].tolist(), strict=True)) == true
+
+
 def test_both_steps_at_once(spark):
     """A child that sends both lines in one piece; no time goes by until the deadline."""
     child = CHILD.split("p.compiled")[0].split("real")[0] + (
