@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import written
 from loomgraph.session import scratch
 
 #: The alphabet of base32 and the names that the archive format prescribes.
@@ -101,7 +102,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
     """pages: page_id, url, html. Deduplicated archives under path."""
     payload = F.coalesce("html", F.lit(""))
     hashed = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest"))
-    decided = resolve(hashed.drop("payload"), least_bytes)
+    # written, since they are read twice: the payloads are hashed once for them and once for the records
+    decided = resolve(written(hashed.drop("payload"), "headers"), least_bytes)
     fate = decided.groupBy(F.col("page_id").alias("p"), F.col("payload_digest").alias("g")).agg(
         F.min("record_type").alias("record_type"), F.min("refers_to").alias("refers_to"), F.min("refers_to_url").alias("refers_to_url")
     )

@@ -851,6 +851,22 @@ def test_common_passages_alone_do_not_join(spark):
     assert all(r.class_size == 1 for r in got)
 
 
+def test_archives_read_payloads_twice(spark, tmp_path):
+    """Once for all headers, once for the records."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def html(i):
+        seen.add(1)
+        return f"page {i % 3}"
+
+    pages = spark.range(30).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.asNondeterministic()("id").alias("html"))
+    warc.write_archives(pages, str(tmp_path / "archives"))
+    assert seen.value == 60
+    got = {r.page_id: r.refers_to for r in warc.read_archives(spark, str(tmp_path / "archives")).collect()}
+    assert got == {i: i % 3 if i > 2 else None for i in range(30)}
+
+
 def test_near_copies_in_a_group_of_copies(spark):
     base = words(200, "copied")
     edited = [[w if k % 50 != i % 50 else f"edit{i}x{k}" for k, w in enumerate(base)] for i in range(12)]
