@@ -18,16 +18,26 @@ BLANKS = [9, 10, 11, 12, 13, 32]
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of a text that are hashed at a time.
 PIECE_BYTES = 1 << 16
+#: Characters of all texts for each task beyond those that keep the cores busy, about, and rows of hashes in a file.
+TASK_CHARS, FILE_ROWS = 8_000_000, 1_000_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once and outlives its executors."""
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: it is computed once and outlives its executors.
+
+    tasks: the most that compute it last, and so its files at most; more partitions than that are many small ones.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(spark: SparkSession, chars: int) -> int:
+    """Tasks that are enough for tables made from texts of so many characters: two a core and one for each TASK_CHARS."""
+    return 2 * spark.sparkContext.defaultParallelism + chars // TASK_CHARS
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

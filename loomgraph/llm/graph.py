@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
-
-#: Links that a partition holds, about.
-FILE_ROWS = 1_000_000
+from loomgraph.llm.common import FILE_ROWS, written
 
 
 def _either(*pairs: tuple[str, str]) -> list:
@@ -37,17 +34,17 @@ def _settled(edges: DataFrame, most: int | None) -> tuple[DataFrame, tuple]:
     seen = Observation()
     total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
     marked = edges.observe(seen, F.count("*").alias("n"), total("u", "v").alias("a"), total("v", "u", F.lit(1)).alias("b"))
-    out = written(marked if most is None else marked.coalesce(1 + most // FILE_ROWS), "edges")
+    out = written(marked, "edges", None if most is None else 1 + most // FILE_ROWS)
     return out, tuple(seen.get[k] for k in ("n", "a", "b"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame | None:
+def components(edges: DataFrame, most_rounds: int = 60, most: int | None = None) -> DataFrame | None:
     """edges: u, v, of any type that can be ordered. node, label of each node that has an edge, None without edges;
-    label is the least node of its component.
+    label is the least node of its component. most: a bound on the edges, for the number of files.
 
     Rounds double the reach, so their number grows with the logarithm of the longest path. A round is one job.
     """
-    now, sign = _settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None)
+    now, sign = _settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), most)
     if not sign[0]:
         return None
     for _ in range(most_rounds):

@@ -33,12 +33,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from loomgraph.llm.common import doc_key, key_id, same_row, written
+from loomgraph.llm.common import doc_key, key_id, same_row, tasks_for, written
 
 SEED_WORDS = 3
 BLOCK_WORDS = 5
@@ -191,17 +191,17 @@ def _marked(shared: DataFrame) -> DataFrame:
     return each.select("d", "e", *[f"x.seeds.{c}" for c in ("seed", "before", "after", "places", "n")], "x.aligned")
 
 
-def with_first(seeds: DataFrame) -> DataFrame:
-    """seeds: as of seed_table, written. Of each seed of d that an earlier document has: e, the first that has it, n, the
+def with_first(seeds: DataFrame, tasks: int | None = None) -> DataFrame:
+    """seeds: as of seed_table, written; tasks: as of written(). Of each seed of d that an earlier document has: e, the first that has it, n, the
     number of documents with it, and whether both are aligned there."""
     held = seeds.groupBy("seed").agg(F.min(F.struct("d", "places")).alias("low"), F.max("d").alias("last"), F.count("*").alias("n")).where("low.d <> last")
-    holders = written(held.select(F.col("seed").alias("s"), F.col("low.d").alias("e"), F.col("low.places").alias("earlier"), "n"), "holders")
+    holders = written(held.select(F.col("seed").alias("s"), F.col("low.d").alias("e"), F.col("low.places").alias("earlier"), "n"), "holders", tasks)
     return _marked(seeds.join(holders, F.col("seed") == F.col("s")).where("d <> e"))
 
 
-def with_others(first: DataFrame, seeds: DataFrame, rare: int = RARE) -> list[DataFrame]:
+def with_others(first: DataFrame, seeds: DataFrame, rare: int = RARE, tasks: int | None = None) -> list[DataFrame]:
     """first: as of with_first, written. What is aligned of the seeds that it leaves, a table for each round."""
-    left = written(first.where(~F.col("aligned")).select("d", "seed", "n").distinct(), "left")
+    left = written(first.where(~F.col("aligned")).select("d", "seed", "n").distinct(), "left", tasks)
     share = F.pmod(F.xxhash64("d.n", "d.i", "d.h"), F.lit(1 << 30)) / float(1 << 30)
     mine = first.select(F.col("d").alias("own"), "seed", "before", "after", "places", "n")
     theirs = seeds.select(F.col("d").alias("other"), F.col("seed").alias("t"), F.col("places").alias("earlier"))
@@ -211,20 +211,19 @@ def with_others(first: DataFrame, seeds: DataFrame, rare: int = RARE) -> list[Da
         wanted = left.groupBy("seed").agg(F.max("n").alias("n")).withColumnRenamed("seed", "s")
         turn = (F.col("share") * F.col("n") >= tried) & (F.col("share") * F.col("n") < upto)
         some = seeds.select(F.col("d").alias("e"), F.col("seed").alias("t"), share.alias("share")).join(wanted, F.col("t") == F.col("s")).where(turn).select("t", "e")
-        pairs = written(left.join(some, F.col("seed") == F.col("t")).where("e < d").select("d", "e").distinct(), "pairs")
+        pairs = written(left.join(some, F.col("seed") == F.col("t")).where("e < d").select("d", "e").distinct(), "pairs", tasks)
         both = pairs.join(mine, same_row(F.col("d"), F.col("own"))).join(theirs, (F.col("seed") == F.col("t")) & same_row(F.col("e"), F.col("other")))
-        found.append(written(_marked(both).where("aligned"), "aligned"))
+        found.append(written(_marked(both).where("aligned"), "aligned", tasks))
         done = found[-1].select(F.col("d").alias("own"), F.col("seed").alias("t")).distinct()
-        left = written(left.join(done, (F.col("seed") == F.col("t")) & same_row(F.col("d"), F.col("own")), "left_anti"), "left")
+        left = written(left.join(done, (F.col("seed") == F.col("t")) & same_row(F.col("d"), F.col("own")), "left_anti"), "left", tasks)
         tried, upto = upto, upto * GROWTH
     return found
 
 
-def aligned_lines(docs: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE) -> DataFrame:
-    """docs: d (a doc_key), text. d, place and partner of lines that are aligned with an earlier document."""
-    seeds = written(seed_table(docs, seed_words), "seeds")
-    first = written(with_first(seeds), "first")
-    whole = reduce(DataFrame.unionByName, with_others(first, seeds, rare), first.where("aligned"))
+def aligned_lines(seeds: DataFrame, tasks: int, rare: int = RARE) -> DataFrame:
+    """seeds: as of seed_table, written. d, place and partner of lines that are aligned with an earlier document."""
+    first = written(with_first(seeds, tasks), "first", tasks)
+    whole = reduce(DataFrame.unionByName, with_others(first, seeds, rare, tasks), first.where("aligned"))
     lines = F.flatten(F.transform("places", lambda p: F.sequence(p - F.col("before"), p + F.col("after"))))
     return whole.select("d", F.col("e").alias("partner"), F.explode(lines).alias("place"))
 
@@ -256,12 +255,15 @@ def dedup(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOC
     """row (the document as a struct, its text as before), text without the blocks, n_removed, partners."""
     key = doc_key(F.col(id_col), F.col(text_col))
     slim = docs.select(key.alias("d"), F.col(text_col).alias("text"))
-    found = aligned_lines(slim, seed_words, rare)
+    size = Observation()
+    seeds = written(seed_table(slim.observe(size, F.sum(F.length("text")).alias("chars")), seed_words), "seeds")
+    tasks = tasks_for(docs.sparkSession, size.get["chars"] or 0)
+    found = aligned_lines(seeds, tasks, rare)
     blocks = found.groupBy("d").agg(F.collect_set(F.struct("place", key_id(F.col("partner")).alias("partner"))).alias("aligned"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("k"))
     joined = rows.join(blocks, same_row(F.col("k"), F.col("d")), "left")
     edited = joined.withColumn("x", _without(F.col(f"row.{text_col}"), "aligned", F.lit(block_words)))
-    return edited.select("row", "x.text", F.col("x.removed").alias("n_removed"), "x.partners")
+    return edited.select("row", "x.text", F.col("x.removed").alias("n_removed"), "x.partners").coalesce(tasks)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, written
+from loomgraph.llm.common import WORD, tasks_for, written
 
 #: Words that one block of a running total holds, about, and copies in a range of the sorted queue.
 BLOCK_WORDS = 1_000_000
@@ -72,11 +72,11 @@ def _finish(epoch: Column) -> Column:
     return (epoch * F.col("source_size") + F.col("upto")) / F.col("target")
 
 
-def queue(slim: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def queue(slim: DataFrame, max_epochs: int = MAX_EPOCHS, tasks: int | None = None) -> DataFrame:
     """slim: id, place, source, size. One row for each distinct row of these, with times (how many there are),
     source_size, target and upto: the source's words up to and with this document."""
     each = slim.groupBy("source", "place", "id", "size").agg(F.count("*").alias("times"))
-    each = written(each, "sizes")
+    each = written(each, "sizes", tasks)
     per_source = each.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("size"))
     goal = targets(per_source, max_epochs=max_epochs).select(F.col("source").alias("goal_source"), F.col("size").alias("source_size"), "target")
     # blocks of a source by ranges of the hash
@@ -127,7 +127,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     slim = docs.select(
         F.col(id_col).cast("long").alias("id"), shuffled_place(F.col(id_col), F.col(text_col)).alias("place"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
-    queued = written(queue(slim, max_epochs), "queued")
+    tasks = tasks_for(docs.sparkSession, 0) + docs.count() // RANGE_ROWS
+    queued = written(queue(slim, max_epochs, tasks), "queued", tasks)
     last = _last_copy(queued, max_epochs)
     in_mix = lambda e: F.lit(True) if last is None else (_finish(e) < last[0]) | ((_finish(e) == last[0]) & (F.col("place") <= last[1]))
     copies = sum(F.when(in_mix(F.lit(e)), 1).otherwise(0) for e in range(max_epochs))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import BASE, blanks, doc_key, hashed_words, key_id, same_row, text_hash, written
+from loomgraph.llm.common import BASE, FILE_ROWS, blanks, doc_key, hashed_words, key_id, same_row, tasks_for, text_hash, written
 from loomgraph.llm.graph import components
 
 WORDS = 5
@@ -399,25 +399,32 @@ def _apart(buckets: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(placed.join(mixed, ["band", "key"], "left_semi").select("node").distinct(), "node", "left_semi")
 
 
-def _joined_up(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """parts: node, part. The parts after those that a link (u, v) connects have become one."""
+def _joined_up(parts: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """parts: node, part, of so many documents. The parts after those that a link (u, v) connects have become one."""
     left = parts.select(F.col("node").alias("u"), F.col("part").alias("a"))
     right = parts.select(F.col("node").alias("v"), F.col("part").alias("b"))
     between = links.join(left, "u").join(right, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(between)
-    return parts if labels is None else written(parts.join(labels.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), "parts")
+    labels = components(between, most=links.count())
+    if labels is None:
+        return parts
+    return written(parts.join(labels.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), "parts", 1 + total // FILE_ROWS)
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """node (hash of a text), first (doc_key of the class's first document), class_size (documents), of each text."""
+    return _classes(docs, similar, id_col, text_col)[0]
+
+
+def _classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """As classes(), and the tasks that are enough for these texts."""
     rows = docs.select(doc_key(F.col(id_col), F.col(text_col)).alias("d"), F.col(text_col).alias("text")).where("text is not null")
     rows = rows.withColumn("node", text_hash(F.col("text")))
     size = Observation()
     each = rows.groupBy("node").agg(F.min("d").alias("d"), F.count("*").alias("n"), F.max(F.length("text")).alias("chars"))
     nodes = written(each.observe(size, F.sum("n").alias("n"), F.sum(F.col("n") * F.col("chars")).alias("chars")), "nodes")
     total, chars = size.get["n"] or 0, size.get["chars"] or 0
-    weights = Weights(total)
-    found = written(sampled(rows, nodes, total, chars), "sampled")
+    weights, tasks = Weights(total), tasks_for(docs.sparkSession, chars)
+    found = written(sampled(rows, nodes, total, chars), "sampled", tasks)
     members = found.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
     # the one to compare with: the least in an order of the band's own
     pivots = (
@@ -425,31 +432,31 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
         .agg(F.min(F.struct(F.xxhash64("node", "band").alias("o"), "node")).alias("p"), F.count("*").alias("n"))
         .where("n > 1").select("band", "key", F.col("p.node").alias("pivot"))
     )
-    buckets = written(members.join(pivots, ["band", "key"]), "buckets")
+    buckets = written(members.join(pivots, ["band", "key"]), "buckets", tasks)
     wanted = buckets.select("node").distinct()
     heads = wanted.join(nodes, "node").select(F.col("node").alias("t"), F.col("d").alias("k"))
     own = rows.select("d", "text").join(heads, same_row(F.col("d"), F.col("k"))).select(F.col("t").alias("node"), "text")
-    texts = written(own.join(found.select("node", "shared"), "node").dropDuplicates(["node"]), "compared")
+    texts = written(own.join(found.select("node", "shared"), "node").dropDuplicates(["node"]), "compared", tasks)
     stars = buckets.where("node <> pivot").select(*_pair("node", "pivot")).distinct()
-    parts = _joined_up(wanted.select("node", F.col("node").alias("part")), written(_verified(stars, texts, weights, similar), "links"))
+    parts = _joined_up(wanted.select("node", F.col("node").alias("part")), written(_verified(stars, texts, weights, similar), "links", tasks), total)
     all_apart = F.lit(True).alias("copied")
-    first = written(_first_parts(_apart(buckets, parts.select("*", all_apart), texts), weights, similar), "first-parts")
-    plain = written(_to_plainest(first, parts.select("*", all_apart), similar).join(stars, ["u", "v"], "left_anti"), "pairs")
-    parts = _joined_up(parts, written(_verified(plain, texts, weights, similar), "links"))
+    first = written(_first_parts(_apart(buckets, parts.select("*", all_apart), texts), weights, similar), "first-parts", tasks)
+    plain = written(_to_plainest(first, parts.select("*", all_apart), similar).join(stars, ["u", "v"], "left_anti"), "pairs", tasks)
+    parts = _joined_up(parts, written(_verified(plain, texts, weights, similar), "links", tasks), total)
     rest = _across(first, parts.select("*", all_apart), similar).join(stars.union(plain), ["u", "v"], "left_anti")
-    parts = _joined_up(parts, written(_verified(rest, texts, weights, similar), "links"))
+    parts = _joined_up(parts, written(_verified(rest, texts, weights, similar), "links", tasks), total)
     # what is apart from a class of several documents, by counts
     several = parts.join(nodes.select("node", "n"), "node").groupBy("part").agg((F.sum("n") > 1).alias("copied"))
-    copied = written(parts.join(several, "part").select("node", "part", "copied"), "copied")
-    first = written(_first_parts(_apart(buckets, copied, texts), Counts(), similar), "first-parts")
-    plain = written(_to_plainest(first, copied, similar), "pairs")
-    near = written(_verified(plain, texts, Counts(), similar), "links")
-    joined = _joined_up(copied.select("node", "part"), near).join(copied.select("node", "copied"), "node")
+    copied = written(parts.join(several, "part").select("node", "part", "copied"), "copied", 1 + total // FILE_ROWS)
+    first = written(_first_parts(_apart(buckets, copied, texts), Counts(), similar), "first-parts", tasks)
+    plain = written(_to_plainest(first, copied, similar), "pairs", tasks)
+    near = written(_verified(plain, texts, Counts(), similar), "links", tasks)
+    joined = _joined_up(copied.select("node", "part"), near, total).join(copied.select("node", "copied"), "node")
     rest = _across(first, joined, similar).join(plain, ["u", "v"], "left_anti")
-    parts = _joined_up(joined.select("node", "part"), written(_verified(rest, texts, Counts(), similar), "links"))
+    parts = _joined_up(joined.select("node", "part"), written(_verified(rest, texts, Counts(), similar), "links", tasks), total)
     every = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")).select("node", "d", "n", "part")
     least = every.groupBy("part").agg(F.min("d").alias("first"), F.sum("n").alias("class_size"))
-    return every.join(least, "part").select("node", "first", "class_size")
+    return every.join(least, "part").select("node", "first", "class_size"), tasks
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -464,9 +471,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, of each class the first only; null texts stay."""
-    found = classes(docs).select(F.col("first.i").alias("fi"), F.col("first.h").alias("fh"), F.col("first.n").alias("fn")).distinct()
+    found, tasks = _classes(docs)
+    found = found.select(F.col("first.i").alias("fi"), F.col("first.h").alias("fh"), F.col("first.n").alias("fn")).distinct()
     key = doc_key(docs["doc_id"], docs["text"])
     rows = docs.where("text is not null").select(F.struct("*").alias("row"), key["i"].alias("i"), key["h"].alias("h"), key["n"].alias("n"))
     kept = rows.join(found, (F.col("i") == F.col("fi")) & (F.col("h") == F.col("fh")) & (F.col("n") == F.col("fn")), "left_semi")
     # rows that repeat id and text are copies
-    return kept.dropDuplicates(["i", "h", "n"]).select("row.*").unionByName(docs.where("text is null"))
+    return kept.dropDuplicates(["i", "h", "n"]).select("row.*").coalesce(tasks).unionByName(docs.where("text is null"))

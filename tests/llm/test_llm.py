@@ -946,6 +946,34 @@ def test_pipeline(spark):
     assert set(r.doc_id for r in final.collect()) <= set(r.doc_id for r in docs.collect())
 
 
+def test_small_tables_are_few_files(spark, docs):
+    import corpus_pipeline
+    from pathlib import Path
+
+    from loomgraph.session import shared_dir
+
+    put = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in put}
+    folder, enough = Path(shared_dir(spark).removeprefix("file:")), 2 * spark.sparkContext.defaultParallelism
+    seen = set(folder.iterdir())
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        stages = dict(corpus_pipeline.STAGES)
+        lines = stages["line_dedup"](spark, docs, SF)
+        near = stages["near_dedup"](spark, docs, SF)
+        stages["mixing"](spark, docs, SF)
+        assert lines.rdd.getNumPartitions() <= enough and near.rdd.getNumPartitions() <= enough + docs.rdd.getNumPartitions()
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("part-*"))) for p in set(folder.iterdir()) - seen}
+    assert len(files) > 15
+    # the two that are written before the size of the texts is known
+    assert not {k: n for k, n in files.items() if n > enough and not k.startswith(("nodes-", "seeds-"))}
+    print(len(files), "tables,", sum(files.values()), "files")
+
+
 def test_pipeline_of_odd_tables(spark):
     import corpus_pipeline
 
