@@ -231,32 +231,50 @@ class Network:
             at += n
         return out
 
+    def _with_bias(self, flat: np.ndarray) -> np.ndarray:
+        """View of the classes' weights and, as a last row, their biases, which follow them in the flat array."""
+        at = sum(int(np.prod(self.shapes[x])) for x in ("E", "Wx", "Wh", "b"))
+        k, c = self.shapes["Wc"]
+        return flat[at : at + (k + 1) * c].reshape(k + 1, c)
+
     def words_of(self, c: int) -> slice:
         return slice(c * self.s.in_class, min(self.n, (c + 1) * self.s.in_class))
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """x: inputs' share of the gates. New state and what the way back needs."""
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x: inputs' share of the gates; h: state. New state and the gates."""
         k = self.s.hidden
         g = h @ self.Wh
-        gates = np.tanh((x[:, : 2 * k] + g[:, : 2 * k]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-        r, z = gates[:, :k], gates[:, k:]
-        new = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-        return new + z * (h - new), (h, r, z, new, g[:, 2 * k :])
+        gates = x[:, : 2 * k] + g[:, : 2 * k]
+        gates *= np.float32(0.5)  # the logistic function is a tanh of half
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
+        new = gates[:, :k] * g[:, 2 * k :]
+        new += x[:, 2 * k :]
+        np.tanh(new, out=new)
+        h = h - new
+        h *= gates[:, k:]
+        h += new
+        return h, gates
 
     def log_probability(self, states: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural log of each place's probability; of a shape's class as a whole for what is outside the head."""
         cls = np.where(place < self.n, place // self.s.in_class, place - self.n + self.n_classes)
         order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cls, place, states = cls[order], place[order], states[order]
+        cls, place = cls[order], place[order]
+        # a column of ones for the biases
+        ordered = np.ones((len(place), self.s.hidden + 1), np.float32)
+        ordered[:, :-1] = states[order]
+        states, by_class, words_with = ordered, self._with_bias(self.flat), np.concatenate([self.Wo, self.bo[:, None]], axis=1)
         out = np.empty(len(place), np.float32)
-        for at in range(0, len(place), 4096):
-            out[at : at + 4096] = self._of(states[at : at + 4096] @ self.Wc + self.bc, cls[at : at + 4096])
+        for at in range(0, len(place), 2048):
+            out[at : at + 2048] = self._of(states[at : at + 2048] @ by_class, cls[at : at + 2048])
         edges = np.searchsorted(cls, np.arange(self.n_classes + 1))
         for c in range(self.n_classes):
             words = self.words_of(c)
-            for at in range(edges[c], edges[c + 1], 4096):
-                own = slice(at, min(at + 4096, edges[c + 1]))
-                out[own] += self._of(states[own] @ self.Wo[words].T + self.bo[words], place[own] - words.start)
+            for at in range(edges[c], edges[c + 1], 1024):
+                own = slice(at, min(at + 1024, edges[c + 1]))
+                out[own] += self._of(states[own] @ words_with[words].T, place[own] - words.start)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -322,57 +340,90 @@ class Network:
         rows = stream[(np.arange(lanes) * n)[None, :] + np.arange(n + 1)[:, None]].astype(np.int64)
         grad, work = np.empty_like(self.flat), np.empty_like(self.flat)
         of = self._parts(grad)
-        h = np.zeros((lanes, k), np.float32)
+        half, e = np.float32(0.5), s.embedding
+        by_class, by_class_grad = self._with_bias(self.flat), self._with_bias(grad)
+        h = np.zeros((k, lanes), np.float32)
         for at in range(0, n, s.window):
             width = min(s.window, n - at)
-            inputs, place = rows[at : at + width], rows[at + 1 : at + 1 + width].reshape(-1)
-            goes_on = (inputs != 0)[:, :, None].astype(np.float32)  # else a document begins
-            embedded = self.E[inputs.reshape(-1)]
-            x = (embedded @ self.Wx + self.b).reshape(width, lanes, 3 * k)
-            states, kept = np.empty((width, lanes, k), np.float32), []
-            for t in range(width):
-                h, mid = self.step(x[t], h * goes_on[t])
-                kept.append(mid)
-                states[t] = h
+            inputs, place = rows[at : at + width].reshape(-1), rows[at + 1 : at + 1 + width].reshape(-1)
+            size = width * lanes
+            steps = [slice(t * lanes, (t + 1) * lanes) for t in range(width)]
+            goes_on = (inputs != 0).astype(np.float32)  # else a document begins
+            # what a step makes is a column for each token; a last row or column of ones stands for the biases
+            embedded = np.ones((size, e + 1), np.float32)
+            embedded[:, :e] = self.E[inputs]
+            into, again = np.vstack([self.Wx, self.b]).T.copy(), self.Wh.T.copy()
+            into[: 2 * k] *= half  # the logistic function is a tanh of half
+            again[: 2 * k] *= half
+            x = into @ embedded.T
+            before, gates, new, gn = (np.empty((m, size), np.float32) for m in (k, 2 * k, k, k))
+            states = np.ones((k + 1, size), np.float32)
+            for own in steps:
+                was, both, made = before[:, own], gates[:, own], new[:, own]
+                np.multiply(h, goes_on[own], out=was)
+                g = again @ was
+                gn[:, own] = g[2 * k :]
+                np.add(x[: 2 * k, own], g[: 2 * k], out=both)
+                np.tanh(both, out=both)
+                both *= half
+                both += half
+                np.multiply(both[:k], g[2 * k :], out=made)
+                made += x[2 * k :, own]
+                np.tanh(made, out=made)
+                h = was - made
+                h *= both[k:]
+                h += made
+                states[:k, own] = h
             grad.fill(0)
-            flat_states = states.reshape(-1, k)
+            flat_states = np.ascontiguousarray(states.T)
             cls = np.where(place < self.n, place // s.in_class, place - self.n + self.n_classes)
-            p = self._off(flat_states @ self.Wc + self.bc, cls)
-            of["Wc"][:], of["bc"][:] = flat_states.T @ p, p.sum(axis=0)
-            back = p @ self.Wc.T
+            back = np.empty((size, k), np.float32)
+            for a in range(0, size, 2048):  # what stays in a core's cache
+                part = flat_states[a : a + 2048]
+                p = self._off(part @ by_class, cls[a : a + 2048])
+                by_class_grad += part.T @ p
+                np.matmul(p, self.Wc.T, out=back[a : a + 2048])
             # the words of a class, class by class; the softmax of all at once
             order = np.argsort(cls.astype(np.uint16), kind="stable")
             edges = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
             order = order[: edges[-1]]
             own, place = flat_states[order], place[order]
-            z = np.full((len(order), s.in_class), -1e30, np.float32)
+            words_with = np.concatenate([self.Wo, self.bo[:, None]], axis=1)
+            z = np.empty((len(order), s.in_class), np.float32)
             found = [(self.words_of(c), slice(edges[c], edges[c + 1])) for c in range(self.n_classes) if edges[c] < edges[c + 1]]
             for words, here in found:
-                z[here, : words.stop - words.start] = own[here] @ self.Wo[words].T + self.bo[words]
+                np.matmul(own[here], words_with[words].T, out=z[here, : words.stop - words.start])
+                z[here, words.stop - words.start :] = -1e30
             q = self._off(z, place % s.in_class) if len(z) else z
-            back_own = np.empty_like(own)
+            back_own = np.empty((len(order), k), np.float32)
             for words, here in found:
                 part = q[here, : words.stop - words.start]
-                back_own[here] = part @ self.Wo[words]
-                of["Wo"][words], of["bo"][words] = part.T @ own[here], part.sum(axis=0)
+                np.matmul(part, self.Wo[words], out=back_own[here])
+                both = part.T @ own[here]
+                of["Wo"][words], of["bo"][words] = both[:, :k], both[:, k]
             back[order] += back_own
-            back = back.reshape(states.shape)
-            before, r, z, new, gn = (np.stack(m) for m in zip(*kept, strict=True))
+            back = np.ascontiguousarray(back.T)
+            r, z = gates[:k], gates[k:]
             to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), gn * r * (1 - r)
-            dx, dh, wh = np.empty_like(x), np.zeros_like(h), self.Wh.T.copy()
-            dg = np.empty_like(x)
-            for t in range(width - 1, -1, -1):
-                dh += back[t]
-                d_new = dh * to_new[t]
-                dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = d_new * to_r[t], dh * to_z[t], d_new
-                dg[t, :, : 2 * k], dg[t, :, 2 * k :] = dx[t, :, : 2 * k], d_new * r[t]
-                dh = (dh * z[t] + dg[t] @ wh) * goes_on[t]
-            flat_dx = dx.reshape(-1, 3 * k)
-            of["Wh"][:] = before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
-            of["Wx"][:], of["b"][:] = embedded.T @ flat_dx, flat_dx.sum(axis=0)
-            by_input = np.argsort(inputs.reshape(-1), kind="stable")
-            used, start = np.unique(inputs.reshape(-1)[by_input], return_index=True)
-            of["E"][used] = np.add.reduceat((flat_dx @ self.Wx.T)[by_input], start, axis=0)
+            # of the gates, and of the new state's input
+            dg, d_new, dh = np.empty((3 * k, size), np.float32), np.empty((k, size), np.float32), np.zeros((k, lanes), np.float32)
+            for own in reversed(steps):
+                dh += back[:, own]
+                made = d_new[:, own]
+                np.multiply(dh, to_new[:, own], out=made)
+                np.multiply(made, to_r[:, own], out=dg[:k, own])
+                np.multiply(dh, to_z[:, own], out=dg[k : 2 * k, own])
+                np.multiply(made, r[:, own], out=dg[2 * k :, own])
+                dh *= z[:, own]
+                dh += self.Wh @ dg[:, own]
+                dh *= goes_on[own]
+            of["Wh"][:] = before @ dg.T
+            dg[2 * k :] = d_new  # from here on of the inputs' share
+            both = dg @ embedded
+            of["Wx"][:], of["b"][:] = both[:, :e].T, both[:, e]
+            by_input = np.argsort(inputs.astype(PLACE), kind="stable")
+            used, start = np.unique(inputs[by_input], return_index=True)
+            of["E"][used] = np.add.reduceat((dg.T @ self.Wx.T)[by_input], start, axis=0)
             np.clip(grad, -5, 5, out=grad)
             self.past += np.multiply(grad, grad, out=work)
             grad /= np.sqrt(self.past, out=work)
