@@ -240,41 +240,29 @@ class Network:
     def words_of(self, c: int) -> slice:
         return slice(c * self.s.in_class, min(self.n, (c + 1) * self.s.in_class))
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x: inputs' share of the gates; h: state. New state and the gates."""
+    def step(self, x: np.ndarray, h: np.ndarray):
+        """x: inputs' share of the gates. New state and the gates; in training, states are columns instead."""
         k = self.s.hidden
         g = h @ self.Wh
-        gates = x[:, : 2 * k] + g[:, : 2 * k]
-        gates *= np.float32(0.5)  # the logistic function is a tanh of half
-        np.tanh(gates, out=gates)
-        gates *= np.float32(0.5)
-        gates += np.float32(0.5)
-        new = gates[:, :k] * g[:, 2 * k :]
-        new += x[:, 2 * k :]
-        np.tanh(new, out=new)
-        h = h - new
-        h *= gates[:, k:]
-        h += new
-        return h, gates
+        gates = np.tanh((x[:, : 2 * k] + g[:, : 2 * k]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+        r, z = gates[:, :k], gates[:, k:]
+        new = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
+        return new + z * (h - new), gates
 
     def log_probability(self, states: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural log of each place's probability; of a shape's class as a whole for what is outside the head."""
         cls = np.where(place < self.n, place // self.s.in_class, place - self.n + self.n_classes)
         order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cls, place = cls[order], place[order]
-        # a column of ones for the biases
-        ordered = np.ones((len(place), self.s.hidden + 1), np.float32)
-        ordered[:, :-1] = states[order]
-        states, by_class, words_with = ordered, self._with_bias(self.flat), np.concatenate([self.Wo, self.bo[:, None]], axis=1)
+        cls, place, states = cls[order], place[order], states[order]
         out = np.empty(len(place), np.float32)
-        for at in range(0, len(place), 2048):
-            out[at : at + 2048] = self._of(states[at : at + 2048] @ by_class, cls[at : at + 2048])
+        for at in range(0, len(place), 4096):
+            out[at : at + 4096] = self._of(states[at : at + 4096] @ self.Wc + self.bc, cls[at : at + 4096])
         edges = np.searchsorted(cls, np.arange(self.n_classes + 1))
         for c in range(self.n_classes):
             words = self.words_of(c)
-            for at in range(edges[c], edges[c + 1], 1024):
-                own = slice(at, min(at + 1024, edges[c + 1]))
-                out[own] += self._of(states[own] @ words_with[words].T, place[own] - words.start)
+            for at in range(edges[c], edges[c + 1], 4096):
+                own = slice(at, min(at + 4096, edges[c + 1]))
+                out[own] += self._of(states[own] @ self.Wo[words].T + self.bo[words], place[own] - words.start)
         back = np.empty_like(out)
         back[order] = out
         return back
